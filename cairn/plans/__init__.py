@@ -1 +1,7 @@
+"""Registered queries and their SQL, by theme."""
 
+from __future__ import annotations
+
+from cairn.plans import drift
+
+MODULES = [drift]
