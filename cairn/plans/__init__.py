@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from cairn.plans import drift
+from cairn.plans import drift, retrieval
 
-MODULES = [drift]
+MODULES = [drift, retrieval]
