@@ -79,7 +79,7 @@ def distribution(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def crosstab(rows: DataFrame, by: str, kind: str, kinds: list[str]) -> DataFrame:
-    return rows.groupBy(by).pivot(kind, kinds).agg(F.count("*")).na.fill(0)
+    return rows.groupBy(by).pivot(kind, kinds).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def reasons(rows: DataFrame, reason: str) -> DataFrame:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from cairn.plans import drift, retrieval
+from cairn.plans import chat, drift, evaluation, ingest, retrieval, streams, text
 
-MODULES = [drift, retrieval]
+MODULES = [retrieval, ingest, text, evaluation, chat, streams, drift]
