@@ -35,8 +35,10 @@ from cairn.runtime import cut
 
 SIMILARITY = 0.8
 MIN_WORDS = 20
-BUCKETS = 1 << 20
+BUCKETS, SEGMENT = 1 << 24, 1 << 14
 BLOCK = 4000
+#: Counters are kept as one byte, in eighths of a power of two.
+_STEPS = 8
 _WORD = re.compile(r"\w+")
 #: Words remembered per Python worker with their hash; emptied when full.
 _MEMO = 1 << 18
@@ -57,48 +59,69 @@ class _Hash(dict):
         return h
 
 
-def _signature(words: Counter, hashes: _Hash) -> int:
+def _arrays(words: Counter, hashes: _Hash) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of a text's words."""
+    return np.fromiter((hashes[w] for w in words), np.uint64, len(words)), np.fromiter(words.values(), np.uint64, len(words))
+
+
+def _signature(h: np.ndarray, c: np.ndarray) -> int:
     """Order-free 64-bit hash of a multiset of words, as a signed integer."""
-    total = 0
-    for w, c in words.items():
-        h = hashes[w]
-        total += (h ^ (h >> 29) ^ (c * _MIX)) * (c * 2 + 1) & _MASK
-    total = ((total & _MASK) ^ len(words)) * 0xBF58476D1CE4E5B9 & _MASK
+    terms = (h ^ (h >> np.uint64(29)) ^ (c * np.uint64(_MIX))) * (c * np.uint64(2) + np.uint64(1))
+    total = ((int(terms.sum(dtype=np.uint64)) ^ len(h)) * 0xBF58476D1CE4E5B9) & _MASK
     return total - (1 << 64) if total >> 63 else total
 
 
 def _scan(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, df = _Hash(), np.zeros(BUCKETS, np.int64)
+        hashes, df = _Hash(), np.zeros(BUCKETS, np.int32)
         for b in batches:
-            ids, sigs, ns, texts = [], [], [], []
-            bag: list[int] = []
+            ids, sigs, ns, texts, bags = [], [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = word_counts(text)
                 n = words.total()
                 if n >= min_words:
+                    h, c = _arrays(words, hashes)
                     ids.append(i)
-                    sigs.append(_signature(words, hashes))
+                    sigs.append(_signature(h, c))
                     ns.append(n)
                     texts.append(xxhash.xxh64_intdigest(text) - (1 << 63))
-                    bag += [hashes[w] & (BUCKETS - 1) for w in words]
+                    bags.append(h)
             if ids:
-                df += np.bincount(np.array(bag, np.int64), minlength=BUCKETS)
+                at, k = np.unique((np.concatenate(bags) & np.uint64(BUCKETS - 1)).astype(np.int64), return_counts=True)
+                df[at] += k.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.int64()), pa.array(ns, pa.int32()), pa.array(texts, pa.int64())], ["id", "sig", "n", "content_hash"])
         at = np.flatnonzero(df)
         for k in range(0, len(at), 50_000):
             part = at[k : k + 50_000]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(part), pa.nulls(len(part), pa.int32()), pa.array(df[part])], ["id", "sig", "n", "content_hash"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(part), pa.nulls(len(part), pa.int32()), pa.array(df[part].astype(np.int64))], ["id", "sig", "n", "content_hash"])
 
     return run
 
 
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One segment of counters as bytes."""
+    out = np.zeros(SEGMENT, np.uint8)
+    c = pdf["c"].to_numpy(np.float64)
+    out[pdf["bucket"].to_numpy(np.int64) % SEGMENT] = np.minimum(255, np.ceil(np.log2(np.maximum(c, 1)) * _STEPS) + 1)
+    return pd.DataFrame({"segment": [int(pdf["bucket"].iloc[0]) // SEGMENT], "counters": [out.tobytes()]})
+
+
+def frequencies(scan: DataFrame) -> np.ndarray:
+    """BUCKETS one-byte counters of texts per word, collected as packed segments: a fixed size for any corpus."""
+    sums = scan.where("id is null").groupBy(F.col("sig").alias("bucket")).agg(F.sum("content_hash").alias("c"))
+    packed = sums.groupBy(F.floor(F.col("bucket") / SEGMENT).alias("s")).applyInPandas(_pack, "segment long, counters binary")
+    table = np.zeros(BUCKETS, np.uint8)
+    for segment, counters in packed.toLocalIterator():
+        table[segment * SEGMENT : (segment + 1) * SEGMENT] = np.frombuffer(counters, np.uint8)
+    return table
+
+
 def _routes(df_counts, min_words: int, t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = df_counts.value
         hashes, seen = _Hash(), set()
         names = ["token", "lo", "hi", "blk", "sig", "n", "prefix"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
         for b in batches:
             rows: list[tuple] = []
             for text in b.column(0).to_pylist():
@@ -106,34 +129,33 @@ def _routes(df_counts, min_words: int, t: float):
                 n = words.total()
                 if n < min_words:
                     continue
-                sig = _signature(words, hashes)
+                h, c = _arrays(words, hashes)
+                sig = _signature(h, c)
                 if (sig, n) in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add((sig, n))
                 p = n - math.ceil(t * n - 1e-9) + 1
-                order = sorted((int(df[h & (BUCKETS - 1)]), h, c) for h, c in ((hashes[w], c) for w, c in words.items()))
-                prefix: list[tuple[int, int]] = []
-                for d, h, c in order:
-                    for k in range(c):
-                        prefix.append((d, (h + k * _MIX) & _MASK))
-                    if len(prefix) >= p:
-                        break
-                prefix = prefix[:p]
-                path = np.array([x & 0xFFFFFFFF for _, x in prefix], np.uint32).tobytes()
-                for d, x in prefix:
-                    if d < 2:
-                        continue
+                q = df[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                order = np.lexsort((h, q))
+                upto = int(np.searchsorted(np.cumsum(c[order]), p)) + 1
+                shared, at = [], 0  # words of one text only can't be common, they only count
+                for d, x, k in zip(q[order[:upto]].tolist(), h[order[:upto]].tolist(), c[order[:upto]].tolist()):
+                    if d > 1:
+                        shared += [(d, (x + j * _MIX) & _MASK) for j in range(min(k, p - at))]
+                    at += k
+                if not shared:
+                    continue
+                path = np.array([x & 0xFFFFFFFF for _, x in shared], np.uint32).tobytes()
+                for d, x in shared:
                     token = x - (1 << 64) if x >> 63 else x
-                    m = -(-d // BLOCK)
+                    m = 1 + int(2 ** (d / _STEPS)) // BLOCK
                     own = (sig & _MASK) % m
                     for other in range(m):
                         rows.append((token, min(own, other), max(own, other), own, sig, n, path))
-            if rows:
-                cols = list(zip(*rows))
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+            for k in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows[k : k + 20_000]), kinds)], names)
 
     return run
 
@@ -144,23 +166,24 @@ class _Trie:
     def __init__(self, token: int, t: float):
         self.root, self.token, self.need = [{}, [], 0, 1 << 30, 0], token, t / (1 + t)
 
-    def add(self, path: list[int], sig: int, n: int, blk: int) -> None:
-        rest, node = n - len(path), self.root
+    def add(self, path: list[int], sig: int, n: int, blk: int, rest: int) -> None:
+        node = self.root
         for d in range(len(path) + 1):
             node[2], node[3], node[4] = max(node[2], len(path)), min(node[3], n), max(node[4], rest)
             if d < len(path):
                 node = node[0].setdefault(path[d], [{}, [], 0, 1 << 30, 0])
-        node[1].append((sig, n, blk))
+        node[1].append((sig, n, blk, rest))
 
-    def partners(self, path: list[int], n: int, least: float) -> list[tuple[int, int, int]]:
-        """Texts whose first common token with ``path`` is the group's and whose overlap can still suffice."""
-        own, rest, out = set(path), n - len(path), []
+    def partners(self, path: list[int], n: int, least: float, rest: int) -> list[tuple[int, int]]:
+        """Texts whose first common token with ``path`` is the group's and whose overlap can still suffice.
+        ``rest`` counts the tokens after the prefix, where more can be common."""
+        own, out = set(path), []
         stack = [(self.root, 0, 0)]
         while stack:
             node, depth, common = stack.pop()
-            for sig, m, blk in node[1]:
-                if common and m >= least and common + max(rest, m - depth) >= self.need * (n + m) - 1e-6:
-                    out.append((sig, m, blk))
+            for sig, m, blk, after in node[1]:
+                if common and m >= least and common + max(rest, after) >= self.need * (n + m) - 1e-6:
+                    out.append((sig, blk))
             for token, child in node[0].items():
                 c = common
                 if token in own:
@@ -181,10 +204,11 @@ def _join(t: float):
                 continue
             last = (sig, n)
             path = np.frombuffer(prefix, np.uint32).tolist()
-            for other, _, oblk in trie.partners(path, n, t * n - 1e-6):
+            rest = math.ceil(t * n - 1e-9) - 1
+            for other, oblk in trie.partners(path, n, t * n - 1e-6, rest):
                 if (lo == hi or blk != oblk) and other != sig:
                     yield (min(sig, other), max(sig, other))
-            trie.add(path, sig, n, blk)
+            trie.add(path, sig, n, blk, rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -223,11 +247,8 @@ def classes(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORD
     spark = df.sparkSession
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
     scan = cut(texts.mapInArrow(_scan(min_words), "id long, sig long, n int, content_hash long"), "scan")
-    counts = scan.where("id is null").groupBy("sig").agg(F.sum("content_hash").alias("c")).toPandas()  # at most BUCKETS rows
-    table = np.zeros(BUCKETS, np.int32)
-    table[counts["sig"].to_numpy(np.int64)] = counts["c"].clip(upper=2**31 - 1).to_numpy()
     members = scan.where("id is not null")
-    shared = spark.sparkContext.broadcast(table)  # BUCKETS counters of 4 bytes
+    shared = spark.sparkContext.broadcast(frequencies(scan))  # BUCKETS bytes
     routes = texts.select("text").mapInArrow(_routes(shared, min_words, t), "token long, lo int, hi int, blk int, sig long, n int, prefix binary")
     grouped = routes.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "sig")
     maybe = cut(grouped.mapInArrow(_join(t), "sig_a long, sig_b long").distinct(), "maybe")
