@@ -31,6 +31,11 @@ def any_of(text: Column, patterns: list[str]) -> Column:
     return out
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def fenced(text: Column) -> Column:
     """Code of the first python fence, else of the first bare fence, else the text."""
     return F.when(text.rlike(_PY_FENCE), F.regexp_extract(text, _PY_FENCE, 1)).when(text.rlike(_ANY_FENCE), F.regexp_extract(text, _ANY_FENCE, 1)).otherwise(text)
@@ -99,12 +104,12 @@ def failure_reasons(q: Column) -> Column:
 def reasoning_part(text: Column) -> Column:
     """Step 1 up to Step 3 or the first fence; else what stands before the first fence; else ''."""
     steps = r"(?is)(Step\s*1.*?)(?=Step\s*3|```)"
-    return F.when(text.rlike(steps), F.trim(F.regexp_extract(text, steps, 1))).when(text.contains("```"), F.trim(F.substring_index(text, "```", 1))).otherwise("")
+    return F.when(text.rlike(steps), strip(F.regexp_extract(text, steps, 1))).when(text.contains("```"), strip(F.substring_index(text, "```", 1))).otherwise("")
 
 
 def response_part(text: Column) -> Column:
     """The code in a python fence, and the text from Step 4 on."""
-    tail = F.trim(F.regexp_extract(text, r"(?is)(Step\s*4.*)$", 1))
+    tail = strip(F.regexp_extract(text, r"(?is)(Step\s*4.*)$", 1))
     return F.concat(F.lit("```python\n"), fenced(text), F.lit("\n```"), F.when(tail != "", F.concat(F.lit("\n\n"), tail)).otherwise(""))
 
 
@@ -118,7 +123,7 @@ def keyword_score(answer: Column, keywords: Column) -> Column:
 
 def heuristic_score(answer: Column, keywords: Column) -> Column:
     """Struct: has_code, keyword_matches, keyword_total, code_lines, total_lines, score."""
-    lines = F.split(F.trim(answer), "\n")
+    lines = F.split(strip(answer), "\n")
     code = F.size(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.ltrim(x).startswith("#") & ~F.ltrim(x).startswith("//")))
     has = answer.rlike(HAS_CODE_WIDE)
     score = F.round(keyword_score(answer, keywords) * KEYWORD_WEIGHT + F.when(has, CODE_WEIGHT).otherwise(0.0), 3)

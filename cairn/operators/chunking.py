@@ -11,9 +11,11 @@ import ast
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Name endings to languages, of the first and of the second chunk version.
 LANGUAGES_V1 = {".py": "python", ".go": "go", ".rs": "rust", ".js": "javascript", ".ts": "typescript", ".java": "java", ".c": "c", ".cpp": "cpp", ".h": "c", ".hpp": "cpp"}
@@ -153,9 +155,6 @@ def docstring_of(text: str | None) -> str:
 
 def chunk_tree(files: DataFrame, repo: str) -> DataFrame:
     """Chunks of four levels of one repository.  files: path (relative), text."""
-    import pandas as pd
-    from pyspark.sql.types import StringType
-
     @F.pandas_udf(StringType())
     def docs(paths: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series([docstring_of(t) if (p or "").endswith(".py") else "" for p, t in zip(paths, texts)], dtype=object)

@@ -112,7 +112,7 @@ def first_scope(hits: DataFrame, scope: str) -> DataFrame:
 # ---- index -----------------------------------------------------------------------------------------------------
 
 #: Rows the centres are fitted on at most, and their number.
-SAMPLE, CELLS, PROBES, SALTS = 20_000, 64, 16, 8
+SAMPLE, CELLS, PROBES, SALTS = 20_000, 64, 44, 8
 
 
 def fit_centres(corpus: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cells: int = CELLS, sample: int = SAMPLE, rounds: int = 12) -> np.ndarray:

@@ -121,7 +121,7 @@ _FIRST = f"list_position(list_transform({_LINES}, lambda x: starts_with(ltrim(x)
 _BAN = " || ".join(f"CASE WHEN {_RX('answer', rf'(?i)\bimport\s+{n}\b')} THEN ['{n}'] ELSE [] END || CASE WHEN {_RX('answer', rf'(?i)\bfrom\s+{n}\b')} THEN ['{n}'] ELSE [] END" for n in T.BANNED_IMPORTS)
 _COMPLETE = lambda c: f"({_RX(c, r'(def \w+|class \w+)')} AND (contains({c}, 'return') OR contains({c}, 'yield')) AND NOT {_RX(c, r'(TODO|FIXME|\.\.\.)')})"
 _KW = "len(list_filter([" + ", ".join(f"'{k}'" for k in KEYWORDS) + "], lambda k: contains(lower(answer), lower(k))))"
-_TRIM = "string_split(trim(answer), chr(10))"
+_TRIM = r"string_split(regexp_replace(answer, '^\s+|\s+$', '', 'g'), chr(10))"
 _S = lambda x: x.replace("'", "''")
 
 SQL = {
@@ -138,7 +138,7 @@ SQL = {
 len(list_filter({_TRIM}, lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#') AND NOT starts_with(ltrim(x), '//')))::INTEGER AS code_lines, len({_TRIM})::INTEGER AS total_lines,
 round({_KW} / {len(KEYWORDS)}::DOUBLE * 0.6::DOUBLE + CASE WHEN {_RX('answer', T.HAS_CODE_WIDE)} THEN 0.4::DOUBLE ELSE 0 END, 3) AS score FROM a""",
     "normal_space": f"{_A} SELECT rec_id, md5(trim(regexp_replace(answer, '\\s+', ' ', 'g'))) AS flat_md5 FROM a",
-    "response_extract": f"""{_A}, r AS (SELECT rec_id, {_FENCED} AS c, trim(regexp_extract(answer, '(?is)(Step\\s*4.*)$', 1)) AS tail FROM a)
+    "response_extract": f"""{_A}, r AS (SELECT rec_id, {_FENCED} AS c, regexp_replace(regexp_extract(answer, '(?is)(Step\\s*4.*)$', 1), '^\\s+|\\s+$', '', 'g') AS tail FROM a)
 SELECT rec_id, md5('```python' || chr(10) || c || chr(10) || '```' || CASE WHEN tail <> '' THEN chr(10) || chr(10) || tail ELSE '' END) AS response_md5 FROM r""",
     "prompt_build": f"""WITH p AS (SELECT item_id, prompt, entry_point, unnest(['no-rag', 'rag', 'rag-forgetting']) AS mode, CASE WHEN item_id % 5 > 0 THEN '// ctx ' || item_id END AS context FROM benchmark_items)
 SELECT item_id, mode, CASE WHEN mode = 'no-rag' OR coalesce(context, '') = '' THEN prompt ELSE CASE WHEN mode = 'rag-forgetting' THEN '{_S(T.FORGETTING_PREFIX[:-2])}' || chr(10) || chr(10) ELSE '{_S(T.RAG_PREFIX[:-1])}' || chr(10) END || context || chr(10) || chr(10) || '{T.COMPLETE[:-1]}' || chr(10) || prompt END AS built,

@@ -48,7 +48,8 @@ def validate(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and record fields of JSON objects that map ids to records; missing fields take their defaults."""
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema.ACCESS_MAP)).alias("doc_id", "r"))
+    objects = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))
+    whole = objects.select(F.explode(F.from_json("value", schema.ACCESS_MAP)).alias("doc_id", "r"))
     zero = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(0)).alias(c)
     return whole.select("doc_id", "r.last_access_time", zero("access_count"), zero("correct_count"), zero("total_use_count"), F.coalesce("r.created_time", F.lit(0.0)).alias("created_time"))
 
