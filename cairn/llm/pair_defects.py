@@ -45,7 +45,7 @@ _SORRY = re.compile(r"\b(?:sorry|apologi[sz]e|regrettably|unfortunately|sadly|i
 _COURTESY = re.compile(r"^\W*(?:hmm+|well|thanks?(?: you)?(?: for (?:asking|your (?:question|message)))?|great question|hello|hi|is there anything else.*|please consult .*|let me know if .*|feel free to .*|i hope (?:this|that) helps|(?:please )?ask (?:me )?(?:something|anything) else|gracias(?: por preguntar)?|danke(?: für die frage)?|谢谢.{0,6}|您好|你好|if you have any other .*|¿?hay algo más.*|kann ich sonst .*)\W*$", re.I)
 _GOES_ON = re.compile(r"\b(?:but|however|though|yet|still)\b[^.!?]*\b(?:this|here|the following|below|instead|should|would)\b|\b(?:aber|jedoch)\b[^.!?]*\b(?:hier|folgend\w*|so)\b|\bpero\b[^.!?]*\b(?:aquí|esto|siguiente)\b|但[^。]*(?:可以|如下|以下|这)", re.I)
 _PLACEHOLDERS = frozenset("na null none nil nan empty noanswer answer response output todo tbd undefined blank placeholder noresponse noreply unanswered nodata notavailable notapplicable noansweravailable pending nicht keineantwort sinrespuesta 无 空 暂无 无答案 没有答案".split())
-_ECHO_LEAD = re.compile(r"^\s*(?:(?:question|your question|you asked|the question(?: is| was)?|prompt|instruction|q|frage|sie fragten|pregunta|preguntaste|问题|你问|您问|user)\s*[:：]\s*|>\s*)+", re.I)
+_ECHO_LEAD = re.compile(r"^\s*(?:(?:\*{1,2})?[^\W\d_]{1,12}(?: [^\W\d_]{1,12}){0,3}(?:\*{1,2})?\s*[:：](?:\*{1,2})?\s*|>\s*)+", re.I)
 _TAG = re.compile(r"<\|[^|<>]*\|>|</?(?:s|eos|end|pad|answer|response|assistant|output)>", re.I)
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)", re.S | re.M)
 _CODE_SPAN = re.compile(r"`[^`\n]*`")

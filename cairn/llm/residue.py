@@ -2,7 +2,7 @@
 
 Texts are cut into blocks (lines; code fences and indented code left out), numbers, addresses, dates and ids are
 masked, and blocks are grouped by the exact hash of what remains, over all sources.  Each distinct message is
-classified once, by phrase and placeholder rules; weaker phrases count only where the message recurs in several texts.
+classified once, by phrase and placeholder rules, and by the page furniture around it.
 The classes are joined back by hash; a text takes one kind, that of most residue characters.
 
 Only blocks that hold a cue word or recur are shuffled, as hashes with one sample of the text; a message of a third
@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 from cairn.runtime import cut, distinct_names
 
 KINDS = ["placeholder", "filler", "error_page", "script_notice"]
-#: Texts that must hold a message for the weaker phrases to count.
-RECURS = 3
-#: Longest line judged as one message; a longer one is judged by its sentences.
 _FENCE = r"(?s)(?:^|\n)[ \t]*(?:```|~~~).*?(?:\n[ \t]*(?:```|~~~)|$)"
 _SPAN = r"`[^`\n]*+`"
 _QUOTED = r"\"[^\"\n]{3,200}+\"|“[^”\n]{3,200}+”|「[^」\n]{2,100}+」|«[^»\n]{3,200}+»"
@@ -50,14 +47,14 @@ ERROR_LINE = (
 ERROR = (
     r"(?i)^\W*(?:access (?:is |was )?denied\b|(?:sorry|oops|uh[- ]oh|whoops)\b[^.]{0,10}[!,.]? *(?:something went wrong|(?:the|this|that) (?:page|file|item)|we (?:could|can|can't|couldn't)|an error)|something went wrong (?:on our|while|at our)|an? (?:unexpected |internal |unknown )?(?:server )?error (?:has )?occurred\b|(?:the|this|your) (?:site|page|website|web page|server) (?:can't|cannot|can not|could not|couldn't) be (?:reached|found|displayed|loaded)|this site can't\b|this (?:page|site) (?:isn't|is not) (?:available|working)|(?:the |this )?(?:page|site|service|server|resource)(?: is)? (?:temporarily |currently )?(?:unavailable|not available|down|offline|under maintenance)"
     r"|service (?:is )?(?:temporarily |currently )?unavailable|too many requests\. |you have been (?:rate[- ]limited|blocked|banned|logged out|signed out)|you don't have permission|you do not have permission|you are not (?:authori[sz]ed|allowed) to (?:view|access|see)|you(?:r| do not| don't|'ve)? (?:must|need to|have to) (?:log|sign) in\b|(?:please )?(?:log|sign) in (?:again )?to (?:see|view|continue|access|read|get)|your (?:session|login|token) (?:has )?(?:expired|timed out|ended)|session (?:has )?(?:expired|timed out)|your (?:request|ip|access|connection|address)\b[^.]{0,60}\b(?:was|has been|is|were) (?:blocked|denied|rejected|refused|banned|limited)|your ip\b"
-    r"|the requested (?:url|page|resource|file|document|address)\b[^.]{0,120}(?:not found|could not be found|does not exist|doesn't exist|was not|is not|no longer)|(?:the|this) (?:page|file|document|url|\w+) you (?:asked for|requested|are looking for|were looking for|wanted|tried to (?:open|reach)|followed)\b[^.]{0,60}(?:is gone|gone|not|no longer|doesn't|does not|moved|removed|missing|deleted|can't|cannot|could)|we (?:could not|couldn't|cannot|can't|were unable to|are unable to|failed to) (?:load|find|open|show|display|reach|serve|process|complete) (?:this|that|the|your)\b[^.]{0,40}\W*$|we (?:could not|couldn't) (?:load|find|open|show) (?:this|that|the|your) \w+\b|we(?:'re| are) (?:sorry|down|offline|currently)|this (?:page|content|item|link|article|\w+) (?:has been|was|is) (?:removed|deleted|moved|no longer available|unavailable|gone)|(?:the )?(?:gateway|server|host|upstream|backend) (?:did not|didn't|failed to|does not|took too long) |error (?:establishing|connecting|loading|processing|while|code:?)\b|(?:unable|failed|could not|cannot) to? ?(?:connect|reach|load)\b|[\w.\-]+ (?:is|are) (?:currently |temporarily )?down (?:for|at the moment|right now)\b|check the (?:address|url) and try\b|go back or (?:write|contact|return)\b|incident (?:id )?⟦id⟧|unusual traffic|checking (?:if the site connection|your browser before)|verify (?:that )?you are (?:a )?human|are you a robot|please complete the captcha|ddos protection|sign-?in required|login required|authentication required|please (?:log|sign) in\b"
+    r"|the requested (?:url|page|resource|file|document|address)\b[^.]{0,120}(?:not found|could not be found|does not exist|doesn't exist|was not|is not|no longer)|(?:the|this) (?:page|file|document|url|\w+) you (?:asked for|requested|are looking for|were looking for|wanted|tried to (?:open|reach)|followed)\b[^.]{0,60}(?:is gone|gone|not|no longer|doesn't|does not|moved|removed|missing|deleted|can't|cannot|could)|we (?:could not|couldn't|cannot|can't|were unable to|are unable to|failed to) (?:load|find|open|show|display|reach|serve|process|complete) (?:this|that|the|your)\b[^.]{0,40}\W*$|we (?:could not|couldn't) (?:load|find|open|show) (?:this|that|the|your) \w+\b|we(?:'re| are) (?:sorry|down|offline|currently)|this (?:page|content|item|link|article|\w+) (?:has been|was|is) (?:removed|deleted|moved|no longer available|unavailable|gone)|(?:the )?(?:gateway|server|host|upstream|backend) (?:did not|didn't|failed to|does not|took too long) |error (?:establishing|connecting|loading|processing|while|code:?)\b|(?:unable|failed|could not|cannot) to? ?(?:connect|reach|load)\b|[\w.\-]+ (?:is|are) (?:currently |temporarily )?down (?:for|at the moment|right now)\b|check the (?:address|url) and try\b|go back or (?:write|contact|return)\b|incident (?:id )?⟦id⟧|nothing (?:lives|is|was|exists|can be found|to see)\b[^.]{0,20}\b(?:here|address|url|location)\b|unusual traffic|checking (?:if the site connection|your browser before)|verify (?:that )?you are (?:a )?human|are you a robot|please complete the captcha|ddos protection|sign-?in required|login required|authentication required|please (?:log|sign) in\b"
     r"|seite nicht gefunden|die (?:gewünschte|angeforderte|gesuchte|aufgerufene) (?:seite|datei|url)|(?:der )?zugriff (?:wurde )?verweigert|ihre sitzung ist|bitte melden sie sich an|(?:es ist )?ein (?:interner )?(?:server)?fehler (?:ist )?aufgetreten|diese seite (?:ist|existiert|wurde|kann)\b|dienst (?:ist )?(?:vorübergehend )?nicht (?:erreichbar|verfügbar)|zu viele anfragen|(?:die|diese) (?:web)?site ist nicht erreichbar"
     r"|(?:la |esta )?página (?:no (?:encontrada|existe|disponible|se encuentra)|que (?:busca|buscas|solicitó|solicita)|solicitada)|acceso (?:denegado|restringido|prohibido)|su sesión (?:ha )?(?:expir|caduc)|(?:inicie|debe iniciar) sesión|ha ocurrido un error|se ha producido un error|error interno|servicio (?:temporalmente )?no disponible|demasiadas (?:solicitudes|peticiones)|algo (?:salió|ha salido) mal)"
     r"|(?:页面|网页|您(?:要)?(?:访问|查找|请求)的(?:页面|内容|网页)|该页面|此页面|文件)[^。]{0,12}(?:不存在|未找到|找不到|已被删除|已删除|无法(?:显示|访问|找到))|^\W*(?:访问被拒绝|拒绝访问|禁止访问|无权访问|服务器(?:内部)?错误|服务(?:暂时)?不可用|请求过于频繁|请(?:先)?登录|会话已过期|登录已过期|您没有权限|系统(?:繁忙|错误|维护))|(?:登录|会话|登陆)[^。]{0,6}(?:已过期|已失效|超时)|您的(?:请求|访问|IP)[^。]{0,10}(?:被拦截|被阻止|被拒绝|被限制)"
 )
 SCRIPT = (
     r"(?i)(?:^|[.!] )\W*(?:please )?(?:enable|activate|allow|turn on|switch on|accept) (?:cookies|javascript|js|scripts|java script|your browser's javascript)\b|\b(?:javascript|js|scripts|scripting|cookies?)(?: support)?(?: and (?:cookies|javascript|js))? (?:is|are|must be|needs? to be|has to be|have to be|seems? to be|appears? to be)(?: currently)? (?:disabled|required|turned off|switched off|turned on|switched on|off|blocked|needed|enabled (?:to|in order|for)|not (?:enabled|available|supported|running))\b"
-    r"|\b(?:page|site|app|application|website|content|service|viewer|\w+) (?:requires|needs|relies on|depends on|only works with|won't work without|does not work without|doesn't work without|cannot run without) (?:javascript|js|cookies|scripts)\b|\byou (?:need|have|must)(?: to)? (?:enable|activate|allow|turn on|switch on) (?:javascript|js|cookies|scripts)\b|\b(?:switch|turn) (?:javascript|js|scripts|scripting|cookies) (?:back )?on\b|\b(?:works?|viewed|used) best with (?:javascript|js|scripts|cookies)\b|\bbrowser (?:has|blocks?|blocked|with) (?:javascript|js|scripts|cookies) ?(?:blocked|disabled|turned off|off)?|\b(?:turn|switch) (?:on )?(?:javascript|js|scripts|scripting|cookies)(?: back)?(?: on)?\b[^.]{0,40}(?:browser|reload|continue|go on|page|see|view|read)|\bwe use (?:scripts|javascript|cookies) to (?:draw|show|render|display|build|load)\b|\byour browser (?:does not|doesn't|can't|cannot) (?:run|support|execute|allow)[^.]{0,30}(?:scripts?|javascript|js|cookies)\b|\b(?:without|no) (?:javascript|scripts|cookies)[^.]{0,20}(?:cannot|can't|will not|won't|nothing)|\b(?:scripts?|javascript|cookies)\b[^.]{0,20}\bplease allow\b|\bplease (?:allow|enable|turn on|activate|accept)\b[^.]{0,30}\b(?:scripts?|javascript|js|cookies)\b|\benable (?:cookies|javascript|js)\b[^.]{0,30}\b(?:to (?:view|see|continue|use|read)|view the)\b|\bscripting is\b|\bnoscript\b"
+    r"|\b(?:page|site|app|application|website|content|service|viewer|\w+) (?:requires|needs|relies on|depends on|only works with|won't work without|does not work without|doesn't work without|cannot run without) (?:javascript|js|cookies|scripts)\b|\byou (?:need|have|must)(?: to)? (?:enable|activate|allow|turn on|switch on) (?:javascript|js|cookies|scripts)\b|\b(?:switch|turn) (?:javascript|js|scripts|scripting|cookies) (?:back )?on\b|\b(?:works?|viewed|used) best with (?:javascript|js|scripts|cookies)\b|\bbrowser (?:has|blocks?|blocked|with) (?:javascript|js|scripts|cookies) ?(?:blocked|disabled|turned off|off)?|\b(?:turn|switch) (?:on )?(?:javascript|js|scripts|scripting|cookies)(?: back)?(?: on)?\b[^.]{0,40}(?:browser|reload|continue|go on|page|see|view|read)|\bwe use (?:scripts|javascript|cookies) to (?:draw|show|render|display|build|load)\b|\byour browser (?:does not|doesn't|can't|cannot) (?:run|support|execute|allow)[^.]{0,30}(?:scripts?|javascript|js|cookies)\b|\b(?:without|no) (?:javascript|scripts|cookies)[^.]{0,20}(?:cannot|can't|will not|won't|nothing)|\b(?:scripts?|javascript|cookies)\b[^.]{0,20}\bplease allow\b|\b(?:allow|enable|activate|permit|unblock|turn on|switch on)\b[^.]{0,15}\b(?:javascript|js|scripts|cookies)\b(?=\W*$|[^.]{0,12}\b(?:to|and|then|please|first)\b)|\bplease (?:allow|enable|turn on|activate|accept)\b[^.]{0,30}\b(?:scripts?|javascript|js|cookies)\b|\benable (?:cookies|javascript|js)\b[^.]{0,30}\b(?:to (?:view|see|continue|use|read)|view the)\b|\bscripting is\b|\bnoscript\b"
     r"|\b(?:aktivieren|erlauben|schalten) sie (?:bitte )?(?:java ?script|cookies|skripte)|\bjavascript (?:ist|muss|wurde)\b[^.]{0,30}(?:deaktiviert|aktiviert|ausgeschaltet|erforderlich|benötigt)|\b(?:benötigt|erfordert|braucht) (?:javascript|cookies|skripte)|\b(?:active|habilite|activa|habilita|permita|encienda) (?:javascript|las cookies|los scripts|cookies)|\bjavascript (?:está|es|debe)\b[^.]{0,30}(?:desactivado|deshabilitado|necesario|activado|requerido)|\b(?:requiere|necesita) (?:javascript|cookies)"
     r"|(?:启用|开启|打开|允许|激活)[^。]{0,12}(?:javascript|js|脚本|cookies?)|(?:javascript|脚本|cookies?)[^。]{0,8}(?:被禁用|已禁用|未启用|已关闭|必须|需要)|(?:需要|必须)[^。]{0,12}(?:javascript|脚本|cookies?)|浏览器[^。]{0,12}(?:不支持|禁用了)[^。]{0,8}(?:javascript|脚本|js)"
 )
@@ -65,6 +62,11 @@ SCRIPT = (
 ABOUT = (
     r"(?i)⟦code⟧|⟦quote⟧|\bwe ask (?:users|readers|people|visitors)\b|\balso works? (?:with|without)\b|\beven (?:with|without|if|when)\b|\bonly for\b|\bbecause\b|\bmeans (?:that|the)\b|\bif the\b|\bwhen the\b|\bwhich \w+ed\b|\bour \w+ tests?\b|\btokeni[sz]er\b|\bin the template\b|\btemplates?\b.{0,20}\bwrite\b|\bfor example\b|\be\.g\.|\bsuch as\b|\breturns? (?:a |an )?(?:status|http|\d)|\bstatus code\b|\bgateway answers\b|\bto (?:test|debug|reproduce|check) \b|\bthe (?:handler|server|client|proxy|parser) (?:shows|returns|answers|sends|says|logs|prints|raises|writes)\b|\b(?:how|why) (?:to|do|does|we)\b|\buses? the (?:word|phrase|string)\b|\bthe (?:word|phrase|string|message|notice|text|error) (?:⟦|of|that|is shown|appears)|\bsogenannt|\bzum beispiel\b|\bpor ejemplo\b|例如|比如"
 )
+#: Page furniture – rows of links, trails, footers with a year, and single words as a menu.
+FURNITURE = r"(?i)^\s*[\p{L}\d][\p{L}\d\-]*(?: [\p{L}\d\-]+){0,2}(?:\s[|>»/·]\s[\p{L}\d][\p{L}\d\-]*(?: [\p{L}\d\-]+){0,2})+\s*$|^\s*(?:©|copyright)[^.]{0,60}$"
+MENU_WORD = r"^\s*\p{Lu}[\p{L}\-]+\s*$"
+#: A page that holds furniture and no more than this is a notice, whatever it says.
+PAGE_LINES, PAGE_CHARS = 4, 260
 CUE = r"(?i)\{[\w{%#]|<%|\$\{|%%|%[A-Z]|__[A-Z]|#[A-Z]|@@|\$[A-Z]|\[|in time|<\s*(?:insert|your|enter|add|put|fill|tbd|todo)|\(insert|\(your|\bhere\b|lorem|ipsum|dolor|amet|placeholder|dummy|sample|filler|text\b|replace|here steht|hier steht|relleno|ejemplo|aquí|占位|替换|示例|测试|此处|这里|javascript|\bjs\b|script|cookie|browser|error|fehler|(?<!\d )\b(?:40[013458]|410|429|50[0234])\b|denied|wrong|reached|\bdown\b|connect|address|owner|incident|unavailable|available|maintenance|requests|blocked|limited|permission|authori|log in|sign in|login|session|expired|requested|asked for|looking for|could not|couldn't|cannot|can't|unable|removed|deleted|gone|traffic|captcha|human|robot|not found|forbidden|gateway|gefunden|seite|zugriff|sitzung|melden|dienst|anfragen|página|acceso|sesión|servicio|solicitudes|salió|页面|网页|访问|服务|请求|登录|会话|权限|系统|脚本|浏览器|启用|文件|内容|(\b\p{L}{2,12}\b)(?:[\s,.;!]+\1\b){3,}"
 
 
@@ -73,40 +75,51 @@ def _latin_share(t: Column) -> Column:
     return F.when(F.size(words) >= 5, F.size(F.filter(words, lambda w: w.isin(LATIN))) / F.size(words)).otherwise(0.0)
 
 
+def _masked(raw: Column) -> Column:
+    """Numbers (but status codes), addresses, dates, ids, inline code and quotations give way to marks."""
+    m = F.regexp_replace(F.regexp_replace(raw, _SPAN, "⟦code⟧"), _QUOTED, "⟦quote⟧")
+    m = F.regexp_replace(m, r"https?://\S+|\b[\w.\-]+@[\w\-]+\.[\w.]+|\b[\w\-]+(?:\.[\w\-]+)*\.(?:com|org|net|io|example|test|invalid)\b(?:/\S*)?", "⟦address⟧")
+    m = F.regexp_replace(m, r"\b\d{4}-\d\d-\d\d\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "⟦date⟧")
+    m = F.regexp_replace(m, r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "⟦id⟧")
+    return F.regexp_replace(m, r"(?<![\w\d])(?!(?:40[013458]|410|429|50[0234])\b)\d+(?:[.,:]\d+)*", "0")
+
+
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per distinct prose line of a text that may be residue: doc_id, source, raw, masked, hash."""
+    """One row per distinct prose line of a text that may be residue: doc_id, source, raw, page, masked, hash.
+
+    ``page`` marks the lines of a text that is page furniture (menus, trails, footers) around a short notice."""
     rows = distinct_names(docs, [key, "source", text]).where(F.col(text).isNotNull() & F.col(key).isNotNull())
     prose = F.regexp_replace(F.col(text), _FENCE, "\n")
-    line = rows.select(F.col(key).alias("doc_id"), "source", F.explode(F.split(prose, r"\r?\n")).alias("raw"))
+    lines = F.filter(F.split(prose, r"\r?\n"), lambda x: F.trim(x) != "")
+    menu = lambda x: x.rlike(FURNITURE) | x.rlike(MENU_WORD)
+    one = rows.select(F.col(key).alias("doc_id"), "source", lines.alias("lines"))
+    rest = F.filter("lines", lambda x: ~menu(x))
+    framed = F.exists("lines", lambda x: x.rlike(FURNITURE)) | (F.size(F.filter("lines", lambda x: x.rlike(MENU_WORD))) >= 3)
+    short = F.size(rest).between(1, PAGE_LINES) & (F.aggregate(F.transform(rest, lambda x: F.length(x)), F.lit(0), lambda a, b: a + b) <= PAGE_CHARS)
+    one = one.withColumn("page", (F.size("lines") <= 40) & framed & short)
+    line = one.select("doc_id", "source", "page", F.explode(F.when(F.col("page"), rest).otherwise(F.col("lines"))).alias("raw"))
     line = line.where(~F.col("raw").rlike(r"^(?: {4,}|\t)")).withColumn("raw", F.trim(F.regexp_replace("raw", r"^\s*(?:[-*+>]\s+|\d+[.)]\s+|#{1,6}\s+)+", "")))
     code = F.col("raw").rlike(r"[;{}]\s*$|^(?:@\w|//|/\*|\*/?|#!|import |from \w+ import|package |def |class |async |public |private |protected |static |export |const |let |var |val |fun |function |return\b|if ?\(|for ?\(|while ?\()|^\w[\w.\[\]]* ?[+\-*/|&]?= \S|^\w+(?:\.\w+)+\(.*\)\s*$") & ~F.col("raw").rlike(r"^[\p{Lu}][\p{L}']* [^;={}]*[.!?]$")
-    line = line.where((F.col("raw") != "") & F.col("raw").rlike(CUE) & ~(code & ~F.col("raw").rlike(r"endblock|%\}|\}\}")))
-    masked = F.regexp_replace(F.regexp_replace("raw", _SPAN, "⟦code⟧"), _QUOTED, "⟦quote⟧")
-    masked = F.regexp_replace(masked, r"https?://\S+|\b[\w.\-]+@[\w\-]+\.[\w.]+|\b[\w\-]+(?:\.[\w\-]+)*\.(?:com|org|net|io|example|test|invalid)\b(?:/\S*)?", "⟦address⟧")
-    masked = F.regexp_replace(masked, r"\b\d{4}-\d\d-\d\d\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "⟦date⟧")
-    masked = F.regexp_replace(masked, r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "⟦id⟧")
-    masked = F.regexp_replace(masked, r"(?<![\w\d])(?!(?:40[013458]|410|429|50[0234])\b)\d+(?:[.,:]\d+)*", "0")
-    return line.withColumn("masked", masked).withColumn("hash", F.xxhash64(F.lower(F.regexp_replace("masked", r"\s+", " ")))).distinct()
+    line = line.where((F.col("raw") != "") & (F.col("page") | (F.col("raw").rlike(CUE) & ~(code & ~F.col("raw").rlike(r"endblock|%\}|\}\}")))))
+    masked = line.withColumn("masked", _masked(F.col("raw")))
+    return masked.withColumn("hash", F.xxhash64("page", F.lower(F.regexp_replace("masked", r"\s+", " ")))).distinct()
 
 
-def kind_of(t: Column, texts: Column) -> Column:
-    """Kind of a masked message held by so many texts; null for content."""
+def kind_of(t: Column, page: Column) -> Column:
+    """Kind of a masked message; null for content.  What a page of mere furniture says is a notice of some kind."""
     about = t.rlike(ABOUT)
     slot = t.rlike(SLOT) & t.rlike(r"(?:\p{L}{2,}[^\p{L}]+){2,}|^\W*[\p{L}]{2,}") & ~about
     sentences = F.split(t, _SENTENCE)
-    latin = _latin_share(t)
-    filler = ((latin >= 0.8) & ~about) | (t.rlike(FILLER) & ~about) | t.rlike(REPEATED)
+    filler = ((_latin_share(t) >= 0.8) & ~about) | (t.rlike(FILLER) & ~about) | t.rlike(REPEATED)
     some = lambda rx: F.exists(sentences, lambda x: x.rlike(rx) & ~x.rlike(ABOUT))
     error = t.rlike(ERROR_LINE) | some(ERROR)
-    script = some(SCRIPT)
-    weak = (texts >= RECURS) & ~about & t.rlike(r"(?i)^\W*(?:back to (?:start|home)|go back|reload the page|try again(?: later)?|retry later|how to do this in your browser)\W*$") & F.lit(False)
-    return F.when(slot, "placeholder").when(filler, "filler").when(script, "script_notice").when(error | weak, "error_page")
+    return F.when(slot, "placeholder").when(filler, "filler").when(some(SCRIPT), "script_notice").when(error, "error_page").when(page & t.rlike(r"(?i)\bjavascript\b|\bjs\b|\bscripts?\b|\bcookies?\b"), "script_notice").when(page & ~about, "error_page")
 
 
 def messages(found_blocks: DataFrame) -> DataFrame:
-    """Distinct messages: hash, masked, texts, sources, residue_kind (null for content)."""
-    m = found_blocks.groupBy("hash").agg(F.min("masked").alias("masked"), F.count("*").alias("texts"), F.approx_count_distinct("source").alias("sources"))
-    return m.withColumn("residue_kind", kind_of(F.col("masked"), F.col("texts")))
+    """Distinct messages over all sources: hash, masked, texts and sources that hold them, residue_kind (null: content)."""
+    m = found_blocks.groupBy("hash").agg(F.min("masked").alias("masked"), F.min("page").alias("page"), F.count("*").alias("texts"), F.approx_count_distinct("source").alias("sources"))
+    return m.withColumn("residue_kind", kind_of(F.col("masked"), F.col("page")))
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -115,7 +128,8 @@ def found(docs: DataFrame) -> DataFrame:
     b = cut(blocks(docs), "blocks")
     kinds = cut(messages(b).where("residue_kind is not null").select("hash", "residue_kind"), "messages")
     rank = F.when(F.col("residue_kind") == "script_notice", 3).when(F.col("residue_kind") == "error_page", 2).when(F.col("residue_kind") == "placeholder", 1).otherwise(0)
-    per = b.join(kinds, "hash").groupBy("doc_id", "residue_kind").agg(F.sum(F.length("raw")).alias("size"))
+    weight = F.when(F.col("page") & (F.col("residue_kind") == "script_notice"), 1000).otherwise(0) + F.length("raw")  # beside its footer
+    per = b.join(kinds, "hash").groupBy("doc_id", "residue_kind").agg(F.sum(weight).alias("size"))
     return per.groupBy("doc_id").agg(F.max_by("residue_kind", F.struct("size", rank)).alias("residue_kind"))
 
 
