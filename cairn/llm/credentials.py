@@ -69,7 +69,7 @@ _DUMMY = re.compile(
 )
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _DIGEST = re.compile(r"^(?:sha(?:1|224|256|384|512)|md5|blake2[bs]?)[-:$]", re.I)
-_REFERENCE = re.compile(r"^(?:(?:vault|env|secret|secrets|ref|ssm|arn|file|config|op|keyring|kms)[:/]|/|~/|\.{1,2}/|https?://[^@]*$|process\.env|os\.environ|System\.getenv|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$)|^[A-Za-z_-]+(?:[/.][A-Za-z_-]+)+$")
+_REFERENCE = re.compile(r"^(?:(?:vault|env|secret|secrets|ref|ssm|arn|file|config|op|keyring|kms)[:/]|(?:~|\.{1,2})?/[A-Za-z_.-]+(?:/[A-Za-z_.-]+)*/?$|https?://[^@]*$|process\.env|os\.environ|System\.getenv|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$)|^[A-Za-z_-]+(?:[/.][A-Za-z_-]+)+$")
 
 
 @cache
@@ -90,8 +90,15 @@ def usable(value: str, least: int = 8) -> bool:
 
 
 def _random_looking(value: str) -> bool:
-    """For values that no name vouches for: long, of mixed kinds, no words joined."""
-    return len(value) >= 20 and usable(value) and sum(c.isdigit() for c in value) >= 3 and bool(re.search(r"[A-Za-z]", value)) and not re.search(r"^[a-z]+(?:[-_/.][a-z]+){2,}", value) or bool(usable(value, 12) and re.search(r"[A-Za-z]+[-_][A-Za-z]+[-_].*\d|[!@#%^&*+]", value))
+    """For values that no name vouches for: of mixed kinds, no plain words."""
+    if not usable(value, 12):
+        return False
+    kinds = any(c.islower() for c in value) + any(c.isupper() for c in value) + any(c.isdigit() for c in value)
+    if re.search(r"\.[a-z]{1,5}$", value):
+        return False  # a file's name
+    mixed = kinds == 3 or len(value) >= 20 and kinds >= 2 and sum(c.isdigit() for c in value) >= 3
+    phrase = re.search(r"[A-Za-z]+[-_][A-Za-z]+[-_].*\d|[!@#%^&*+]", value)
+    return bool(phrase or mixed and not re.search(r"^[a-z]+(?:[-_/.][a-z]+){2,}", value))
 
 
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -103,7 +110,7 @@ def holds_credential(name: str) -> bool:
     if not words:
         return False
     last, before = words[-1], words[-2] if len(words) > 1 else ""
-    if before in ("public", "pub", "next", "primary", "foreign", "csrf", "page", "stop", "pad", "eos", "bos", "unk", "mask"):
+    if before in ("public", "pub", "primary", "foreign", "csrf", "eos", "bos", "unk"):
         return False
     if last in SECRET_WORDS or last.endswith(("password", "passwd", "passphrase", "secret")) or last in ("apikey", "authkey", "accesskey", "secretkey", "privatekey", "authtoken"):
         return True
@@ -112,7 +119,7 @@ def holds_credential(name: str) -> bool:
 
 _IDENT_BACK = re.compile(r"[\w.\-\[\]\"'$]*$")
 _ASSIGN = re.compile(
-    r"""(?P<close>["'`]?\]?)(?P<label>\s*\*/\s*(?=["'`]))?(?:\s*:\s*[A-Za-z_][\w.<>?\[\]| ]{0,40}?(?=\s*=))?\s*(?P<op>:=|=>|==?|:|,|(?<=\*/)|(?<=\*/\s))\s*(?:\(\s*)?(?:[rbuRBU]|\bf(?=["']))?(?:(?P<q>\"\"\"|'''|["'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)|(?P<bare>[^\s"'`,;(){}\[\]<>]+)(?=[\s,;"'`]|$))""",
+    r"""(?P<close>["'`]?\]?)(?P<label>\s*\*/\s*(?=["'`]))?(?:\s*:\s*[A-Za-z_][\w.<>?\[\]| ]{0,40}?(?=\s*=))?\s*(?P<op>:=|=>|==?|:|,|(?<=\*/)|(?<=\*/\s))\s*(?:\(\s*)?(?:[rbufRBUF]{1,2}(?=["']))?(?:(?P<q>\"\"\"|'''|["'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)|(?P<bare>[^\s"'`,;(){}\[\]<>]+)(?=[\s,;"'`]|$))""",
     re.X | re.M,
 )
 _JOINED = re.compile(r"""["'`]\s*(?:\)?\s*[+.]\s*|\s)\s*\n\s*(?:[+.]\s*)?["'`]([^"'`\n]+)(?=["'`])""")
@@ -216,7 +223,7 @@ def _scan(text: str) -> Iterator[tuple[int, int]]:
                             setting = comment or re.match(r"\s*(?:export|set|ENV|env|-)\s", before) or m.group("op") == ":" and re.match(r"\s*(?:-\s*)?[\w.\-\"']*$", before) or m.group("op") == "=" and re.match(r"\s*[\w.\-]*$", before) and ("." in head and text[m.end("bare") : line_end].strip() == "" or head.isupper() and text[stop : stop + 1] == "=")
                             if (setting or text[at - 1 : at] in "?&" or re.search(r"[?&][\w-]*$", before)) and usable(value.rstrip("\\")) and not re.search(r"^\w+\.\w+$|\.\w+\(", value):
                                 yield m.span("bare")
-                elif comment and word in ("key", "token", "secret", "password", "passphrase", "pwd", "credential"):
+                elif comment and word in ("key", "token", "secret", "password", "passphrase", "pwd", "credential") and text[at - 1 : at] not in ("/", ".") and text[stop : stop + 1] not in ("/", "."):
                     m = re.compile(r"[^\n:=]{0,24}?[:=]?\s*[\"'`]?([A-Za-z0-9][A-Za-z0-9+/_=!@#%^&*.-]{11,})").match(text, stop)
                     if m and m.end() <= line_end and _random_looking(m.group(1)) and not _NOT_SECRET_NEAR.search(text[start : m.start(1)]):
                         yield m.span(1)
