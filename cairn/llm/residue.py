@@ -35,11 +35,12 @@ SLOT = (
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 _LATIN_SURE = [w for w in LATIN if len(w) >= 4 and w not in ("magna",)] + ["sed", "magna"]
 FILLER = (
-    r"(?i)\bcontent goes here\b|\b(?:your|insert|add|put|some|more|the) (?:text|content|copy|description) (?:goes |comes )?here\b|\bthis is (?:just |only )?(?:a )?(?:placeholder|dummy|sample|filler|example) (?:text|content|paragraph|copy)\b|\bplaceholder text (?:for|goes|here)\b|\breplace (?:it|this)(?: text)? (?:before publishing|with (?:your|real|the actual))|^\W*(?:\[?(?:sample|dummy|placeholder|example|filler) (?:paragraph|text|content)\]?[\s.]*){1,}$"
+    r"(?i)\bcontent goes here\b|\b(?:your|insert|add|put|some|more|the) (?:text|content|copy|description) (?:goes |comes )?here\b|\bthis is (?:just |only )?(?:a )?(?:placeholder|dummy|sample|filler|example) (?:text|content|paragraph|copy)\b|\bplaceholder text (?:for|goes|here)\b|\breplace (?:it|this)(?: text)? (?:before publishing|with (?:your|real|the actual))|^\W*(?:\[?(?:sample|dummy|placeholder|example|filler) (?:paragraph|text|content)\]?[\s.]*){1,40}$"
     r"|\bblindtext\b|\bplatzhaltertext\b|\bbeispieltext\b|\bhier steht (?:später|bald|demnächst)? ?(?:ein|der|ihr) (?:text|inhalt)|\bfülltext\b|\btexto de (?:relleno|ejemplo|prueba|muestra)\b|\bescriba aquí su\b|\bcontenido de (?:relleno|ejemplo|prueba)\b|\b(?:este|esto) es (?:un )?texto de\b"
     r"|占位(?:文本|文字|符|内容)|(?:此处|这里)(?:为|是|填写|输入|放置)[^。]{0,8}(?:文本|内容|文字)|请替换为|示例(?:文本|文字|内容)|测试文本"
 )
-REPEATED = r"(?iu)^\W*(\p{L}{2,12}(?: \p{L}{2,12}){0,2}?)(?:[\s,.;!]+\1){4,}\W*(?:\p{L}{1,12})?\W*$"
+#: Words of a line that says the same one to three words over and over: least words, most letters of a word.
+REPEATED_WORDS, REPEATED_LETTERS = 5, 12
 ERROR_LINE = (
     r"(?i)^\W*(?:(?:http )?(?:error|fehler|status)?[\s:#]*(?:400|401|403|404|405|408|410|429|500|502|503|504)\b[\s:|–—-]*)?(?:error[\s:]*)?(?:bad request|unauthori[sz]ed|(?:page |file |object )?not found|forbidden|access (?:denied|forbidden)|method not allowed|gone|request time-?out|too many requests|internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time-?out)\W*$"
     r"|^\W*(?:http )?(?:error|fehler)[\s:#]*(?:4|5)\d\d\W*$|^\W*(?:4|5)\d\d(?: error| fehler)\W*$"
@@ -63,11 +64,11 @@ ABOUT = (
     r"(?i)⟦code⟧|⟦quote⟧|\bwe ask (?:users|readers|people|visitors)\b|\balso works? (?:with|without)\b|\beven (?:with|without|if|when)\b|\bonly for\b|\bbecause\b|\bmeans (?:that|the)\b|\bif the\b|\bwhen the\b|\bwhich \w+ed\b|\bour \w+ tests?\b|\btokeni[sz]er\b|\bin the template\b|\btemplates?\b.{0,20}\bwrite\b|\bfor example\b|\be\.g\.|\bsuch as\b|\breturns? (?:a |an )?(?:status|http|\d)|\bstatus code\b|\bgateway answers\b|\bto (?:test|debug|reproduce|check) \b|\bthe (?:handler|server|client|proxy|parser) (?:shows|returns|answers|sends|says|logs|prints|raises|writes)\b|\b(?:how|why) (?:to|do|does|we)\b|\buses? the (?:word|phrase|string)\b|\bthe (?:word|phrase|string|message|notice|text|error) (?:⟦|of|that|is shown|appears)|\bsogenannt|\bzum beispiel\b|\bpor ejemplo\b|例如|比如"
 )
 #: Page furniture – rows of links, trails, footers with a year, and single words as a menu.
-FURNITURE = r"(?i)^\s*[\p{L}\d][\p{L}\d\-]*(?: [\p{L}\d\-]+){0,2}(?:\s[|>»/·]\s[\p{L}\d][\p{L}\d\-]*(?: [\p{L}\d\-]+){0,2})+\s*$|^\s*(?:©|copyright)[^.]{0,60}$"
+FURNITURE = r"(?i)^\s*[\p{L}\d][\p{L}\d\-]*(?: [\p{L}\d\-]+){0,2}(?:\s[|>»/·]\s[\p{L}\d][\p{L}\d\-]*(?: [\p{L}\d\-]+){0,2}){1,40}\s*$|^\s*(?:©|copyright)[^.]{0,60}$"
 MENU_WORD = r"^\s*\p{Lu}[\p{L}\-]+\s*$"
 #: A page that holds furniture and no more than this is a notice, whatever it says.
 PAGE_LINES, PAGE_CHARS = 4, 260
-CUE = r"(?i)\{[\w{%#]|<%|\$\{|%%|%[A-Z]|__[A-Z]|#[A-Z]|@@|\$[A-Z]|\[|in time|<\s*(?:insert|your|enter|add|put|fill|tbd|todo)|\(insert|\(your|\bhere\b|lorem|ipsum|dolor|amet|placeholder|dummy|sample|filler|text\b|replace|here steht|hier steht|relleno|ejemplo|aquí|占位|替换|示例|测试|此处|这里|javascript|\bjs\b|script|cookie|browser|error|fehler|(?<!\d )\b(?:40[013458]|410|429|50[0234])\b|denied|wrong|reached|\bdown\b|connect|address|owner|incident|unavailable|available|maintenance|requests|blocked|limited|permission|authori|log in|sign in|login|session|expired|requested|asked for|looking for|could not|couldn't|cannot|can't|unable|removed|deleted|gone|traffic|captcha|human|robot|not found|forbidden|gateway|gefunden|seite|zugriff|sitzung|melden|dienst|anfragen|página|acceso|sesión|servicio|solicitudes|salió|页面|网页|访问|服务|请求|登录|会话|权限|系统|脚本|浏览器|启用|文件|内容|(\b\p{L}{2,12}\b)(?:[\s,.;!]+\1\b){3,}"
+CUE = r"(?i)\{[\w{%#]|<%|\$\{|%%|%[A-Z]|__[A-Z]|#[A-Z]|@@|\$[A-Z]|\[|in time|<\s*(?:insert|your|enter|add|put|fill|tbd|todo)|\(insert|\(your|\bhere\b|lorem|ipsum|dolor|amet|placeholder|dummy|sample|filler|text\b|replace|here steht|hier steht|relleno|ejemplo|aquí|占位|替换|示例|测试|此处|这里|javascript|\bjs\b|script|cookie|browser|error|fehler|(?<!\d )\b(?:40[013458]|410|429|50[0234])\b|denied|wrong|reached|\bdown\b|connect|address|owner|incident|unavailable|available|maintenance|requests|blocked|limited|permission|authori|log in|sign in|login|session|expired|requested|asked for|looking for|could not|couldn't|cannot|can't|unable|removed|deleted|gone|traffic|captcha|human|robot|not found|forbidden|gateway|gefunden|seite|zugriff|sitzung|melden|dienst|anfragen|página|acceso|sesión|servicio|solicitudes|salió|页面|网页|访问|服务|请求|登录|会话|权限|系统|脚本|浏览器|启用|文件|内容|(\b\p{L}{2,12}\b)(?:[\s,.;!]{1,3}\1\b){3}|(\b\p{L}{2,12}\b)[\s,.;!]{1,3}(\b\p{L}{2,12}\b)[\s,.;!]{1,3}\2[\s,.;!]{1,3}\3[\s,.;!]{1,3}\2\b"
 
 
 def _latin_share(t: Column) -> Column:
@@ -75,13 +76,20 @@ def _latin_share(t: Column) -> Column:
     return F.when(F.size(words) >= 5, F.size(F.filter(words, lambda w: w.isin(LATIN))) / F.size(words)).otherwise(0.0)
 
 
+def _repeats(t: Column) -> Column:
+    words = F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: w != "")
+    kinds = F.array_distinct(words)
+    few = ((F.size(words) >= REPEATED_WORDS) & (F.size(kinds) == 1)) | ((F.size(words) >= 2 * REPEATED_WORDS) & (F.size(kinds) == 2)) | ((F.size(words) >= 3 * REPEATED_WORDS) & (F.size(kinds) == 3))
+    return few & ~F.exists(kinds, lambda w: F.length(w) > REPEATED_LETTERS)
+
+
 def _masked(raw: Column) -> Column:
     """Numbers (but status codes), addresses, dates, ids, inline code and quotations give way to marks."""
     m = F.regexp_replace(F.regexp_replace(raw, _SPAN, "⟦code⟧"), _QUOTED, "⟦quote⟧")
-    m = F.regexp_replace(m, r"https?://\S+|\b[\w.\-]+@[\w\-]+\.[\w.]+|\b[\w\-]+(?:\.[\w\-]+)*\.(?:com|org|net|io|example|test|invalid)\b(?:/\S*)?", "⟦address⟧")
+    m = F.regexp_replace(m, r"https?://\S+|\b[\w.\-]{1,64}@[\w\-]{1,63}\.[\w.]{1,63}|\b[\w\-]{1,63}(?:\.[\w\-]{1,63}){0,6}\.(?:com|org|net|io|example|test|invalid)\b(?:/\S*)?", "⟦address⟧")
     m = F.regexp_replace(m, r"\b\d{4}-\d\d-\d\d\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "⟦date⟧")
     m = F.regexp_replace(m, r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "⟦id⟧")
-    return F.regexp_replace(m, r"(?<![\w\d])(?!(?:40[013458]|410|429|50[0234])\b)\d+(?:[.,:]\d+)*", "0")
+    return F.regexp_replace(m, r"(?<![\w\d])(?!(?:40[013458]|410|429|50[0234])\b)\d++(?:[.,:]\d++){0,6}", "0")
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,8 +106,8 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     short = F.size(rest).between(1, PAGE_LINES) & (F.aggregate(F.transform(rest, lambda x: F.length(x)), F.lit(0), lambda a, b: a + b) <= PAGE_CHARS)
     one = one.withColumn("page", (F.size("lines") <= 40) & framed & short)
     line = one.select("doc_id", "source", "page", F.explode(F.when(F.col("page"), rest).otherwise(F.col("lines"))).alias("raw"))
-    line = line.where(~F.col("raw").rlike(r"^(?: {4,}|\t)")).withColumn("raw", F.trim(F.regexp_replace("raw", r"^\s*(?:[-*+>]\s+|\d+[.)]\s+|#{1,6}\s+)+", "")))
-    code = F.col("raw").rlike(r"[;{}]\s*$|^(?:@\w|//|/\*|\*/?|#!|import |from \w+ import|package |def |class |async |public |private |protected |static |export |const |let |var |val |fun |function |return\b|if ?\(|for ?\(|while ?\()|^\w[\w.\[\]]* ?[+\-*/|&]?= \S|^\w+(?:\.\w+)+\(.*\)\s*$") & ~F.col("raw").rlike(r"^[\p{Lu}][\p{L}']* [^;={}]*[.!?]$")
+    line = line.where(~F.col("raw").rlike(r"^(?: {4,}|\t)")).withColumn("raw", F.trim(F.regexp_replace("raw", r"^\s*(?:[-*+>]\s+|\d+[.)]\s+|#{1,6}\s+){1,8}", "")))
+    code = F.col("raw").rlike(r"[;{}]\s*$|^(?:@\w|//|/\*|\*/?|#!|import |from \w+ import|package |def |class |async |public |private |protected |static |export |const |let |var |val |fun |function |return\b|if ?\(|for ?\(|while ?\()|^\w[\w.\[\]]* ?[+\-*/|&]?= \S|^\w+(?:\.\w+){1,8}\(.*\)\s*$") & ~F.col("raw").rlike(r"^[\p{Lu}][\p{L}']* [^;={}]*[.!?]$")
     line = line.where((F.col("raw") != "") & (F.col("page") | (F.col("raw").rlike(CUE) & ~(code & ~F.col("raw").rlike(r"endblock|%\}|\}\}")))))
     masked = line.withColumn("masked", _masked(F.col("raw")))
     return masked.withColumn("hash", F.xxhash64("page", F.lower(F.regexp_replace("masked", r"\s+", " ")))).distinct()
@@ -108,9 +116,9 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def kind_of(t: Column, page: Column) -> Column:
     """Kind of a masked message; null for content.  What a page of mere furniture says is a notice of some kind."""
     about = t.rlike(ABOUT)
-    slot = t.rlike(SLOT) & t.rlike(r"(?:\p{L}{2,}[^\p{L}]+){2,}|^\W*[\p{L}]{2,}") & ~about
+    slot = t.rlike(SLOT) & t.rlike(r"(?:\p{L}{2,40}[^\p{L}]{1,20}){2}|^\W*[\p{L}]{2,}") & ~about
     sentences = F.split(t, _SENTENCE)
-    filler = ((_latin_share(t) >= 0.8) & ~about) | (t.rlike(FILLER) & ~about) | t.rlike(REPEATED)
+    filler = ((_latin_share(t) >= 0.8) & ~about) | (t.rlike(FILLER) & ~about) | _repeats(t)
     some = lambda rx: F.exists(sentences, lambda x: x.rlike(rx) & ~x.rlike(ABOUT))
     error = t.rlike(ERROR_LINE) | some(ERROR)
     return F.when(slot, "placeholder").when(filler, "filler").when(some(SCRIPT), "script_notice").when(error, "error_page").when(page & t.rlike(r"(?i)\bjavascript\b|\bjs\b|\bscripts?\b|\bcookies?\b"), "script_notice").when(page & ~about, "error_page")
