@@ -211,12 +211,12 @@ def _scan(text: str) -> Iterator[tuple[int, int]]:
                             lead = re.match(r"(?:Bearer|Basic|Token)\s+", value)
                             if lead:
                                 continue  # the scheme's own grammar decides
-                            if usable(value) and not value.startswith("-----"):
-                                yield begin, m.end("v")
-                                after = m.end("v")
-                                while j := _JOINED.match(text, after):
-                                    yield j.span(1)
-                                    after = j.end(1)
+                            parts, after = [(begin, m.end("v"))], m.end("v")
+                            while j := _JOINED.match(text, after):
+                                parts.append(j.span(1))
+                                after = j.end(1)
+                            if usable("".join(text[a:b] for a, b in parts)) and not value.startswith("-----"):
+                                yield from parts
                         elif m.group("bare") and m.end("bare") <= line_end:
                             value = m.group("bare")
                             before = text[start:at]

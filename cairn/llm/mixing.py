@@ -90,7 +90,7 @@ def draw(sized: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, source, tokens, copies (1 or more) of the texts drawn."""
     p = planned.where("epochs is not null").select("source", F.floor("epochs").alias("whole"), ((F.col("epochs") - F.floor("epochs")) * F.col("tokens")).alias("rest"))
     mark = F.xxhash64(F.lit(seed), "doc_id")
-    rows = sized.join(F.broadcast(p), "source").withColumn("mark", mark).withColumn("bucket", F.pmod("mark", F.lit(BUCKETS)))  # one row per source
+    rows = sized.join(p, "source").withColumn("mark", mark).withColumn("bucket", F.pmod("mark", F.lit(BUCKETS)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("size"))
     before = sums.withColumn("before", F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     placed = rows.join(before.select("source", "bucket", "size", F.coalesce("before", F.lit(0)).alias("before")), ["source", "bucket"])
