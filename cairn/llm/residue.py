@@ -5,8 +5,8 @@ masked, and blocks are grouped by the exact hash of what remains, over all sourc
 classified once, by phrase and placeholder rules, and by the page furniture around it.
 The classes are joined back by hash; a text takes one kind, that of most residue characters.
 
-Only blocks that hold a cue word or recur are shuffled, as hashes with one sample of the text; a message of a third
-of all texts is pre-aggregated before its shuffle, and the join back is against classified messages only.
+Only lines that hold a cue word, or stand on a page of furniture, are looked at.  A message of a third of all texts is
+combined before its shuffle, and the join back carries ids and hashes against the classified messages only.
 
 Defined results: null and empty texts have no residue; repeated rows each come out; ids repeated in the input are
 separate texts only if their rows differ (doc_id is the key of the result); code, inline code and quoted passages
@@ -15,13 +15,19 @@ don't count.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.runtime import cut, distinct_names
 
 KINDS = ["placeholder", "filler", "error_page", "script_notice"]
-_FENCE = r"(?s)(?:^|\n)[ \t]*(?:```|~~~).*?(?:\n[ \t]*(?:```|~~~)|$)"
+_FENCE = re.compile(r"(?s)(?:^|\n)[ \t]*(?:```|~~~).*?(?:\n[ \t]*(?:```|~~~)|$(?![\s\S]))")
 _SPAN = r"`[^`\n]*+`"
 _QUOTED = r"\"[^\"\n]{3,200}+\"|“[^”\n]{3,200}+”|「[^」\n]{2,100}+」|«[^»\n]{3,200}+»"
 _SENTENCE = r"(?<=[.!?。！？])\s+|(?<=[。！？])(?=\S)"
@@ -64,11 +70,23 @@ ABOUT = (
     r"(?i)⟦code⟧|⟦quote⟧|\bwe ask (?:users|readers|people|visitors)\b|\balso works? (?:with|without)\b|\beven (?:with|without|if|when)\b|\bonly for\b|\bbecause\b|\bmeans (?:that|the)\b|\bif the\b|\bwhen the\b|\bwhich \w+ed\b|\bour \w+ tests?\b|\btokeni[sz]er\b|\bin the template\b|\btemplates?\b.{0,20}\bwrite\b|\bfor example\b|\be\.g\.|\bsuch as\b|\breturns? (?:a |an )?(?:status|http|\d)|\bstatus code\b|\bgateway answers\b|\bto (?:test|debug|reproduce|check) \b|\bthe (?:handler|server|client|proxy|parser) (?:shows|returns|answers|sends|says|logs|prints|raises|writes)\b|\b(?:how|why) (?:to|do|does|we)\b|\buses? the (?:word|phrase|string)\b|\bthe (?:word|phrase|string|message|notice|text|error) (?:⟦|of|that|is shown|appears)|\bsogenannt|\bzum beispiel\b|\bpor ejemplo\b|例如|比如"
 )
 #: Page furniture – rows of links, trails, footers with a year, and single words as a menu.
-FURNITURE = r"(?i)^\s*[\p{L}\d][\p{L}\d\-]*(?: [\p{L}\d\-]+){0,2}(?:\s[|>»/·]\s[\p{L}\d][\p{L}\d\-]*(?: [\p{L}\d\-]+){0,2}){1,40}\s*$|^\s*(?:©|copyright)[^.]{0,60}$"
-MENU_WORD = r"^\s*\p{Lu}[\p{L}\-]+\s*$"
+FURNITURE = re.compile(r"(?i)^\s*[^\W_][\w\-]*(?: [\w\-]+){0,2}(?:\s[|>»/·]\s[^\W_][\w\-]*(?: [\w\-]+){0,2}){1,40}\s*$|^\s*(?:©|copyright)[^.]{0,60}$")
+MENU_WORD = re.compile(r"^\s*[^\W\d_a-z][^\W\d_]+\s*$")
 #: A page that holds furniture and no more than this is a notice, whatever it says.
-PAGE_LINES, PAGE_CHARS = 4, 260
-CUE = r"(?i)\{[\w{%#]|<%|\$\{|%%|%[A-Z]|__[A-Z]|#[A-Z]|@@|\$[A-Z]|\[|in time|<\s*(?:insert|your|enter|add|put|fill|tbd|todo)|\(insert|\(your|\bhere\b|lorem|ipsum|dolor|amet|placeholder|dummy|sample|filler|text\b|replace|here steht|hier steht|relleno|ejemplo|aquí|占位|替换|示例|测试|此处|这里|javascript|\bjs\b|script|cookie|browser|error|fehler|(?<!\d )\b(?:40[013458]|410|429|50[0234])\b|denied|wrong|reached|\bdown\b|connect|address|owner|incident|unavailable|available|maintenance|requests|blocked|limited|permission|authori|log in|sign in|login|session|expired|requested|asked for|looking for|could not|couldn't|cannot|can't|unable|removed|deleted|gone|traffic|captcha|human|robot|not found|forbidden|gateway|gefunden|seite|zugriff|sitzung|melden|dienst|anfragen|página|acceso|sesión|servicio|solicitudes|salió|页面|网页|访问|服务|请求|登录|会话|权限|系统|脚本|浏览器|启用|文件|内容|(\b\p{L}{2,12}\b)(?:[\s,.;!]{1,3}\1\b){3}|(\b\p{L}{2,12}\b)[\s,.;!]{1,3}(\b\p{L}{2,12}\b)[\s,.;!]{1,3}\2[\s,.;!]{1,3}\3[\s,.;!]{1,3}\2\b"
+PAGE_LINES, PAGE_CHARS, PAGE_TEXT = 4, 260, 4000
+#: What a line must hold to be looked at – the start of a slot, one of these words, or one of these signs.
+SLOT_LEADS = ("{", "<%", "${", "%", "__", "#", "@@", "$", "[", "<", "(")
+SLOT_START = r"(?:\{[\w{%#]|<%|\$\{|%%|%[A-Z]|__[A-Z]|#[A-Z]|@@|\$[A-Z]|\[[\w\[% ]|<\s*(?i:insert|your|enter|add|put|fill|tbd|todo)|\(\s*(?i:insert|your|enter))"
+CUE_WORDS = (
+    "lorem,ipsum,dolor,amet,adipiscing,eiusmod,tempor,labore,magna,aliqua,consectetur,placeholder,dummy,filler,goes here,comes here,text here,content here,copy here,description here,replace it,replace this,before publishing,blindtext,platzhaltertext,beispieltext,fülltext,"
+    "steht,relleno,de ejemplo,de prueba,de muestra,escriba,es texto,es un texto,sample text,sample paragraph,sample content,example text,example paragraph,example content,"
+    "javascript,js,scripts,script,scripting,noscript,cookies,cookie,browser,browsers,skripte,"
+    "error,errors,fehler,400,401,403,404,405,408,410,429,500,502,503,504,denied,forbidden,wrong,be reached,unavailable,not available,offline,is down,are down,down for,maintenance,repair,too many requests,request timeout,request time,bad request,permission,authorized,authorised,unauthorized,unauthorised,"
+    "login,log in,sign in,sign-in,signed out,logged out,session,expired,timed out,requested,you asked for,looking for,could not,couldn't,cannot,can't,unable to,failed to,been removed,been deleted,been moved,was removed,was deleted,was moved,is removed,is gone,gone,unusual traffic,captcha,robot,a human,gateway,"
+    "nothing lives,nothing is,nothing was,nothing exists,nothing can,nothing to see,check the address,check the url,go back,incident,unable to connect,error connecting,ddos,was blocked,been blocked,is blocked,were blocked,was rejected,was refused,was denied,been banned,rate limited,rate-limited,been limited,not found,took too long,did not answer,"
+    "gefunden,gewünschte,angeforderte,zugriff,sitzung,melden sie,nicht erreichbar,nicht verfügbar,anfragen,aufgetreten,diese seite,página,acceso,sesión,no disponible,solicitudes,peticiones,salió,salido,ha ocurrido,ha producido"
+).split(",")
+CUE_SIGNS = "占位 替换 示例 测试文本 此处 这里 浏览器 脚本 启用 开启 页面 网页 不存在 访问 拒绝 服务器 登录 会话 过期 权限 系统 请求 文件 内容".split()
 
 
 def _latin_share(t: Column) -> Column:
@@ -80,7 +98,7 @@ def _repeats(t: Column) -> Column:
     words = F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: w != "")
     kinds = F.array_distinct(words)
     few = ((F.size(words) >= REPEATED_WORDS) & (F.size(kinds) == 1)) | ((F.size(words) >= 2 * REPEATED_WORDS) & (F.size(kinds) == 2)) | ((F.size(words) >= 3 * REPEATED_WORDS) & (F.size(kinds) == 3))
-    return few & ~F.exists(kinds, lambda w: F.length(w) > REPEATED_LETTERS)
+    return few & ~F.exists(kinds, lambda w: (F.length(w) > REPEATED_LETTERS) | (F.length(w) < 2))
 
 
 def _masked(raw: Column) -> Column:
@@ -92,25 +110,77 @@ def _masked(raw: Column) -> Column:
     return F.regexp_replace(m, r"(?<![\w\d])(?!(?:40[013458]|410|429|50[0234])\b)\d++(?:[.,:]\d++){0,6}", "0")
 
 
+def _automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for w in CUE_WORDS:
+        a.add_word(w, ("word", len(w)))
+    for w in CUE_SIGNS:
+        a.add_word(w, ("sign", len(w)))
+    for w in SLOT_LEADS:
+        a.add_word(w, ("slot", len(w)))
+    a.make_automaton()
+    return a
+
+
+_SLOT_START = re.compile(SLOT_START)
+
+
+def _lower(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def candidate_lines(text: str, automaton: ahocorasick.Automaton) -> tuple[bool, list[str]]:
+    """(whether the text is a page of furniture, its lines to be looked at).  One pass of one automaton over the text."""
+    prose = _FENCE.sub("\n", text)
+    if len(prose) <= PAGE_TEXT:
+        lines = [x for x in prose.splitlines() if x.strip()]
+        menu = [x for x in lines if MENU_WORD.match(x)]
+        trail = [x for x in lines if FURNITURE.match(x)]
+        rest = [x for x in lines if not MENU_WORD.match(x) and not FURNITURE.match(x)] if trail or len(menu) >= 3 else []
+        if rest and len(rest) <= PAGE_LINES and sum(map(len, rest)) <= PAGE_CHARS:
+            return True, rest
+    ends = [m.start() for m in re.finditer("\n", prose)] + [len(prose)]
+    hit, low = set(), _lower(prose)
+    for end, (kind, n) in automaton.iter(low):
+        start = end - n + 1
+        if kind == "word" and (start and low[start - 1].isalnum() or end + 1 < len(low) and low[end + 1].isalnum()):
+            continue
+        if kind == "slot" and not _SLOT_START.match(prose, start):
+            continue
+        hit.add(bisect_left(ends, end))
+    at = 0
+    for k, e in enumerate(ends):  # the same word soon again
+        if k not in hit:
+            w = low[at : min(e, at + 80)].split(None, 4)[:4]
+            if len(w) == 4 and w[0] in w[1:]:
+                hit.add(k)
+        at = e + 1
+    return False, [prose[ends[k - 1] + 1 if k else 0 : ends[k]] for k in sorted(hit)]
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    automaton = _automaton()
+    for b in batches:
+        out = []
+        for i, source, text in zip(*[c.to_pylist() for c in b.columns]):
+            page, lines = candidate_lines(text, automaton)
+            out += [(i, source, page, x) for x in lines if x.strip()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.bool_(), pa.string()))], ["doc_id", "source", "page", "raw"])
+
+
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per distinct prose line of a text that may be residue: doc_id, source, raw, page, masked, hash.
+    """One row per prose line of a text that may be residue: doc_id, source, page, size, masked, hash.
 
     ``page`` marks the lines of a text that is page furniture (menus, trails, footers) around a short notice."""
-    rows = distinct_names(docs, [key, "source", text]).where(F.col(text).isNotNull() & F.col(key).isNotNull())
-    prose = F.regexp_replace(F.col(text), _FENCE, "\n")
-    lines = F.filter(F.split(prose, r"\r?\n"), lambda x: F.trim(x) != "")
-    menu = lambda x: x.rlike(FURNITURE) | x.rlike(MENU_WORD)
-    one = rows.select(F.col(key).alias("doc_id"), "source", lines.alias("lines"))
-    rest = F.filter("lines", lambda x: ~menu(x))
-    framed = F.exists("lines", lambda x: x.rlike(FURNITURE)) | (F.size(F.filter("lines", lambda x: x.rlike(MENU_WORD))) >= 3)
-    short = F.size(rest).between(1, PAGE_LINES) & (F.aggregate(F.transform(rest, lambda x: F.length(x)), F.lit(0), lambda a, b: a + b) <= PAGE_CHARS)
-    one = one.withColumn("page", (F.size("lines") <= 40) & framed & short)
-    line = one.select("doc_id", "source", "page", F.explode(F.when(F.col("page"), rest).otherwise(F.col("lines"))).alias("raw"))
+    rows = distinct_names(docs, [key, "source", text]).where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), "source", text)
+    line = rows.mapInArrow(_lines, "doc_id long, source string, page boolean, raw string")
     line = line.where(~F.col("raw").rlike(r"^(?: {4,}|\t)")).withColumn("raw", F.trim(F.regexp_replace("raw", r"^\s*(?:[-*+>]\s+|\d+[.)]\s+|#{1,6}\s+){1,8}", "")))
     code = F.col("raw").rlike(r"[;{}]\s*$|^(?:@\w|//|/\*|\*/?|#!|import |from \w+ import|package |def |class |async |public |private |protected |static |export |const |let |var |val |fun |function |return\b|if ?\(|for ?\(|while ?\()|^\w[\w.\[\]]* ?[+\-*/|&]?= \S|^\w+(?:\.\w+){1,8}\(.*\)\s*$") & ~F.col("raw").rlike(r"^[\p{Lu}][\p{L}']* [^;={}]*[.!?]$")
-    line = line.where((F.col("raw") != "") & (F.col("page") | (F.col("raw").rlike(CUE) & ~(code & ~F.col("raw").rlike(r"endblock|%\}|\}\}")))))
+    line = line.where((F.col("raw") != "") & (F.col("page") | ~(code & ~F.col("raw").rlike(r"endblock|%\}|\}\}"))))
     masked = line.withColumn("masked", _masked(F.col("raw")))
-    return masked.withColumn("hash", F.xxhash64("page", F.lower(F.regexp_replace("masked", r"\s+", " ")))).distinct()
+    return masked.select("doc_id", "source", "page", F.length("raw").alias("size"), "masked", F.xxhash64("page", F.lower(F.regexp_replace("masked", r"\s+", " "))).alias("hash"))
 
 
 def kind_of(t: Column, page: Column) -> Column:
@@ -125,8 +195,9 @@ def kind_of(t: Column, page: Column) -> Column:
 
 
 def messages(found_blocks: DataFrame) -> DataFrame:
-    """Distinct messages over all sources: hash, masked, texts and sources that hold them, residue_kind (null: content)."""
-    m = found_blocks.groupBy("hash").agg(F.min("masked").alias("masked"), F.min("page").alias("page"), F.count("*").alias("texts"), F.approx_count_distinct("source").alias("sources"))
+    """Distinct messages over all sources: hash, masked, how often and in how many sources they occur, residue_kind (null:
+    content).  Copies are combined before the shuffle."""
+    m = found_blocks.groupBy("hash").agg(F.min("masked").alias("masked"), F.min("page").alias("page"), F.count("*").alias("times"), F.approx_count_distinct("source").alias("sources"))
     return m.withColumn("residue_kind", kind_of(F.col("masked"), F.col("page")))
 
 
@@ -136,7 +207,7 @@ def found(docs: DataFrame) -> DataFrame:
     b = cut(blocks(docs), "blocks")
     kinds = cut(messages(b).where("residue_kind is not null").select("hash", "residue_kind"), "messages")
     rank = F.when(F.col("residue_kind") == "script_notice", 3).when(F.col("residue_kind") == "error_page", 2).when(F.col("residue_kind") == "placeholder", 1).otherwise(0)
-    weight = F.when(F.col("page") & (F.col("residue_kind") == "script_notice"), 1000).otherwise(0) + F.length("raw")  # beside its footer
+    weight = F.when(F.col("page") & (F.col("residue_kind") == "script_notice"), 1000).otherwise(0) + F.col("size")  # beside its footer
     per = b.join(kinds, "hash").groupBy("doc_id", "residue_kind").agg(F.sum(weight).alias("size"))
     return per.groupBy("doc_id").agg(F.max_by("residue_kind", F.struct("size", rank)).alias("residue_kind"))
 
