@@ -4,8 +4,9 @@ Every file gets a versioned fingerprint (its field paths and types).  The differ
 next is a list of explicit migration steps (renamed, retyped, added, removed).  Chaining the rename steps back to
 the first version gives each file the rules (source field, cast) by which its records are routed into one table.
 
-All parsing is done by Spark's variant functions inside whole-stage codegen; nothing is collected.  Field counts
-are aggregated map-side to one row per (file, path, type).  Values are hashed, and only those of fields that could
+All parsing is done by Spark's variant functions inside whole-stage codegen; nothing is collected.  Records are parsed
+once into a table of fields, of which each step reads the columns it needs.  Field counts are aggregated map-side to
+one row per (file, path, type).  Values are hashed, and only those of fields that could
 be a rename are shuffled, keyed by record id.
 
 Defined results: lines that aren't a JSON object (null, empty, cut off, trailing text) are no records; a leading
@@ -41,59 +42,58 @@ def records(lines: DataFrame) -> DataFrame:
     return once.where(F.col("line").startswith("{") & F.col("line").endswith("}")).withColumn("rec", F.try_parse_json("line")).where("rec is not null")
 
 
-def _kind(col: str) -> str:
-    """JSON type of a variant: string, number, boolean, array, object; null for a JSON null."""
-    t = f"schema_of_variant({col})"
-    return f"""CASE WHEN {t} = 'STRING' THEN 'string' WHEN {t} = 'BOOLEAN' THEN 'boolean' WHEN {t} LIKE 'ARRAY%' THEN 'array'
-        WHEN {t} LIKE 'OBJECT%' THEN 'object' WHEN {t} = 'VOID' THEN NULL ELSE 'number' END"""
+#: JSON types by the first letters of a variant's schema; all else is a number.
+_KINDS = "map('STRI', 'string', 'BOOL', 'boolean', 'ARRA', 'array', 'OBJE', 'object', 'VOID', 'null')"
 
 
-def field_values(recs: DataFrame) -> DataFrame:
-    """One row per record and non-null field: feed, file_name, rid, line_no, path, parent, kind, vhash.
+def _kind(schema: str) -> str:
+    return f"coalesce({_KINDS}[left({schema}, 4)], 'number')"
 
-    ``a[].b`` has one row per record; its hash covers the values of all elements in order, and its kind is that
-    of the first element that holds it.  ``id`` is left out.
-    """
+
+def top_fields(recs: DataFrame) -> DataFrame:
+    """One row per record and top-level field, written to the shared folder so that records are parsed once: file_name,
+    line_no, rid, path, kind, j (the value as JSON with sorted keys), one (true once a record).  A record without
+    fields gives one row with a null path."""
     spark = recs.sparkSession
-    top = spark.sql(
-        f"""SELECT file_name, line_no, to_json(variant_get(rec, '$.id')) AS rid, e.key AS k, e.value AS v, {_kind('e.value')} AS kind
-            FROM {{recs}}, LATERAL variant_explode(rec) e WHERE e.key IS NOT NULL AND e.key <> 'id'""",
+    rows = spark.sql(
+        """SELECT file_name, line_no, to_json(variant_get(rec, '$.id')) AS rid, e.key AS path, schema_of_variant(e.value) AS t, to_json(e.value) AS j, coalesce(e.pos, 0) = 0 AS one
+           FROM {recs}, LATERAL variant_explode_outer(rec) e""",
         recs=recs,
-    ).where("kind is not null")
-    flat = top.select("file_name", "line_no", "rid", F.col("k").alias("path"), F.lit(None).cast("string").alias("parent"), "kind", F.xxhash64("kind", F.expr("to_json(v)")).alias("vhash"))
-    inner = (
-        spark.sql(
-            f"""SELECT file_name, line_no, rid, concat(k, '.', e.key) AS path, k AS parent, {_kind('e.value')} AS kind, to_json(e.value) AS j
-                FROM {{objects}}, LATERAL variant_explode(v) e WHERE e.key IS NOT NULL""",
-            objects=top.where("kind = 'object'"),
-        )
-        .where("kind is not null")
-        .select("file_name", "line_no", "rid", "path", "parent", "kind", F.xxhash64("kind", "j").alias("vhash"))
-    )
-    elements = spark.sql(
-        "SELECT file_name, line_no, rid, k, e.pos AS nth, e.value AS v FROM {arrays}, LATERAL variant_explode(v) e WHERE schema_of_variant(e.value) LIKE 'OBJECT%'",
-        arrays=top.where("kind = 'array'"),
     )
+    return cut(rows.selectExpr("file_name", "line_no", "rid", "path", f"{_kind('t')} AS kind", "j", "one"), "fields")
+
+
+def field_values(top: DataFrame) -> DataFrame:
+    """One row per record and non-null field: file_name, line_no, rid, path, parent, kind, vhash.
+
+    ``a[].b`` has one row per record; its hash covers the values of all elements in order, and its kind is that
+    of the first element that holds it.  ``id`` is left out.
+    """
+    spark = top.sparkSession
+    top = top.where("path is not null and path <> 'id' and kind <> 'null'")
+    flat = top.select("file_name", "line_no", "rid", "path", F.lit(None).cast("string").alias("parent"), "kind", F.xxhash64("kind", "j").alias("vhash"))
+    inside = lambda kind: top.where(F.col("kind") == kind).select("file_name", "line_no", "rid", F.col("path").alias("parent"), F.try_parse_json("j").alias("v"))
+    fields = "e.key AS name, schema_of_variant(e.value) AS t, to_json(e.value) AS j"
+    inner = spark.sql(f"SELECT file_name, line_no, rid, parent, {fields} FROM {{objects}}, LATERAL variant_explode(v) e WHERE e.key IS NOT NULL", objects=inside("object"))
+    inner = inner.selectExpr("file_name", "line_no", "rid", "concat(parent, '.', name) AS path", "parent", f"{_kind('t')} AS kind", "j").where("kind <> 'null'")
+    elements = spark.sql("SELECT file_name, line_no, rid, parent, e.pos AS nth, e.value AS v FROM {arrays}, LATERAL variant_explode(v) e WHERE schema_of_variant(e.value) LIKE 'OBJECT%'", arrays=inside("array"))
+    of_elements = spark.sql(f"SELECT file_name, line_no, rid, parent, nth, {fields} FROM {{elements}}, LATERAL variant_explode(v) e WHERE e.key IS NOT NULL", elements=elements)
     of_elements = (
-        spark.sql(
-            f"""SELECT file_name, line_no, rid, concat(k, '[].', e.key) AS path, k AS parent, nth, {_kind('e.value')} AS kind, to_json(e.value) AS j
-                FROM {{elements}}, LATERAL variant_explode(v) e WHERE e.key IS NOT NULL""",
-            elements=elements,
-        )
-        .where("kind is not null")
+        of_elements.selectExpr("file_name", "line_no", "rid", "concat(parent, '[].', name) AS path", "parent", "nth", f"{_kind('t')} AS kind", "j")
+        .where("kind <> 'null'")
         .groupBy("file_name", "line_no", "rid", "path", "parent")
         .agg(F.min_by("kind", "nth").alias("kind"), F.sum(F.shiftright(F.xxhash64("nth", "kind", "j"), 12)).alias("vhash"))
     )
-    return flat.unionByName(inner).unionByName(of_elements)
+    return flat.unionByName(inner.select("file_name", "line_no", "rid", "path", "parent", "kind", F.xxhash64("kind", "j").alias("vhash"))).unionByName(of_elements)
 
 
-def fingerprints(recs: DataFrame, values: DataFrame, lines: DataFrame, share: float = PRESENT_SHARE) -> tuple[DataFrame, DataFrame]:
+def fingerprints(top: DataFrame, values: DataFrame, lines: DataFrame, share: float = PRESENT_SHARE) -> tuple[DataFrame, DataFrame]:
     """(versions, fields).  versions: feed, file_name, version (0 for the first file of the feed), n.
     fields: feed, version, file_name, path, parent, kind – those that at least ``share`` of the file's records hold."""
     files = (
         distinct_names(lines, ["feed", "file_name", "written_on"]).where(F.col("file_name").isNotNull()).groupBy("file_name").agg(F.min("feed").alias("feed"), F.min("written_on").alias("written_on"))
     )
-    n = recs.groupBy("file_name").agg(F.count("*").alias("n"))
+    n = top.groupBy("file_name").agg(F.count_if("one").alias("n"))
     versions = files.join(n, "file_name", "left").select(
         "feed", "file_name", F.coalesce("n", F.lit(0)).alias("n"), (F.row_number().over(Window.partitionBy("feed").orderBy("written_on", "file_name")) - 1).alias("version")
     )
@@ -105,12 +105,12 @@ def fingerprints(recs: DataFrame, values: DataFrame, lines: DataFrame, share: fl
 
 def changes(lines: DataFrame, share: float = PRESENT_SHARE) -> DataFrame:
     """Migration steps: feed, version, file_name, path, change_kind, new_value (see the module's head)."""
-    recs = records(lines)
-    return _changes(lines, recs, field_values(recs), share)[0]
+    return _changes(lines, top_fields(records(lines)), share)[0]
 
 
-def _changes(lines: DataFrame, recs: DataFrame, values: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    versions, fields = fingerprints(recs, values, lines, share)
+def _changes(lines: DataFrame, top: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    values = field_values(top)
+    versions, fields = fingerprints(top, values, lines, share)
     versions, fields = cut(versions, "versions"), cut(fields, "fields")
     before = fields.select("feed", (F.col("version") + 1).alias("version"), "path", "parent", F.col("kind").alias("old_kind"), F.col("file_name").alias("old_file"))
     now = fields.select("feed", "version", "path", F.col("parent").alias("parent_now"), F.col("kind").alias("new_kind"))
@@ -212,7 +212,7 @@ def merged(lines: DataFrame, share: float = PRESENT_SHARE) -> DataFrame:
     from object: its ``items``), a missing field becomes null.  Values no rule can cast become null.
     """
     recs = records(lines)
-    steps, versions, fields = _changes(lines, recs, field_values(recs), share)
+    steps, versions, fields = _changes(lines, top_fields(recs), share)
     meta = (
         versions.select("feed", "version", "file_name", F.lit("version").alias("what"), F.lit("").alias("path"), F.lit("").alias("change_kind"), F.lit("").alias("new_value"))
         .unionByName(fields.select("feed", "version", "file_name", F.lit("field").alias("what"), "path", F.lit("").alias("change_kind"), F.lit("").alias("new_value")))

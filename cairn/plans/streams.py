@@ -79,6 +79,9 @@ SELECT doc_id, min(ts)::TIMESTAMPTZ AS session_start, (max(ts) + INTERVAL 30 MIN
     "records_from_log": f"WITH {_LOG} SELECT doc_id, round(epoch(max(ts)), 3) AS last_access_time, count(*)::INTEGER AS access_count, (count(*) FILTER (ok))::INTEGER AS correct_count, count(*)::INTEGER AS total_use_count FROM l GROUP BY doc_id",
     "merged_records": f"WITH {_LOG} SELECT doc_id, round(epoch(max(ts)), 3) AS last_access_time, count(*)::INTEGER AS access_count, (count(*) FILTER (ok))::INTEGER AS correct_count FROM l GROUP BY doc_id",
     "records_at": f"WITH {_LOG} SELECT doc_id, round(epoch(max(ts)), 3) AS last_access_time, count(*)::INTEGER AS access_count FROM l WHERE ts <= TIMESTAMP '2024-01-10' GROUP BY doc_id",
+    "cache_replay_ttl": f"""WITH RECURSIVE {_LOG}, p AS (SELECT doc_id, min(ts) AS t FROM l GROUP BY doc_id UNION ALL
+SELECT p.doc_id, (SELECT min(l.ts) FROM l WHERE l.doc_id = p.doc_id AND l.ts > p.t + INTERVAL 3600 SECOND) FROM p WHERE p.t IS NOT NULL)
+SELECT doc_id, uses, uses - puts AS hits FROM (SELECT doc_id, count(*) AS uses FROM l GROUP BY doc_id) JOIN (SELECT doc_id, count(t) AS puts FROM p GROUP BY doc_id) USING (doc_id)""",
     "as_of_error": """SELECT b.event_id, b.user_id, e.value AS error_value FROM (SELECT * FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL AND ts IS NOT NULL) b
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error' AND user_id IS NOT NULL AND ts IS NOT NULL) e ON b.user_id = e.user_id AND b.ts >= e.ts""",
 }

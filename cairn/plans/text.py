@@ -140,6 +140,8 @@ round({_KW} / {len(KEYWORDS)}::DOUBLE * 0.6::DOUBLE + CASE WHEN {_RX('answer', T
     "normal_space": f"{_A} SELECT rec_id, md5(trim(regexp_replace(answer, '\\s+', ' ', 'g'))) AS flat_md5 FROM a",
     "response_extract": f"""{_A}, r AS (SELECT rec_id, {_FENCED} AS c, regexp_replace(regexp_extract(answer, '(?is)(Step\\s*4.*)$', 1), '^\\s+|\\s+$', '', 'g') AS tail FROM a)
 SELECT rec_id, md5('```python' || chr(10) || c || chr(10) || '```' || CASE WHEN tail <> '' THEN chr(10) || chr(10) || tail ELSE '' END) AS response_md5 FROM r""",
+    "reasoning_extract": f"""{_A} SELECT rec_id, CASE WHEN regexp_matches(answer, '(?is)Step\\s*1.*?(Step\\s*3|```)') THEN regexp_replace(regexp_extract(answer, '(?is)(Step\\s*1.*?)(?:Step\\s*3|```)', 1), '^\\s+|\\s+$', '', 'g')
+WHEN contains(answer, '```') THEN regexp_replace(split_part(answer, '```', 1), '^\\s+|\\s+$', '', 'g') ELSE '' END AS reasoning FROM a""",
     "prompt_build": f"""WITH p AS (SELECT item_id, prompt, entry_point, unnest(['no-rag', 'rag', 'rag-forgetting']) AS mode, CASE WHEN item_id % 5 > 0 THEN '// ctx ' || item_id END AS context FROM benchmark_items)
 SELECT item_id, mode, CASE WHEN mode = 'no-rag' OR coalesce(context, '') = '' THEN prompt ELSE CASE WHEN mode = 'rag-forgetting' THEN '{_S(T.FORGETTING_PREFIX[:-2])}' || chr(10) || chr(10) ELSE '{_S(T.RAG_PREFIX[:-1])}' || chr(10) END || context || chr(10) || chr(10) || '{T.COMPLETE[:-1]}' || chr(10) || prompt END AS built,
 left(coalesce(prompt, '') || ' ' || coalesce(entry_point, ''), 500) AS query FROM p""",
