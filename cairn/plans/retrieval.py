@@ -9,7 +9,7 @@ from cairn.functions import memory as M
 from cairn.functions import textcode as T
 from cairn.operators import knn as K
 from cairn.operators import rerank as R
-from cairn.runtime import shared_dir, table
+from cairn.runtime import forget_on_exit, shared_dir, table
 
 NOW = 1735689600.0  # 2025-01-01, the time at which records are scored
 EVERY, TOP = 50, 5
@@ -69,6 +69,7 @@ def knn_index(s, d):
     c = K.fit_centres(e)
     at = f"{shared_dir(s)}/cairn-index-{uuid.uuid4().hex}"
     K.build_index(e, c, at)
+    forget_on_exit(s, at)
     return _hits(K.search_index(at, c, _queries(s, d), TOP))
 
 

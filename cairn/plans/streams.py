@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cairn.runtime import shared_dir, table
+from cairn.runtime import forget_on_exit, shared_dir, table
 from cairn.streaming import access as A
 
 
@@ -19,6 +19,7 @@ def _streamed(s, d, op, name):
     at = f"{shared_dir(s)}/cairn-{name}-{uuid.uuid4().hex}"
     src = A.stream_of(s, f"{d}/events.parquet", table(s, d, "events"))
     A.run_available(op(A.accesses(src)), at + "/out", at + "/state")
+    forget_on_exit(s, at)
     return s.read.parquet(at + "/out")
 
 

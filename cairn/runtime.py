@@ -1,4 +1,4 @@
-"""Session helpers: table access, lineage cuts in the shared folder, checked broadcasts."""
+"""Session helpers: table access, lineage cuts in the shared folder."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side may be broadcast only below this many rows; callers count first.
-BROADCAST_ROWS = 200_000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,20 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def forget_on_exit(spark: SparkSession, path: str) -> None:
+    """Have an existing intermediate folder deleted when the driver's JVM ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so later stages never recompute what came before
     and survive the loss of executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/cairn-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    forget_on_exit(spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only where the counted size allows it."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def distinct_names(df: DataFrame, wanted: list[str]) -> DataFrame:
     """Only the columns an operator reads, so extra or clashing columns of the input never reach its joins."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])
