@@ -157,15 +157,20 @@ def _chain(pdf):
     (files x fields of the feed), never records."""
     import pandas as pd
 
-    versions = pdf[pdf.what == "version"].sort_values("version")
-    steps = pdf[pdf.what == "step"]
-    fields = pdf[pdf.what == "field"]
-    origin: dict[str, set[str]] = {}  # current path -> names this field has had or will have
-    lineages: list[tuple[set[str], dict[int, str]]] = []
+    file_of: dict[int, str] = {}
+    fields: dict[int, set[str]] = {}
+    renamed: dict[int, dict[str, str]] = {}
+    for what, v, file, path, kind, new in zip(*[pdf[c].tolist() for c in ("what", "version", "file_name", "path", "change_kind", "new_value")]):
+        if what == "version":
+            file_of[v] = file
+        elif what == "field":
+            fields.setdefault(v, set()).add(path)
+        elif kind == "renamed":
+            renamed.setdefault(v, {})[path] = new
+    lineages: list[tuple[set[str], dict[int, str]]] = []  # names a field has had, and its path in each version
     live: dict[str, tuple[set[str], dict[int, str]]] = {}
-    for v, file in zip(versions.version, versions.file_name):
-        here = set(fields[fields.version == v].path)
-        moved = {a: b for a, b, kind in zip(*[steps[steps.version == v][c] for c in ("path", "new_value", "change_kind")]) if kind == "renamed"}
+    for v in sorted(file_of):
+        here, moved = fields.get(v, set()), renamed.get(v, {})
         after = {}
         for path, line in live.items():
             head, dot, tail = path.partition("[]." if "[]." in path else ".")
@@ -180,7 +185,6 @@ def _chain(pdf):
             names.add(path)
             at[v] = path
         live = after
-    file_of = dict(zip(versions.version, versions.file_name))
     out = []
     tops = [(n, a) for n, a in lineages if not any("." in x for x in n)]
     for target in ["source_text", "messages", "conversations", "instruction"]:
@@ -211,8 +215,8 @@ def merged(lines: DataFrame, share: float = PRESENT_SHARE) -> DataFrame:
     value to the column's type (string from array: its first element; string from object: its ``text``; array
     from object: its ``items``), a missing field becomes null.  Values no rule can cast become null.
     """
-    recs = records(lines)
-    steps, versions, fields = _changes(lines, top_fields(recs), share)
+    recs = cut(records(lines).drop("rec"), "records")
+    steps, versions, fields = _changes(lines, top_fields(recs.withColumn("rec", F.try_parse_json("line"))), share)
     meta = (
         versions.select("feed", "version", "file_name", F.lit("version").alias("what"), F.lit("").alias("path"), F.lit("").alias("change_kind"), F.lit("").alias("new_value"))
         .unionByName(fields.select("feed", "version", "file_name", F.lit("field").alias("what"), "path", F.lit("").alias("change_kind"), F.lit("").alias("new_value")))
@@ -220,7 +224,7 @@ def merged(lines: DataFrame, share: float = PRESENT_SHARE) -> DataFrame:
     )
     rules = meta.groupBy("feed").applyInPandas(_chain, "file_name string, target string, source string")
     by_file = versions.join(rules.groupBy("file_name").agg(F.map_from_entries(F.collect_list(F.struct("target", "source"))).alias("rule")), "file_name", "left").select("file_name", "version", "rule")
-    df = recs.drop("rec").join(by_file, "file_name", "left")
+    df = recs.join(by_file, "file_name", "left")
     raw = lambda t: F.call_function("get_json_object", F.col("line"), F.concat(F.lit("$['"), F.col("rule")[t], F.lit("']")))
 
     def text(t: str):

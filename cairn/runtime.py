@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
