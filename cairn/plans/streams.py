@@ -23,16 +23,21 @@ def _streamed(s, d, op, name):
     return s.read.parquet(at + "/out")
 
 
+def _as_text(df, *times):
+    """Times as text, so that no reader's time zone enters the result."""
+    return df.withColumns({t: F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS") for t in times})
+
+
 def stream_access_tumbling(s, d):
-    return _streamed(s, d, A.tumbling, "tumbling")
+    return _as_text(_streamed(s, d, A.tumbling, "tumbling"), "window_start", "window_end")
 
 
 def stream_session(s, d):
-    return _streamed(s, d, A.sessions, "sessions")
+    return _as_text(_streamed(s, d, A.sessions, "sessions"), "session_start", "session_end")
 
 
 def batch_tumbling(s, d):
-    return A.tumbling(_log(s, d))
+    return _as_text(A.tumbling(_log(s, d)), "window_start", "window_end")
 
 
 def records_from_log(s, d):
@@ -70,13 +75,14 @@ QUERIES = {f.__name__: f for f in (stream_access_tumbling, stream_session, batch
 
 _LOG = "l AS (SELECT 'u_' || user_id AS doc_id, ts, coalesce(event_type <> 'error', true) AS ok FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)"
 _WIN = "w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS b, count(*) AS uses, count(*) FILTER (ok) AS correct FROM l GROUP BY 1)"
-_COLS = "b::TIMESTAMPTZ AS window_start, (b + INTERVAL 1 DAY)::TIMESTAMPTZ AS window_end, uses, correct"
+_TEXT = "'%Y-%m-%d %H:%M:%S.%f'"
+_COLS = f"strftime(b, {_TEXT}) AS window_start, strftime(b + INTERVAL 1 DAY, {_TEXT}) AS window_end, uses, correct"
 
 SQL = {
     "stream_access_tumbling": f"WITH {_LOG}, {_WIN} SELECT {_COLS} FROM w WHERE b + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM l)",
     "batch_tumbling": f"WITH {_LOG}, {_WIN} SELECT {_COLS} FROM w",
     "stream_session": f"""WITH {_LOG}, n AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY doc_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM l), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM n)
-SELECT doc_id, min(ts)::TIMESTAMPTZ AS session_start, (max(ts) + INTERVAL 30 MINUTE)::TIMESTAMPTZ AS session_end, count(*) AS uses FROM g GROUP BY doc_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM l)""",
+SELECT doc_id, strftime(min(ts), {_TEXT}) AS session_start, strftime(max(ts) + INTERVAL 30 MINUTE, {_TEXT}) AS session_end, count(*) AS uses FROM g GROUP BY doc_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM l)""",
     "records_from_log": f"WITH {_LOG} SELECT doc_id, round(epoch(max(ts)), 3) AS last_access_time, count(*)::INTEGER AS access_count, (count(*) FILTER (ok))::INTEGER AS correct_count, count(*)::INTEGER AS total_use_count FROM l GROUP BY doc_id",
     "merged_records": f"WITH {_LOG} SELECT doc_id, round(epoch(max(ts)), 3) AS last_access_time, count(*)::INTEGER AS access_count, (count(*) FILTER (ok))::INTEGER AS correct_count FROM l GROUP BY doc_id",
     "records_at": f"WITH {_LOG} SELECT doc_id, round(epoch(max(ts)), 3) AS last_access_time, count(*)::INTEGER AS access_count FROM l WHERE ts <= TIMESTAMP '2024-01-10' GROUP BY doc_id",
