@@ -20,7 +20,7 @@ def test_empty():
 
 
 def test_whole_answers():
-    for a in ("Yes.", "42", "42 ms", "O(n log n)", "`cache_key`", "Call the index after each write." + CODE, "- `a`\n- `b`", "Use a lock<|im_end|>." if False else "Use a lock for it.<|im_end|>", Q + "\n\nCall it after each write.", "You asked: " + Q + "\n\nCall it after each write."):
+    for a in ("Yes.", "42", "42 ms", "O(n log n)", "`cache_key`", "Call the index after each write." + CODE, "- `a`\n- `b`", "Use a lock for it.<|im_end|>", Q + "\n\nCall it after each write.", "You asked: " + Q + "\n\nCall it after each write."):
         assert d(a) is None, a
 
 
