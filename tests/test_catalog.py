@@ -44,15 +44,15 @@ def test_python_extraction():
     got = [(k, n) for k, n, *_ in H.python_items(src)]
     assert got == [("function", "f"), ("class", "K"), ("function", "inner"), ("function", "m")]
     assert H.python_items("def broken(:") == [] and H.python_items("\0") == []
-    body = "def g():" + " " * 10 + "return 1234567"
-    assert len("def g(): return 'abcdefghijk'") == 29 and H.python_items(body[:30]) == [] if len(body[:30]) == 30 else True
+    exactly = "def g(): return 'abcdefghijkl'"
+    assert len(exactly) == 30 and H.python_items(exactly) == [] and len(H.python_items(exactly.replace("l'", "lm'"))) == 1
 
 
 def test_pattern_extraction():
     js = "function add(a, b) { return a + b + 1000; }\nconst mul = function (a, b) { return a * b; }"
     assert [x[1] for x in H.pattern_items(js, ".js", H.PATTERNS_V1)][:1] == ["add"]
     kt = "suspend fun load(id: Int): String { return repo.get(id) }\nclass StoreOfManyThingsAndMore"
-    assert [x[1] for x in H.pattern_items(kt, ".kt", H.PATTERNS_V2)] == ["load"] or "load" in [x[1] for x in H.pattern_items(kt, ".kt", H.PATTERNS_V2)]
+    assert [x[1] for x in H.pattern_items(kt, ".kt", H.PATTERNS_V2)] == ["load", "StoreOfManyThingsAndMore"]
     big = "function f(a) { return a + 1; }\n" * 20000
     assert len(H.pattern_items(big, ".js", H.PATTERNS_V1)) == 20000
 
