@@ -3,7 +3,10 @@
 A Merkle hash is computed bottom-up: content rows give the file's hash, files and subdirectories give their
 directory's, level by level.  A subtree whose hash occurs in unrelated repositories is a shared copy; it is vendored
 where a notice or a directory names the repository it comes from, and so is every other copy outside that
-repository.  Header notices, name endings, directories and the layout of the text tell the other classes.
+repository.  What holds for a directory holds for all files below it, however short; a file's own hash comes first,
+then that of the nearest directory.  A notice speaks for a directory if all its files carry it, or if the repository it
+names holds the same directory.  Header notices, name endings, directories and the layout of the text tell the other
+classes.
 
 All of it is column expressions.  Hashes of children are combined by a sum of mixed hashes, which is partially
 aggregated before each shuffle, so a repository or a directory of any size is no hot group.  The number of rounds is
@@ -77,19 +80,35 @@ def file_facts(details: DataFrame) -> DataFrame:
 
 def merkle(files: DataFrame) -> DataFrame:
     """Hashes of all directories: repo, path ('' is the root), hash, files, chars.  A directory's hash is that of its
-    files' and subdirectories' hashes, whatever their names."""
+    files' and subdirectories' hashes, whatever their names and depth."""
     node = files.select("repo", F.col("file_path").alias("path"), "hash", F.lit(1).cast("long").alias("files"), F.col("chars").cast("long").alias("chars"))
     depth = node.select(F.max(F.size(F.split("path", "/")))).first()[0] or 0
     level = lambda d: F.size(F.split("path", "/")) == d
     out, current = None, node.where(level(depth)) if depth else node
     for d in range(depth, 0, -1):
-        parents = current.groupBy("repo", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "")).otherwise("").alias("path")).agg(F.sum(_mix(F.lit(d), F.col("hash"))).alias("hash"), F.sum("files").alias("files"), F.sum("chars").alias("chars"))
+        parents = current.groupBy("repo", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "")).otherwise("").alias("path")).agg(F.sum(_mix(F.lit("directory"), F.col("hash"))).alias("hash"), F.sum("files").alias("files"), F.sum("chars").alias("chars"))
         out = parents if out is None else out.unionByName(parents)
         if d > 1:
             current = cut(parents.unionByName(node.where(level(d - 1))), "level")
     return out if out is not None else node.where("false")
 
 
+def _above(own: DataFrame, held: DataFrame, repos: DataFrame) -> DataFrame:
+    """What the shared directories ``held`` (repo, path, hash, files, shared_repos) say of every file below them: repo,
+    file_path, dir_repos (repositories that hold one of them), dir_copy_of (origin of the nearest that has one)."""
+    short = lambda c: F.element_at(F.split(c, "/"), -1)
+    held = held.select("repo", "path", "hash", "files", "shared_repos")
+    origin = repos.withColumnRenamed("name", "copy_of")
+    parts = F.split("file_path", "/")
+    paths = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    below = own.select("repo", "file_path", F.when(F.col("ven"), F.col("named")).alias("named"), F.explode(F.array_distinct(paths)).alias("path")).join(held, ["repo", "path"])
+    placed = held.select("repo", "path", "hash", F.posexplode(F.split("path", "/")).alias("at", "copy_of")).where(F.col("copy_of") != short("repo")).join(origin, "copy_of").groupBy("repo", "path", "hash").agg(F.max_by("copy_of", "at").alias("copy_of"))
+    holders = held.select("hash", short("repo").alias("copy_of"), F.lit(True).alias("holds")).distinct()
+    told = below.where("named is not null").groupBy("repo", "path", "hash", "files", F.col("named").alias("copy_of")).agg(F.count("*").alias("n")).join(origin, "copy_of").join(holders, ["hash", "copy_of"], "left").where("holds or n = files")
+    origins = placed.select("hash", "copy_of").unionByName(told.select("hash", "copy_of")).groupBy("hash").agg(F.min("copy_of").alias("copy_of"))
+    return below.join(origins, "hash", "left").groupBy("repo", "file_path").agg(F.max("shared_repos").alias("dir_repos"), F.max_by("copy_of", F.when(F.col("copy_of").isNotNull(), F.length("path"))).alias("dir_copy_of"))
+
+
 def classify(details: DataFrame) -> DataFrame:
     """One row per file: repo, file_path, file_class (null for hand-written), shared_repos (repositories that hold the
     same file or directory)."""
@@ -100,16 +119,22 @@ def classify(details: DataFrame) -> DataFrame:
     named_dir = dirs.where(F.col("name") != short("repo")).join(repos, "name").groupBy("repo", "file_path").agg(F.max("name").alias("dir_of"))
 
     # the same file, or the same directory, in unrelated repositories
-    nodes = files.where(F.col("chars") >= MIN_SHARED_CHARS).select("repo", F.col("file_path").alias("path"), "hash").unionByName(merkle(files).where(F.col("chars") >= MIN_SHARED_CHARS).where("files > 1").select("repo", "path", "hash"))
-    shared = nodes.groupBy("hash").agg(F.approx_count_distinct("repo", 0.01).alias("n"), F.min("repo").alias("lo"), F.max("repo").alias("hi")).where("lo <> hi").select("hash", F.greatest("n", F.lit(2)).alias("shared_repos"))
+    tree = cut(merkle(files).where(F.col("chars") >= MIN_SHARED_CHARS).where("files > 1"), "tree")
+    nodes = files.where(F.col("chars") >= MIN_SHARED_CHARS).select("hash", "repo").unionByName(tree.select("hash", "repo"))
+    shared = cut(nodes.distinct().groupBy("hash").agg(F.count("*").alias("shared_repos")).where("shared_repos > 1"), "shared")
     own = files.join(named_dir, ["repo", "file_path"], "left").withColumn("named", F.when(F.col("named") != short("repo"), F.nullif("named", F.lit(""))))
     own = own.withColumn("origin", F.coalesce("dir_of", F.when(F.col("ven"), F.col("named"))))
     copied = own.where(F.col("chars") >= MIN_SHARED_CHARS).join(shared, "hash")
     origins = copied.where("origin is not null").groupBy("hash").agg(F.min("origin").alias("copy_of"))
+    above = _above(own, tree.join(shared, "hash"), repos)
+    long_enough = F.col("shared_repos").isNotNull() & (F.col("chars") >= MIN_SHARED_CHARS)
     marked = (
         own.join(shared, "hash", "left")
         .join(origins.join(repos.withColumnRenamed("name", "copy_of"), "copy_of"), "hash", "left")
-        .withColumn("copy_of", F.when((F.col("copy_of") != short("repo")) & F.col("shared_repos").isNotNull() & (F.col("chars") >= MIN_SHARED_CHARS), F.col("copy_of")))
+        .join(above, ["repo", "file_path"], "left")
+        .withColumn("copy_of", F.coalesce(F.when(long_enough, F.col("copy_of")), "dir_copy_of"))
+        .withColumn("copy_of", F.when(F.col("copy_of") != short("repo"), F.col("copy_of")))
+        .withColumn("shared_repos", F.greatest(F.when(long_enough, F.col("shared_repos")), "dir_repos"))
     )
     chars = F.greatest("chars", F.lit(1))
     blob = (F.col("chars") >= MIN_BLOB_CHARS) & (F.col("literal") / chars >= BLOB_SHARE)

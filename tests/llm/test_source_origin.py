@@ -43,3 +43,24 @@ def test_shared_copy_of_a_named_origin(spark):
 
 def test_long_content(spark):
     assert classes(spark, [("a/b", "x.py", "data = '" + "A" * 2_000_000 + "'")]) == {("a/b", "x.py"): "data_blob"}
+
+
+def test_equal_subtrees_at_other_depths_have_equal_hashes(spark):
+    rows = [("a/r", "p/x/1.py", HAND), ("a/r", "p/x/2.py", HAND + "#2"), ("b/s", "q/deep/y/8.py", HAND), ("b/s", "q/deep/y/9.py", HAND + "#2")]
+    h = {(r.repo, r.path): r.hash for r in O.merkle(O.file_facts(spark.createDataFrame(rows, "repo string, file_path string, content string"))).collect()}
+    assert h["a/r", "p/x"] == h["b/s", "q/deep/y"] != h["a/r", "p"]
+
+
+def test_shared_directory_marks_the_short_files_below_it(spark):
+    tree = [(f"s{k}.py", f"def short_{k}(a):\n    return a + {k}\n") for k in range(4)] + [("in/deep.py", "LIMIT = 3\n"), ("in/__init__.py", "")]
+    rows = [(repo, f"{at}/{p}", text) for repo, at in (("a/lib.io", "src"), ("b/x", "deps/lib.io/src"), ("c/y", "core/own/tree")) for p, text in tree]
+    rows += [("d/z", "alone/s0.py", tree[0][1]), ("d/z", "alone/t.py", HAND)]
+    df = spark.createDataFrame(rows, "repo string, file_path string, content string")
+    assert classes(spark, rows) == {(repo, f"{at}/{p}"): "vendored" for repo, at in (("b/x", "deps/lib.io/src"), ("c/y", "core/own/tree")) for p, _ in tree}
+    got = {(r.repo, r.file_path): r.shared_repos for r in O.classify(df).collect()}
+    assert {got["a/lib.io", "src/s0.py"], got["c/y", "core/own/tree/in/deep.py"]} == {3} and got["d/z", "alone/s0.py"] == 1
+    # a notice in one file speaks for its directory where the repository it names holds it
+    told = [(repo, f"{at}/{p}", ("# vendored from lib.io\n" if at == "core" and p == "s0.py" else "") + text) for repo, at in (("a/lib.io", "src"), ("c/y", "core")) for p, text in tree]
+    assert classes(spark, told) == {("c/y", f"core/{p}"): "vendored" for p, _ in tree}
+    other = [(r.replace("lib.io", "two"), p, t) for r, p, t in told]
+    assert classes(spark, [*other, ("e/lib.io", "m.py", HAND)]) == {("c/y", "core/s0.py"): "vendored"}
