@@ -3,7 +3,8 @@
 One deterministic automaton (Aho-Corasick) holds the anchors of all grammars: token formats by their prefixes, key
 armor, connection strings, names of settings, headers and remarks.  Texts are scanned in overlapping windows; each
 anchor's grammar is matched where the anchor stands; spans are kept as absolute positions, so what two windows see
-counts once.  Redaction splices a placeholder over the spans only, so quotes and code around stay.
+counts once.  A window that would end inside an unbroken value is drawn out to the value's end, and the end of a key's
+armor is sought in the whole text, so a value may have any length.  Redaction splices a placeholder over the spans only, so quotes and code around stay.
 
 One pass, no shuffle of contents.  Defined results: null and empty content gives nothing; repeated rows each come
 out; a key split over joined string literals starts at its first literal, and every literal is redacted.
@@ -79,7 +80,7 @@ def _cased(prefix: str) -> re.Pattern:
 
 def usable(value: str, least: int = 8) -> bool:
     """Whether a value can be a live credential: no placeholder, dummy, name, reference, id or digest."""
-    if len(value) < least or len(value) > 4096 or re.search(r"\s", value) or _DUMMY.search(value) or _UUID.match(value) or _DIGEST.match(value) or _REFERENCE.match(value):
+    if len(value) < least or re.search(r"\s", value) or _DUMMY.search(value) or _UUID.match(value) or _DIGEST.match(value) or _REFERENCE.match(value):
         return False
     if len(set(value)) < 5 or value.startswith("data:"):
         return False
@@ -125,6 +126,10 @@ _ASSIGN = re.compile(
 _JOINED = re.compile(r"""["'`]\s*(?:\)?\s*[+.]\s*|\s)\s*\n\s*(?:[+.]\s*)?["'`]([^"'`\n]+)(?=["'`])""")
 _ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*?PRIVATE KEY(?: BLOCK)?-----")
 _ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*?PRIVATE KEY(?: BLOCK)?-----")
+_ARMOR_RUN = re.compile(r"(?:[A-Za-z0-9+/=]|\\[nr]){16,}")
+_ARMOR_HEADER = re.compile(r"[\s\"'`#*/+>]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID)\s*:")
+_ARMOR_LAST = re.compile(r"[\s\"'`#*/+>]*(?:[A-Za-z0-9+/]{1,15}={0,2}|=[A-Za-z0-9+/]{4})(?=(?:\\[nr]|[\s\"'`,;+)])*$)")
+_BREAK = re.compile(r"[\s\"'`]")
 _URL = re.compile(r"://(?P<user>[^\s:/@\"'`<>]*):(?P<v>[^\s/@\"'`]+|[^\s@\"'`/]*(?:/[^\s@\"'`/]*)?)@[\w.$%{\[-]")
 _SCHEME = re.compile(r"(Bearer|Basic|Token|token|bearer|basic)\s+([A-Za-z0-9+/_=.~:-]{8,})")
 _LOGIN = re.compile(r"(?:login|credentials|creds|account|user)\b[^\n:=]{0,40}[:=]\s*[\"']?[\w.@-]+\s*(?:/|:|\|)\s*[\"']?([^\s\"'`,;]+)", re.I)
@@ -155,7 +160,7 @@ def _line(text: str, at: int) -> tuple[int, int]:
 
 
 def _scan(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of credentials in one window."""
+    """Spans of credentials in one window; that of key armor ends at -1, which stands for ``_armor_end``."""
     if not _AUTOMATON:
         _AUTOMATON.append(_automaton())
     low = text.lower()
@@ -173,8 +178,7 @@ def _scan(text: str) -> Iterator[tuple[int, int]]:
             elif kind == "armor":
                 m = _ARMOR.match(text, at)
                 if m and len(re.findall(r"[A-Za-z0-9+/=]", re.sub(r"\\[nr]", "", text[m.end() : m.end() + 200]).split("-----")[0])) >= 24 and "..." not in text[m.end() : m.end() + 40]:
-                    e = _ARMOR_END.search(text, m.end())
-                    yield at, e.end() if e and e.start() - m.end() < OVERLAP else min(len(text), m.end() + 400)
+                    yield at, -1  # its end may lie beyond the window
             elif kind == "url":
                 m = _URL.match(text, at)
                 if m and usable(m.group("v"), 6):
@@ -241,13 +245,51 @@ def _scan(text: str) -> Iterator[tuple[int, int]]:
                         yield start + m.start(1), start + m.end(1)
 
 
+def _armored(line: str) -> int:
+    """Where key material ends in a line that is mostly of it; 0 if it is not."""
+    runs = list(_ARMOR_RUN.finditer(line))
+    return runs[-1].end() if 2 * sum(len(m.group()) for m in runs) >= len(re.sub(r"\s", "", line)) > 0 and runs else 0
+
+
+def _armor_end(text: str, at: int) -> int:
+    """The end of the private key whose BEGIN line stands at ``at``: its END, however far, unless another key begins
+    before or far more than key material lies between; else the end of the lines of key material that follow."""
+    begin = _ARMOR.match(text, at).end()
+    following = _ARMOR.search(text, begin)
+    end = _ARMOR_END.search(text, begin, following.start() if following else len(text))
+    if end and (end.start() - begin < OVERLAP or _armored(text[begin : end.start()])):
+        return end.end()
+    stop, pos, limit = begin, begin, following.start() if following else len(text)
+    while pos < limit:
+        line_end = text.find("\n", pos, limit)
+        line = text[pos : limit if line_end < 0 else line_end]
+        if n := _armored(line):
+            stop = pos + n
+        elif stop > begin and (m := _ARMOR_LAST.match(line)):
+            stop = pos + m.end()
+        elif line.strip(" \t\r\"'`#*/+>,;\\nr") and not _ARMOR_HEADER.match(line):
+            break
+        pos += len(line) + 1
+    return stop if stop > begin else min(limit, begin + 400)
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     """Credentials in ``text`` as disjoint spans in order; overlapping windows, absolute places, each once."""
     found: set[tuple[int, int]] = set()
-    step = WINDOW - OVERLAP
-    for base in range(0, max(1, len(text) - OVERLAP), step):
-        for s, e in _scan(text[base : base + WINDOW]):
-            found.add((base + s, base + e))
+    armor: set[int] = set()
+    base, stop = 0, 0
+    while not base or stop < len(text):
+        stop = min(len(text), base + WINDOW)
+        if stop < len(text) and not _BREAK.search(text, stop - OVERLAP // 2, stop):
+            m = _BREAK.search(text, stop)
+            stop = m.end() if m else len(text)
+        for s, e in _scan(text[base:stop]):
+            if e < 0:
+                armor.add(base + s)
+            else:
+                found.add((base + s, base + e))
+        base = max(stop - OVERLAP, 1)
+    found.update((s, _armor_end(text, s)) for s in armor)
     out: list[tuple[int, int]] = []
     for s, e in sorted(found):
         if out and s < out[-1][1]:
