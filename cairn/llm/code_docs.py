@@ -8,8 +8,8 @@ the same repository, where overloads are told apart by signature; then trivial d
 A tolerant lexer blanks comments and strings first, so code inside them is no function and code that no grammar
 accepts is still read.
 
-Defined results: null or empty content gives nothing; a function documented twice in one content counts once; ids
-repeated in the input are separate rows of it; other columns are ignored.
+Defined results: null or empty content gives nothing; overloads and methods of several classes are pairs of their own,
+while ``found`` gives a name once a row; ids repeated in the input are separate rows of it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,7 +122,9 @@ def _python(text: str) -> Iterator[tuple]:
                 if tail:
                     doc = _unquote(raw)
             has_body = not re.compile(r"\s*\.\.\.\s*(?:\n|\Z)").match(lx.code, colon.end() if doc is None else first[2])
-        yield name, owner, supers.get(owner, []), _signature(params, "python"), has_body, doc, m.start()
+        stop = re.compile(r"\n(?=[ \t]{0,%d}\S)|\Z" % len(m.group(1)) if m.group(2) else r"\n|\Z").search(lx.code, colon.end() if colon else end).start()
+        begin = m.start() + re.match(r"\s*", m.group()).end()
+        yield name, owner, supers.get(owner, []), _signature(params, "python"), has_body, doc, begin, begin + len(text[begin:stop].rstrip())
 
 
 #: Words that stand before "(" and are no function names.
@@ -145,6 +147,12 @@ _ANNOTATION = re.compile(rf"\s*@(?!interface\b)(?:\w+:)?{_NAME}(?:\.{_NAME})*")
 _CLASS = re.compile(rf"\b(?:class|interface|object|trait|enum|record|struct)\s+({_NAME})\s*{_GENERIC}([^{{;]*)\{{")
 
 
+def _end(code: str, tail: int, body: bool) -> int:
+    """Where the function ends whose parameters end at ``tail``: its brace, or its statement."""
+    brace = re.compile(r"[^;{}]*\{").match(code, tail) if body else None
+    return closing(code, brace.end() - 1) if brace else re.compile(r"[^;\n}]*;?").match(code, tail).end()
+
+
 def _brace(text: str) -> Iterator[tuple]:
     lx = lex(text, False)
     code = lx.code
@@ -191,7 +199,7 @@ def _brace(text: str) -> Iterator[tuple]:
             if n == 7 and not (re.match(r"\s*(?:throws\s[^{;]*)?(?::[^{;=]*)?(?:\{|;|$)", after) or re.match(r"\s*:\s*\{", after)):
                 continue
             owner = next((c for c in reversed(classes) if c[0] < start < c[1]), None)
-            yield m.group(1), owner[2] if owner else "", owner[3] if owner else [], _signature(params, ""), body, _comment_text(text[start:end]), start
+            yield m.group(1), owner[2] if owner else "", owner[3] if owner else [], _signature(params, ""), body, _comment_text(text[start:end]), at, _end(code, tail, body)
             break
 
 
@@ -215,13 +223,13 @@ def _signature(params: str, language: str) -> str:
 
 
 def functions_of(text: str, language: str) -> Iterator[tuple]:
-    """(name, owner, supertypes, signature, has_body, documentation or None, position) of functions in ``text``.
+    """(name, owner, supertypes, signature, has_body, documentation or None, start, end) of functions in ``text``.
     Of brace languages only those with a ``/** */`` comment are given."""
     yield from _python(text) if language == "python" else _brace(text)
 
 
 _SYMBOLS = pa.schema(
-    [("detail_id", pa.int64()), ("repo", pa.string()), ("owner", pa.string()), ("supertypes", pa.list_(pa.string())), ("func_name", pa.string()), ("signature", pa.string()), ("has_body", pa.bool_()), ("description", pa.string()), ("good", pa.bool_())]
+    [("detail_id", pa.int64()), ("repo", pa.string()), ("owner", pa.string()), ("supertypes", pa.list_(pa.string())), ("func_name", pa.string()), ("signature", pa.string()), ("has_body", pa.bool_()), ("description", pa.string()), ("good", pa.bool_()), ("code_start", pa.int64()), ("code_end", pa.int64())]
 )
 
 
@@ -229,9 +237,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for i, repo, language, path, text in zip(*[c.to_pylist() for c in b.columns]):
-            for name, owner, supers, sig, body, doc, _ in functions_of(text, language_of(language, path)):
+            for name, owner, supers, sig, body, doc, start, end in functions_of(text, language_of(language, path)):
                 description = describe(doc) if doc is not None else None
-                out.append((i, repo, owner, supers, name, sig, body, description, description is not None and says_something(description, name)))
+                out.append((i, repo, owner, supers, name, sig, body, description, description is not None and says_something(description, name), start, end))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SYMBOLS)], schema=_SYMBOLS)
 
@@ -239,24 +247,26 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def symbols(details: DataFrame) -> DataFrame:
     """The symbol tables of all rows (see ``functions_of``), with cleaned descriptions and whether they say something."""
     rows = distinct_names(details, ["detail_id", "repo", "language", "file_path", "content"]).where(F.col("content").contains("def") | F.col("content").contains("/**"))
-    return rows.mapInArrow(_extract, "detail_id long, repo string, owner string, supertypes array<string>, func_name string, signature string, has_body boolean, description string, good boolean")
+    return rows.mapInArrow(_extract, "detail_id long, repo string, owner string, supertypes array<string>, func_name string, signature string, has_body boolean, description string, good boolean, code_start long, code_end long")
 
 
 def pairs(details: DataFrame) -> DataFrame:
-    """detail_id, func_name, description, doc_from (the row the description stands in).
+    """detail_id, owner, func_name, signature, code_start, code_end (characters from 0 of the function in its content),
+    description, doc_from (the row the description stands in); one row a function.
 
     A function's own documentation wins.  An undocumented definition takes that of a documented declaration without
     body of the same repository, name and signature whose owner is the definition's class or one of its supertypes;
     of several the one of the least detail_id.
     """
     sym = cut(symbols(details), "symbols")
-    own = sym.where("good").select("detail_id", "func_name", "description", F.col("detail_id").alias("doc_from"))
-    declared = sym.where("good and not has_body and owner <> ''").groupBy("repo", "owner", "func_name", "signature").agg(F.min_by("description", "detail_id").alias("description"), F.min("detail_id").alias("doc_from"))
-    bare = sym.where("has_body and description is null and owner <> ''").select("detail_id", "repo", "func_name", "signature", F.explode(F.array_union(F.array("owner"), "supertypes")).alias("owner"))
-    joined = bare.join(declared, ["repo", "owner", "func_name", "signature"]).select("detail_id", "func_name", "description", "doc_from")
-    return own.unionByName(joined).groupBy("detail_id", "func_name").agg(F.min_by(F.struct("description", "doc_from"), F.struct(F.col("doc_from") != F.col("detail_id"), "doc_from", "description")).alias("d")).select("detail_id", "func_name", "d.description", "d.doc_from")
+    key = ["detail_id", "owner", "func_name", "signature", "code_start", "code_end"]
+    own = sym.where("good").select(*key, "description", F.col("detail_id").alias("doc_from"))
+    declared = sym.where("good and not has_body and owner <> ''").groupBy("repo", F.col("owner").alias("declared_in"), "func_name", "signature").agg(F.min_by("description", "detail_id").alias("description"), F.min("detail_id").alias("doc_from"))
+    bare = sym.where("has_body and description is null and owner <> ''").select(*key, "repo", F.explode(F.array_union(F.array("owner"), "supertypes")).alias("declared_in"))
+    joined = bare.join(declared, ["repo", "declared_in", "func_name", "signature"]).select(*key, "description", "doc_from")
+    return own.unionByName(joined).groupBy(*key).agg(F.min_by(F.struct("description", "doc_from"), F.struct(F.col("doc_from") != F.col("detail_id"), "doc_from", "description")).alias("d")).select(*key, "d.description", "d.doc_from")
 
 
 def found(details: DataFrame) -> DataFrame:
     """Functions documented in their own row: detail_id, func_name."""
-    return pairs(details).where("doc_from = detail_id").select("detail_id", "func_name")
+    return pairs(details).where("doc_from = detail_id").select("detail_id", "func_name").distinct()

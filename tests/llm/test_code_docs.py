@@ -96,3 +96,14 @@ def test_empty(spark):
 def test_long_text():
     text = "x = 1\n" * 100_000 + f'def last():\n    """{GOOD}"""\n'
     assert names(text) == ["last"]
+
+
+def test_overloads_and_classes_stay_apart(spark):
+    java = f"class A {{\n  /** {GOOD} */\n  int f(int a) {{ return 1; }}\n  /** Tells how many lists there still are. */\n  int f(String b) {{ if (b) {{ }} return 2; }}\n}}"
+    python = f'class A:\n    def f(self):\n        """{GOOD}"""\n        return 1\n\nclass B:\n    def f(self):\n        """{GOOD}"""\n        x = """\nno end\n"""\n        return x\n'
+    df = spark.createDataFrame([(1, "r", "java", "A.java", java), (2, "r", "python", "a.py", python), (2, "r", "python", "a.py", python)], "detail_id long, repo string, language string, file_path string, content string")
+    code = {1: java, 2: python}
+    got = sorted((r.detail_id, r.owner, r.signature, code[r.detail_id][r.code_start : r.code_end]) for r in D.pairs(df).collect())
+    first = f'def f(self):\n        """{GOOD}"""\n        '
+    assert got == [(1, "A", "1(String)", "int f(String b) { if (b) { } return 2; }"), (1, "A", "1(int)", "int f(int a) { return 1; }"), (2, "A", "0()", first + "return 1"), (2, "B", "0()", first + 'x = """\nno end\n"""\n        return x')]
+    assert sorted(map(tuple, D.found(df).collect())) == [(1, "f"), (2, "f")]
