@@ -147,6 +147,12 @@ _ANNOTATION = re.compile(rf"\s*@(?!interface\b)(?:\w+:)?{_NAME}(?:\.{_NAME})*")
 _CLASS = re.compile(rf"\b(?:class|interface|object|trait|enum|record|struct)\s+({_NAME})\s*{_GENERIC}([^{{;]*)\{{")
 
 
+#: What may stand between parameters and body: a result on the same line, exceptions, qualifiers; what no definition begins with.
+_BODY = re.compile(r"\s*(?:(?:const|noexcept|override|final)\b\s*)*(?:throws\s[^{;=]*)?(?:(?::|->)[^{;=\n]*)?(?:where\s[^{=;]*)?\s*(?:\{|=(?![=>]))|\s*(?::[^;{}=\n]*|:[^;=\n]*)?=>|\s*:\s*\{[^{}]*\}[^;{}=\n]*\{")
+_CANDIDATE = re.compile(r"(?:^|[;{}])[ \t]*+(?=[@A-Za-z_$*#<\u0080-￿][^;{}()\n]*(?:\(|=>))", re.M)
+_NO_START = frozenset("if for while switch catch return new throw else do try synchronized when super this typeof await yield case assert delete import".split())
+
+
 def _end(code: str, tail: int, body: bool) -> int:
     """Where the function ends whose parameters end at ``tail``: its brace, or its statement."""
     brace = re.compile(r"[^;{}]*\{").match(code, tail) if body else None
@@ -158,6 +164,7 @@ def _brace(text: str) -> Iterator[tuple]:
     code = lx.code
     classes = [(m.start(), closing(code, m.end() - 1), m.group(1), re.findall(rf"{_NAME}", re.sub(r"<[^<>]*>|\([^()]*\)|\b(?:extends|implements|with)\b", " ", m.group(2)))) for m in _CLASS.finditer(code)]
     marks = lx.marks
+    seen: set[int] = set()
     for i, (kind, start, end) in enumerate(marks):
         if kind != "doc":
             continue
@@ -183,24 +190,56 @@ def _brace(text: str) -> Iterator[tuple]:
                 k += 1
         if blocked:
             continue
-        for n, rx in enumerate(_DECLS):
-            m = rx.match(code, at)
-            if not m or m.group(1) in _NOT_NAMES:
-                continue
-            params, tail = "", m.end()
-            if code[m.end() : m.end() + 1] == "(":
-                tail = closing(code, m.end())
-                params = code[m.end() + 1 : tail - 1]
-            after = code[tail : tail + 400]
-            arrow = bool(re.match(r"\s*(?::[^={};]*(?:\{[^{}]*\})?[^={};]*?)?=>", after)) or code[m.end() : m.end() + 1] != "("
-            body = arrow or bool(re.match(r"[^;{}=]*(?:\{|=(?!=))", after))
-            if n in (2, 3, 4) and not (arrow or "function" in m.group()):
-                continue
-            if n == 7 and not (re.match(r"\s*(?:throws\s[^{;]*)?(?::[^{;=]*)?(?:\{|;|$)", after) or re.match(r"\s*:\s*\{", after)):
-                continue
+        if d := _declaration(code, at):
+            seen.add(at)
+            name, params, tail, body = d
             owner = next((c for c in reversed(classes) if c[0] < start < c[1]), None)
-            yield m.group(1), owner[2] if owner else "", owner[3] if owner else [], _signature(params, ""), body, _comment_text(text[start:end]), at, _end(code, tail, body)
-            break
+            yield name, owner[2] if owner else "", owner[3] if owner else [], _signature(params, ""), body, _comment_text(text[start:end]), at, _end(code, tail, body)
+    bounds, open_ = iter(sorted(classes)), []
+    coming = next(bounds, None)
+    for c in _CANDIDATE.finditer(code):  # definitions without documentation
+        at = c.end()
+        while a := _ANNOTATION.match(code, at):
+            at = a.end()
+            paren = re.compile(r"[ \t]*\(").match(code, at)
+            at = re.compile(r"\s*").match(code, closing(code, paren.end() - 1) if paren else at).end()
+        word = re.compile(r"\w+").match(code, at)
+        if at in seen or word and word.group() in _NO_START:
+            continue
+        first = re.compile(r"[^(;{}]*?(?:\(|=>)").match(code, at)
+        if not first or code[first.end() - 1] == "(" and "=" not in first.group() and not _BODY.match(code, closing(code, first.end() - 1)) and "." not in first.group():
+            continue
+        d = _declaration(code, at)
+        if d and d[3]:
+            seen.add(at)
+            while coming and coming[0] < at:
+                open_.append(coming)
+                coming = next(bounds, None)
+            while open_ and open_[-1][1] <= at:
+                open_.pop()
+            name, params, tail, body = d
+            yield name, open_[-1][2] if open_ else "", open_[-1][3] if open_ else [], _signature(params, ""), True, None, at, _end(code, tail, body)
+
+
+def _declaration(code: str, at: int) -> tuple[str, str, int, bool] | None:
+    """Name, parameters, their end and whether a body follows, of the function declared at ``at``."""
+    for n, rx in enumerate(_DECLS):
+        m = rx.match(code, at)
+        if not m or m.group(1) in _NOT_NAMES:
+            continue
+        params, tail = "", m.end()
+        if code[m.end() : m.end() + 1] == "(":
+            tail = closing(code, m.end())
+            params = code[m.end() + 1 : tail - 1]
+        after = code[tail : tail + 400]
+        arrow = bool(re.match(r"\s*(?::[^={};]*(?:\{[^{}]*\})?[^={};]*?)?=>", after)) or code[m.end() : m.end() + 1] != "("
+        body = arrow or bool(_BODY.match(after))
+        if n in (2, 3, 4) and not (arrow or "function" in m.group()):
+            continue
+        if n == 7 and not (re.match(r"\s*(?:throws\s[^{;]*)?(?::[^{;=]*)?(?:\{|;|$)", after) or re.match(r"\s*:\s*\{", after)):
+            continue
+        return m.group(1), params, tail, body
+    return None
 
 
 def _signature(params: str, language: str) -> str:
@@ -224,7 +263,7 @@ def _signature(params: str, language: str) -> str:
 
 def functions_of(text: str, language: str) -> Iterator[tuple]:
     """(name, owner, supertypes, signature, has_body, documentation or None, start, end) of functions in ``text``.
-    Of brace languages only those with a ``/** */`` comment are given."""
+    Of brace languages: those with a ``/** */`` comment, and definitions without one."""
     yield from _python(text) if language == "python" else _brace(text)
 
 
@@ -246,7 +285,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def symbols(details: DataFrame) -> DataFrame:
     """The symbol tables of all rows (see ``functions_of``), with cleaned descriptions and whether they say something."""
-    rows = distinct_names(details, ["detail_id", "repo", "language", "file_path", "content"]).where(F.col("content").contains("def") | F.col("content").contains("/**"))
+    rows = distinct_names(details, ["detail_id", "repo", "language", "file_path", "content"]).where("content <> ''")
     return rows.mapInArrow(_extract, "detail_id long, repo string, owner string, supertypes array<string>, func_name string, signature string, has_body boolean, description string, good boolean, code_start long, code_end long")
 
 
@@ -255,14 +294,15 @@ def pairs(details: DataFrame) -> DataFrame:
     description, doc_from (the row the description stands in); one row a function.
 
     A function's own documentation wins.  An undocumented definition takes that of a documented declaration without
-    body of the same repository, name and signature whose owner is the definition's class or one of its supertypes;
+    body of the same repository, name and signature whose owner is the definition's class or one of its supertypes,
+    or which like the definition has none (free functions);
     of several the one of the least detail_id.
     """
     sym = cut(symbols(details), "symbols")
     key = ["detail_id", "owner", "func_name", "signature", "code_start", "code_end"]
     own = sym.where("good").select(*key, "description", F.col("detail_id").alias("doc_from"))
-    declared = sym.where("good and not has_body and owner <> ''").groupBy("repo", F.col("owner").alias("declared_in"), "func_name", "signature").agg(F.min_by("description", "detail_id").alias("description"), F.min("detail_id").alias("doc_from"))
-    bare = sym.where("has_body and description is null and owner <> ''").select(*key, "repo", F.explode(F.array_union(F.array("owner"), "supertypes")).alias("declared_in"))
+    declared = sym.where("good and not has_body").groupBy("repo", F.col("owner").alias("declared_in"), "func_name", "signature").agg(F.min_by("description", "detail_id").alias("description"), F.min("detail_id").alias("doc_from"))
+    bare = sym.where("has_body and description is null").select(*key, "repo", F.explode(F.array_union(F.array("owner"), "supertypes")).alias("declared_in"))
     joined = bare.join(declared, ["repo", "declared_in", "func_name", "signature"]).select(*key, "description", "doc_from")
     return own.unionByName(joined).groupBy(*key).agg(F.min_by(F.struct("description", "doc_from"), F.struct(F.col("doc_from") != F.col("detail_id"), "doc_from", "description")).alias("d")).select(*key, "d.description", "d.doc_from")
 

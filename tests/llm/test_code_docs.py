@@ -107,3 +107,16 @@ def test_overloads_and_classes_stay_apart(spark):
     first = f'def f(self):\n        """{GOOD}"""\n        '
     assert got == [(1, "A", "1(String)", "int f(String b) { if (b) { } return 2; }"), (1, "A", "1(int)", "int f(int a) { return 1; }"), (2, "A", "0()", first + "return 1"), (2, "B", "0()", first + 'x = """\nno end\n"""\n        return x')]
     assert sorted(map(tuple, D.found(df).collect())) == [(1, "f"), (2, "f")]
+
+
+def test_undocumented_definitions_of_brace_languages(spark):
+    rows = [
+        (1, "r", "java", "Store.java", f"public interface Store {{\n  /** {GOOD} */\n  long load(int a, String b);\n}}"), (2, "r", "java", "Disk.java", "class Disk extends Base implements Store {\n  @Override\n  public long load(int x, String y) {\n    if (x > 1) { call(x); }\n    return 1;\n  }\n  long load(int x) { return 2; }\n}"),
+        (3, "r", "kotlin", "Store.kt", f"interface Shelf {{\n  /** {GOOD} */\n  fun load(a: Int): Long\n  fun other(b: Int = 2): Long\n}}"), (4, "r", "kotlin", "Disk.kt", "class Disk : Shelf {\n  override fun load(x: Int): Long = 1\n}"),
+        (5, "r", "typescript", "s.ts", f"export interface Rack {{\n  /** {GOOD} */\n  load(a: number): Promise<void>;\n}}"), (6, "r", "typescript", "d.ts", "export class Disk implements Rack {\n  async load(b: number): Promise<void> {\n  }\n}"),
+        (7, "r", "c", "s.h", f"/** {GOOD} */\nint load(const char *path, int n);\n"), (8, "r", "c", "s.c", '#include "s.h"\nint load(const char *p, int k)\n{\n  return k;\n}\nint main(void) {\n  return load("x", 1);\n}\n'), (9, "q", "c", "s.c", "int load(const char *p, int k) { return k; }"),
+    ]
+    df = spark.createDataFrame(rows, "detail_id long, repo string, language string, file_path string, content string")
+    got = {(r.detail_id, r.owner, r.func_name, r.doc_from) for r in D.pairs(df).collect()}
+    assert got == {(1, "Store", "load", 1), (2, "Disk", "load", 1), (3, "Shelf", "load", 3), (4, "Disk", "load", 3), (5, "Rack", "load", 5), (6, "Disk", "load", 5), (7, "", "load", 7), (8, "", "load", 7)}
+    assert sorted(r.detail_id for r in D.found(df).collect()) == [1, 3, 5, 7]
