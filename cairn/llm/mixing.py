@@ -9,8 +9,8 @@ token sums (a small table) tell up to which bucket texts are taken whole, and on
 ordered.  So a source of a third of all texts is never in one task.  Texts stay where they are; ids, hashes and
 sizes are shuffled.
 
-Defined results: equal texts are one text, which belongs to the source of its least doc_id (so no text is used more
-than its cap); null and empty texts, sources without target, with a null, zero or negative share, or with a cap under
+Defined results: equal texts are one text, which belongs to the source of its least doc_id among the copies whose source
+takes part, else among all (so no text is used more than its cap); null and empty texts, sources without target, with a null, zero or negative share, or with a cap under
 1 take no part; shares are scaled to add up to 1 over the sources that take part; the total is ``total_tokens``, by
 default the tokens of all taking part; if all sources are clamped the mix is smaller.
 """
@@ -47,11 +47,21 @@ def _count(path: str):
     return run
 
 
-def texts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """One row per distinct text: doc_id, source, tokens."""
+def _wanted(targets: DataFrame) -> DataFrame:
+    """One row per source of the targets: source, target_share, max_repeats."""
+    return distinct_names(targets, ["source", "target_share", "max_repeats"]).where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+
+
+def texts(docs: DataFrame, tokenizer: str = TOKENIZER, targets: DataFrame | None = None) -> DataFrame:
+    """One row per distinct text: doc_id, source, tokens; of copies, those of sources that take part come first."""
     rows = distinct_names(docs, ["doc_id", "source", "text"]).where("doc_id is not null and text is not null and text <> ''").select("doc_id", "source", F.xxhash64("text", F.length("text")).alias("text_hash"), "text")
     sized = rows.mapInArrow(_count(tokenizer), "doc_id long, source string, text_hash long, tokens long")
-    return sized.groupBy("text_hash", "tokens").agg(F.min_by("source", "doc_id").alias("source"), F.min("doc_id").alias("doc_id")).select("doc_id", "source", "tokens")
+    out = F.lit(False)
+    if targets is not None:
+        part = _wanted(targets).where("target_share > 0 and not isnan(target_share) and max_repeats >= 1").select("source", F.lit(True).alias("part"))
+        sized, out = sized.join(part, "source", "left"), F.col("part").isNull()
+    least = F.min(F.struct(out.alias("out"), "doc_id", "source")).alias("least")
+    return sized.groupBy("text_hash", "tokens").agg(least).select("least.doc_id", "least.source", "tokens")
 
 
 def water_fill(rows: list[tuple[str, float, int, int]], total: float | None = None) -> dict[str, float]:
@@ -77,7 +87,7 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None
     max_repeats, epochs (null if it takes no part)."""
     spark = sized.sparkSession
     have = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("texts"))
-    want = distinct_names(targets, ["source", "target_share", "max_repeats"]).where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    want = _wanted(targets)
     both = have.join(want, "source", "full").toPandas()  # one row per source
     use = [(s, float(w), int(m), int(n)) for s, w, m, n in zip(both["source"], both["target_share"], both["max_repeats"], both["tokens"]) if s is not None and w == w and w is not None and w > 0 and m == m and m is not None and m >= 1 and n == n and n and n > 0]
     given = water_fill(use, total_tokens)
@@ -104,14 +114,14 @@ def draw(sized: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total_tokens: float | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, source, tokens, copies."""
-    sized = cut(texts(docs, tokenizer), "sized")
+    sized = cut(texts(docs, tokenizer, targets), "sized")
     return draw(sized, plan(sized, targets, total_tokens), seed)
 
 
 def report(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total_tokens: float | None = None, seed: int = SEED) -> DataFrame:
     """One row per source of either side: source, target_share, tokens, max_repeats, epochs, drawn_tokens,
     actual_share, most_copies."""
-    sized = cut(texts(docs, tokenizer), "sized")
+    sized = cut(texts(docs, tokenizer, targets), "sized")
     planned = plan(sized, targets, total_tokens)
     drawn = draw(sized, planned, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.max("copies").alias("most_copies"))
     total = F.sum("drawn_tokens").over(Window.partitionBy())

@@ -129,3 +129,10 @@ def test_residue(spark):
     assert {texts[i] and texts[i][:80]: (got.get(i), want.get(i)) for i in set(got) | set(want) if got.get(i) != want.get(i)} == {}
     assert R.kept(docs).count() == len(rows) - len(want)
     assert R.found(docs.where("false")).count() == 0
+
+
+def test_mix_counts_a_text_for_a_source_that_takes_part(spark):
+    docs = spark.createDataFrame([(1, None, "one two three"), (2, "none", "one two three"), (3, "b", "one two three"), (4, "a", "one two three"), (5, "zero", "four five"), (6, "a", "four five"), (7, "a", "six"), (8, "none", "seven eight"), (9, "nan", "six"), (0, "nocap", "six")], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2), ("zero", 0.0, 3), ("nan", float("nan"), 3), ("nocap", 0.5, 0)], "source string, target_share double, max_repeats int")
+    assert sorted((r.doc_id, r.source) for r in M.texts(docs, targets=targets).collect()) == [(3, "b"), (6, "a"), (7, "a"), (8, "none")]
+    assert {r.doc_id for r in M.mix(docs, targets, total_tokens=12).collect()} == {3, 6, 7}
