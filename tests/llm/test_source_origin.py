@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import datetime as dt
+
 from cairn.llm import source_origin as O
 
 HAND = "def load(path, limit):\n    rows = []\n    for x in open(path):\n        rows.append(x.strip())\n    return rows[:limit]\n" * 3
@@ -63,4 +65,37 @@ def test_shared_directory_marks_the_short_files_below_it(spark):
     told = [(repo, f"{at}/{p}", ("# vendored from lib.io\n" if at == "core" and p == "s0.py" else "") + text) for repo, at in (("a/lib.io", "src"), ("c/y", "core")) for p, text in tree]
     assert classes(spark, told) == {("c/y", f"core/{p}"): "vendored" for p, _ in tree}
     other = [(r.replace("lib.io", "two"), p, t) for r, p, t in told]
-    assert classes(spark, [*other, ("e/lib.io", "m.py", HAND)]) == {("c/y", "core/s0.py"): "vendored"}
+    kin = [(r.replace("a/two", "c/two"), p, t) for r, p, t in other]  # of one owner: only what the notice says
+    assert classes(spark, [*kin, ("e/lib.io", "m.py", HAND)]) == {("c/y", "core/s0.py"): "vendored"}
+
+
+TREE = [(f"s{k}.py", f"def short_{k}(a):\n    return a + {k}\n") for k in range(6)] + [("in/deep.py", "LIMIT = 3\n")]
+
+
+def test_a_shared_subtree_is_found_by_its_hash_alone(spark, monkeypatch):
+    """No notice, no telling directory: unrelated repositories hold the same directory, and the first keeps it."""
+    schema = "repo string, file_path string, content string, indexed_at timestamp"
+    day = lambda k: dt.datetime(2024, 1, k)
+    rows = [(repo, f"{at}/{p}", text, day(d)) for repo, at, d in (("z/first", "src", 1), ("b/x", "core/own/tree", 2), ("c/y", "misc", 3)) for p, text in TREE]
+    rows += [("z/other", f"kept/{p}", text, day(4)) for p, text in TREE]  # the origin's owner
+    rows += [("b/x", "core/hand.py", HAND, day(1)), ("q/w", "one.py", HAND + "# same\n", day(1)), ("r/v", "two.py", HAND + "# same\n", day(2))]  # one function alone
+    df = spark.createDataFrame(rows, schema)
+    got = {(r.repo, r.file_path): (r.file_class, r.sign) for r in O.classify(df).collect() if r.file_class}
+    assert got == {(repo, f"{at}/{p}"): ("vendored", "subtree") for repo, at in (("b/x", "core/own/tree"), ("c/y", "misc")) for p, _ in TREE}
+    real = O.merkle
+    monkeypatch.setattr(O, "merkle", lambda files: real(files).where("false"))
+    assert O.found(df).count() == 0
+
+
+def test_generated_twins_tell_no_origin(spark):
+    made = [(repo, f"{at}/{p}", ("# Code generated by tool. DO NOT EDIT.\n" if made else "") + t) for repo, at, made in (("a/gen", "src", True), ("b/x", "lib", False)) for p, t in (("a.py", HAND), ("b.py", HAND + "b = 1\n"))]
+    assert classes(spark, made) == {("a/gen", "src/a.py"): "generated", ("a/gen", "src/b.py"): "generated"}
+
+
+def test_notices_stand_anywhere_in_the_head(spark):
+    far = "# Copyright 2020 The X Authors.\n" + "# licence text\n" * 300
+    rows = [
+        ("a/r", "one.go", "// Copyright 2020 The X Authors.\n// Code generated by protoc-gen-go. DO NOT EDIT.\n" + HAND), ("a/r", "two.ts", "/*\n * Copyright X\n * @generated\n */\n" + HAND), ("a/r", "three.py", '"""Generated by tool 3.1. Do not edit."""\n' + HAND),
+        ("a/r", "four.py", far + "# This file was generated by mkdata.\n" + HAND), ("a/r", "five.py", far + "# vendored from upstreamlib 2.1\n" + HAND), ("a/r", "six.py", far + "# Reads files generated by protoc and lists them.\n" + HAND), ("a/r", "seven.py", far + HAND + "# This file was generated by mkdata.\n"),
+    ]
+    assert classes(spark, rows) == {("a/r", p): "generated" for p in ("one.go", "two.ts", "three.py", "four.py")} | {("a/r", "five.py"): "vendored"}
