@@ -1,13 +1,15 @@
 """Credentials in source code and configuration: find every live one with its place, and redact it in place.
 
-One deterministic automaton (Aho-Corasick) holds the anchors of all grammars: token formats by their prefixes, key
-armor, connection strings, names of settings, headers and remarks.  Texts are scanned in overlapping windows; each
-anchor's grammar is matched where the anchor stands; spans are kept as absolute positions, so what two windows see
-counts once.  A window that would end inside an unbroken value is drawn out to the value's end, and the end of a key's
-armor is sought in the whole text, so a value may have any length.  Redaction splices a placeholder over the spans only, so quotes and code around stay.
+Token formats, key armor and connection strings are one deterministic automaton (``automaton.Grammars``).  Their literal
+beginnings, with the names of settings, headers and remarks, are sought by Aho-Corasick in overlapping chunks of the
+text; from each beginning the automaton walks the text, whatever the chunk, so a value may have any length and its left
+neighbour is always seen.  Spans are absolute positions, so what two chunks see counts once.  Settings, headers and
+remarks have values of no fixed form; names and words around vouch for them.  Redaction splices a placeholder over the
+spans only, so quotes and code around stay.
 
 One pass, no shuffle of contents.  Defined results: null and empty content gives nothing; repeated rows each come
-out; a key split over joined string literals starts at its first literal, and every literal is redacted.
+out; a key split over joined string literals starts at its first literal, and every literal is redacted; key armor
+without an end is redacted to the end of the lines of key material that follow.
 """
 
 from __future__ import annotations
@@ -16,22 +18,25 @@ import base64
 import binascii
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.automaton import Grammars
 from cairn.runtime import distinct_names
 
-WINDOW, OVERLAP = 1 << 16, 1 << 13
+#: Characters of a chunk, and of what it shares with the next (more than any beginning has).
+WINDOW, OVERLAP = 1 << 16, 64
+#: Characters of key material between BEGIN and END up to which it need not look like any.
+ARMOR_SLACK = 1 << 13
 PLACEHOLDER = "<REDACTED>"
 
 #: Token formats (prefix, what follows).
 TOKEN_FORMATS = [
-    ("AKIA", r"[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("ASIA", r"[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    ("AKIA", r"[A-Z0-9]{16}"),
+    ("ASIA", r"[A-Z0-9]{16}"),
     ("ghp_", r"[A-Za-z0-9]{36,}"),
     ("gho_", r"[A-Za-z0-9]{36,}"),
     ("ghu_", r"[A-Za-z0-9]{36,}"),
@@ -60,12 +65,16 @@ TOKEN_FORMATS = [
     ("shpat_", r"[a-fA-F0-9]{32}"),
     ("eyJ", r"[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 ]
+#: Formats that end where no letter or digit follows.
+ENDED = ("AKIA", "ASIA")
+ARMOR = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+CONNECTION = r"""://[^\s:/@"'`<>]*:[^\s/@"'`]*(?:/[^\s/@"'`]*)?@[\w.$%{\[-]"""
 #: Last words of setting names that hold credentials; "key" only after one of the second list.
 SECRET_WORDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential", "credentials")
 KEY_KINDS = frozenset("api access auth secret private service client signing sign encryption master account admin session app application shared storage ssh bearer crypto hmac jwt license webhook root deploy deployment subscription consumer".split())
 _REMARKS = ("login", "credentials", "still valid", "for now", "fallback", "use this", "temporary", "hardcoded", "hard-coded", "do not commit", "don't commit", "rotate")
 _DUMMY = re.compile(
-    r"x{4,}|\*{3,}|\.{3}|^<.*>$|^\[.*\]$|\$\{|\{\{|\$\(|^\$\w|^%\w+%|%\(|^\{\w*\}$|example|dummy|placeholder|change[-_ ]?(?:me|it|this)|replace[-_ ]?(?:me|this|with)|redacted|insert[-_ ]|^(?:your|my|some|the|enter|put|add|fake|mock|insert|todo)[-_ ]|^(?:test|sample|demo|default|none|null|nil|todo|tbd|foo|bar|foobar|baz|secret|password|passw0rd|token|hunter|letmein|qwerty|abc|admin|guest|user|root|pass)[-_]?\d{0,4}[!@#$]?$|[-_](?:here|goes[-_]here)$|^[a-z]+(?:[-_.][a-z]+)*[-_.](?:password|secret|token|key|id|name)$|^(?:0123|1234|abcd)",
+    r"x{4,}|\*{3,}|\.{3}|^<.*>$|^\[.*\]$|\$\{|\{\{|\$\(|^\$\w|^%[A-Za-z_]\w*%$|%\(\w|^\{\w*\}$|example|dummy|placeholder|change[-_ ]?(?:me|it|this)|replace[-_ ]?(?:me|this|with)|redacted|insert[-_ ]|^(?:your|my|some|the|enter|put|add|fake|mock|insert|todo)[-_ ]|^(?:test|sample|demo|default|none|null|nil|todo|tbd|foo|bar|foobar|baz|secret|password|passw0rd|token|hunter|letmein|qwerty|abc|admin|guest|user|root|pass)[-_]?\d{0,4}[!@#$]?$|[-_](?:here|goes[-_]here)$|^[a-z]+(?:[-_.][a-z]+)*[-_.](?:password|secret|token|key|id|name)$|^(?:0123|1234|abcd)",
     re.I,
 )
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
@@ -73,11 +82,6 @@ _DIGEST = re.compile(r"^(?:sha(?:1|224|256|384|512)|md5|blake2[bs]?)[-:$]", re.I
 _REFERENCE = re.compile(r"^(?:(?:vault|env|secret|secrets|ref|ssm|arn|file|config|op|keyring|kms)[:/]|(?:~|\.{1,2})?/[A-Za-z_.-]+(?:/[A-Za-z_.-]+)*/?$|https?://[^@]*$|process\.env|os\.environ|System\.getenv|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$)|^[A-Za-z_-]+(?:[/.][A-Za-z_-]+)+$")
 
 
-@cache
-def _cased(prefix: str) -> re.Pattern:
-    return re.compile(re.escape(prefix) + dict(TOKEN_FORMATS)[prefix])
-
-
 def usable(value: str, least: int = 8) -> bool:
     """Whether a value can be a live credential: no placeholder, dummy, name, reference, id or digest."""
     if len(value) < least or re.search(r"\s", value) or _DUMMY.search(value) or _UUID.match(value) or _DIGEST.match(value) or _REFERENCE.match(value):
@@ -85,11 +89,17 @@ def usable(value: str, least: int = 8) -> bool:
     if len(set(value)) < 5 or value.startswith("data:"):
         return False
     digits, symbols = any(c.isdigit() for c in value), any(c in "!@#$%^&*+?~=" for c in value)
-    if not (digits or symbols) or not any(c.isalpha() for c in value) and len(value) < 12:
+    if not (digits or symbols or _scrambled(value)) or not any(c.isalpha() for c in value) and len(value) < 12:
         return False
     return not re.fullmatch(r"v?\d+(?:[._-]\d+)*|[a-z]+_?\d{1,2}|\w+\(.*\)|[\w.]+\[.*\]", value)
 
 
+def _scrambled(value: str) -> bool:
+    """Letters only, of both cases and in no order that words have: its parts by case are short on average."""
+    parts = _WORDS.findall(value)
+    return value.isalpha() and len(value) >= 8 and len(parts) * 2.6 > len(value)
+
+
 def _random_looking(value: str) -> bool:
     """For values that no name vouches for: of mixed kinds, no plain words."""
     if not usable(value, 12):
@@ -123,66 +133,82 @@ _ASSIGN = re.compile(
     r"""(?P<close>["'`]?\]?)(?P<label>\s*\*/\s*(?=["'`]))?(?:\s*:\s*[A-Za-z_][\w.<>?\[\]| ]{0,40}?(?=\s*=))?\s*(?P<op>:=|=>|==?|:|,|(?<=\*/)|(?<=\*/\s))\s*(?:\(\s*)?(?:[rbufRBUF]{1,2}(?=["']))?(?:(?P<q>\"\"\"|'''|["'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)|(?P<bare>[^\s"'`,;(){}\[\]<>]+)(?=[\s,;"'`]|$))""",
     re.X | re.M,
 )
-_JOINED = re.compile(r"""["'`]\s*(?:\)?\s*[+.]\s*|\s)\s*\n\s*(?:[+.]\s*)?["'`]([^"'`\n]+)(?=["'`])""")
-_ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*?PRIVATE KEY(?: BLOCK)?-----")
+_JOINED = re.compile(r"""["'`](?:\s*\)?\s*[+.]\s*|[ \t]*\n\s*)["'`]([^"'`\n]+)(?=["'`])""")
+_ARMOR = re.compile(ARMOR)
 _ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*?PRIVATE KEY(?: BLOCK)?-----")
 _ARMOR_RUN = re.compile(r"(?:[A-Za-z0-9+/=]|\\[nr]){16,}")
 _ARMOR_HEADER = re.compile(r"[\s\"'`#*/+>]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID)\s*:")
 _ARMOR_LAST = re.compile(r"[\s\"'`#*/+>]*(?:[A-Za-z0-9+/]{1,15}={0,2}|=[A-Za-z0-9+/]{4})(?=(?:\\[nr]|[\s\"'`,;+)])*$)")
-_BREAK = re.compile(r"[\s\"'`]")
-_URL = re.compile(r"://(?P<user>[^\s:/@\"'`<>]*):(?P<v>[^\s/@\"'`]+|[^\s@\"'`/]*(?:/[^\s@\"'`/]*)?)@[\w.$%{\[-]")
 _SCHEME = re.compile(r"(Bearer|Basic|Token|token|bearer|basic)\s+([A-Za-z0-9+/_=.~:-]{8,})")
 _LOGIN = re.compile(r"(?:login|credentials|creds|account|user)\b[^\n:=]{0,40}[:=]\s*[\"']?[\w.@-]+\s*(?:/|:|\|)\s*[\"']?([^\s\"'`,;]+)", re.I)
+_EXPORT, _BLANKS, _LINE_ENDS = re.compile(r"(?:export|set|ENV|env|-)\s"), re.compile(r"[^\S\n]*"), re.compile(r"[^\S\n]*(?=\n|\Z)")
+#: Characters before a word in which the start of a setting's name is sought.
+LONGEST_NAME = 200
 _COMMENT = re.compile(r"^\s*(?:#|//|\*|/\*(?![^\n]*\*/[^\n]*\w)|--|;|<!--)|(?:\s#\s|\s//\s)")
 _REMARK_VALUE = re.compile(r"(?<![\w+/.-])([A-Za-z0-9][A-Za-z0-9+/_=!@#%^&*.-]{11,})")
+_AFTER_WORD = re.compile(r"[^\n:=]{0,24}?[:=]?\s*[\"'`]?([A-Za-z0-9][A-Za-z0-9+/_=!@#%^&*.-]{11,})")
 _NOT_SECRET_NEAR = re.compile(r"\b(?:commit|sha\d*|digest|checksum|integrity|md5|uuid|guid|revision|rev|hash|fingerprint|version|build|id|request[-_ ]id|trace)\b[^\n]{0,12}$", re.I)
 
 
-def _automaton() -> ahocorasick.Automaton:
+def _beginnings() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, words in (("armor", ["-----begin "]), ("url", ["://"]), ("scheme", ["bearer ", "basic ", "token "]), ("name", [*SECRET_WORDS, "key"]), ("remark", _REMARKS)):
+    for kind, words in (("grammar", ["-----begin ", "://", *(p.lower() for p, _ in TOKEN_FORMATS)]), ("scheme", ["bearer ", "basic ", "token "]), ("name", [*SECRET_WORDS, "key"]), ("remark", _REMARKS)):
         for w in words:
-            a.add_word(w, [(kind, w)])
-    for prefix, _ in TOKEN_FORMATS:
-        low = prefix.lower()
-        a.add_word(low, [*(a.get(low, [])), ("format", prefix)])
+            a.add_word(w, [*a.get(w, []), (kind, w)])
     a.make_automaton()
     return a
 
 
-_AUTOMATON: list = []
+#: Both automata, once a worker.
+_MADE: list = []
 
 
-def _line(text: str, at: int) -> tuple[int, int]:
-    start = text.rfind("\n", 0, at) + 1
-    end = text.find("\n", at)
-    return start, len(text) if end < 0 else end
+def _automata() -> tuple[ahocorasick.Automaton, Grammars]:
+    if not _MADE:
+        _MADE.extend((_beginnings(), Grammars({"armor": ARMOR, "connection": CONNECTION, **{p: re.escape(p) + tail for p, tail in TOKEN_FORMATS}})))
+    return _MADE[0], _MADE[1]
 
 
-def _scan(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of credentials in one window; that of key armor ends at -1, which stands for ``_armor_end``."""
-    if not _AUTOMATON:
-        _AUTOMATON.append(_automaton())
-    low = text.lower()
-    if len(low) != len(text):  # a few letters change length in lower case
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    for end, hits in _AUTOMATON[0].iter(low):
+class _Lines:
+    """The line around a position and where its remark begins, remembered for the next position."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.first, self.end, self.remark, self.told = text, 0, 0, -1, -1, -1
+
+    def at(self, place: int) -> tuple[int, int, bool]:
+        if not self.start <= place <= self.end:
+            self.start = self.text.rfind("\n", 0, place) + 1
+            self.end = self.text.find("\n", place)
+            self.end = len(self.text) if self.end < 0 else self.end
+            self.first = _BLANKS.match(self.text, self.start).end()
+            m = _COMMENT.search(self.text[self.start : self.end])
+            self.remark = self.start + m.start() if m else -1
+        return self.start, self.end, 0 <= self.remark <= place
+
+
+def _scan(text: str, low: str, lines: _Lines, base: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Spans of credentials that begin in one chunk; that of key armor ends at -1, which stands for ``_armor_end``."""
+    beginnings, grammars = _automata()
+    for end, hits in beginnings.iter(low, base, stop):
         for kind, word in hits:
             at = end - len(word) + 1
-            if kind == "format":
-                if at and (text[at - 1].isalnum() or text[at - 1] in "_/+") and not text.startswith("\\n", at - 2):
-                    continue
-                m = _cased(word).match(text, at)
-                if m and not _DUMMY.search(m.group()) and len(set(m.group())) >= 9 and re.search(r"\d", m.group()[len(word) :] if word != "AKIA" else m.group()):
-                    yield m.span()
-            elif kind == "armor":
-                m = _ARMOR.match(text, at)
-                if m and len(re.findall(r"[A-Za-z0-9+/=]", re.sub(r"\\[nr]", "", text[m.end() : m.end() + 200]).split("-----")[0])) >= 24 and "..." not in text[m.end() : m.end() + 40]:
-                    yield at, -1  # its end may lie beyond the window
-            elif kind == "url":
-                m = _URL.match(text, at)
-                if m and usable(m.group("v"), 6):
-                    yield m.span("v")
+            if kind == "grammar":
+                for name, to in grammars.longest(text, at).items():
+                    if name == "armor":
+                        if len(re.findall(r"[A-Za-z0-9+/=]", re.sub(r"\\[nr]", "", text[to : to + 200]).split("-----")[0])) >= 24 and "..." not in text[to : to + 40]:
+                            yield at, -1
+                    elif name == "connection":
+                        value = text.index(":", at + 3) + 1, to - 2  # the user holds no colon, the password no at-sign
+                        if usable(text[slice(*value)], 6):
+                            yield value
+                    elif name.lower() == word:
+                        if at and (text[at - 1].isalnum() or text[at - 1] in "_/+") and not text.startswith("\\n", at - 2):
+                            continue
+                        if name in ENDED and text[to : to + 1].isalnum():
+                            continue
+                        token = text[at:to]
+                        if not _DUMMY.search(token) and len(set(token)) >= 9 and re.search(r"\d", token if name == "AKIA" else token[len(name) :]):
+                            yield at, to
             elif kind == "scheme":
                 m = _SCHEME.match(text, at)
                 if not m:
@@ -203,9 +229,8 @@ def _scan(text: str) -> Iterator[tuple[int, int]]:
                 stop = end + 1
                 if stop < len(text) and (text[stop].isalnum() or text[stop] == "_"):
                     continue
-                head = _IDENT_BACK.search(text, max(0, at - 120), at).group() + text[at:stop]
-                start, line_end = _line(text, at)
-                comment = bool(_COMMENT.search(text[start:line_end])) and _COMMENT.search(text[start:line_end]).start() <= at - start
+                head = _IDENT_BACK.search(text, max(0, at - 120), at).group() + text[at:stop]  # two words decide, none of them that long
+                start, line_end, comment = lines.at(at)
                 if holds_credential(re.split(r"[\"'\[\]]", head)[-1] or head):
                     m = _ASSIGN.match(text, stop)
                     if m and (m.group("op") != "," or m.group("close")) and m.group("op") != "==":
@@ -223,25 +248,30 @@ def _scan(text: str) -> Iterator[tuple[int, int]]:
                                 yield from parts
                         elif m.group("bare") and m.end("bare") <= line_end:
                             value = m.group("bare")
-                            before = text[start:at]
-                            setting = comment or re.match(r"\s*(?:export|set|ENV|env|-)\s", before) or m.group("op") == ":" and re.match(r"\s*(?:-\s*)?[\w.\-\"']*$", before) or m.group("op") == "=" and re.match(r"\s*[\w.\-]*$", before) and ("." in head and text[m.end("bare") : line_end].strip() == "" or head.isupper() and text[stop : stop + 1] == "=")
+                            begin = max(lines.first, at - LONGEST_NAME)
+                            before = text[begin:at]
+                            alone = begin == lines.first  # nothing but blanks before
+                            setting = comment or _EXPORT.match(text, lines.first) or alone and m.group("op") == ":" and re.match(r"(?:-\s*)?[\w.\-\"']*$", before) or alone and m.group("op") == "=" and re.match(r"[\w.\-]*$", before) and ("." in head and _LINE_ENDS.match(text, m.end("bare")) or head.isupper() and text[stop : stop + 1] == "=")
                             if (setting or text[at - 1 : at] in "?&" or re.search(r"[?&][\w-]*$", before)) and usable(value.rstrip("\\")) and not re.search(r"^\w+\.\w+$|\.\w+\(", value):
                                 yield m.span("bare")
                 elif comment and word in ("key", "token", "secret", "password", "passphrase", "pwd", "credential") and text[at - 1 : at] not in ("/", ".") and text[stop : stop + 1] not in ("/", "."):
-                    m = re.compile(r"[^\n:=]{0,24}?[:=]?\s*[\"'`]?([A-Za-z0-9][A-Za-z0-9+/_=!@#%^&*.-]{11,})").match(text, stop)
-                    if m and m.end() <= line_end and _random_looking(m.group(1)) and not _NOT_SECRET_NEAR.search(text[start : m.start(1)]):
+                    m = _AFTER_WORD.match(text, stop)
+                    if m and m.end() <= line_end and _random_looking(m.group(1)) and not _NOT_SECRET_NEAR.search(text, max(start, m.start(1) - 60), m.start(1)):
                         yield m.span(1)
             elif kind == "remark":
-                start, line_end = _line(text, at)
+                start, line_end, _ = lines.at(at)
+                if start == lines.told:
+                    continue  # all that follows in the line is seen already
+                lines.told = start
                 line = text[start:line_end]
-                if not _COMMENT.search(line) and not re.match(r"\s*(?:-\s*)?(?:login|credentials|creds)\b", line, re.I):
+                if lines.remark < 0 and not re.match(r"\s*(?:-\s*)?(?:login|credentials|creds)\b", line, re.I):
                     continue
                 m = _LOGIN.search(line)
                 if m and usable(m.group(1)):
                     yield start + m.start(1), start + m.end(1)
                     continue
                 for m in _REMARK_VALUE.finditer(line, max(0, at - start)):
-                    if _random_looking(m.group(1)) and not _NOT_SECRET_NEAR.search(line[: m.start(1)]):
+                    if _random_looking(m.group(1)) and not _NOT_SECRET_NEAR.search(line, max(0, m.start(1) - 60), m.start(1)):
                         yield start + m.start(1), start + m.end(1)
 
 
@@ -257,7 +287,7 @@ def _armor_end(text: str, at: int) -> int:
     begin = _ARMOR.match(text, at).end()
     following = _ARMOR.search(text, begin)
     end = _ARMOR_END.search(text, begin, following.start() if following else len(text))
-    if end and (end.start() - begin < OVERLAP or _armored(text[begin : end.start()])):
+    if end and (end.start() - begin < ARMOR_SLACK or _armored(text[begin : end.start()])):
         return end.end()
     stop, pos, limit = begin, begin, following.start() if following else len(text)
     while pos < limit:
@@ -274,21 +304,16 @@ def _armor_end(text: str, at: int) -> int:
 
 
 def spans(text: str) -> list[tuple[int, int]]:
-    """Credentials in ``text`` as disjoint spans in order; overlapping windows, absolute places, each once."""
+    """Credentials in ``text`` as disjoint spans in order; overlapping chunks, absolute places, each once."""
+    low = text.lower()
+    if len(low) != len(text):  # a few letters change length in lower case
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     found: set[tuple[int, int]] = set()
     armor: set[int] = set()
-    base, stop = 0, 0
-    while not base or stop < len(text):
-        stop = min(len(text), base + WINDOW)
-        if stop < len(text) and not _BREAK.search(text, stop - OVERLAP // 2, stop):
-            m = _BREAK.search(text, stop)
-            stop = m.end() if m else len(text)
-        for s, e in _scan(text[base:stop]):
-            if e < 0:
-                armor.add(base + s)
-            else:
-                found.add((base + s, base + e))
-        base = max(stop - OVERLAP, 1)
+    lines = _Lines(text)
+    for base in range(0, len(text), WINDOW - OVERLAP):
+        for s, e in _scan(text, low, lines, base, min(len(text), base + WINDOW)):
+            armor.add(s) if e < 0 else found.add((s, e))
     found.update((s, _armor_end(text, s)) for s in armor)
     out: list[tuple[int, int]] = []
     for s, e in sorted(found):
@@ -299,24 +324,26 @@ def spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def redact(text: str, placeholder: str = PLACEHOLDER) -> str:
+def redact(text: str, placeholder: str = PLACEHOLDER, found: list[tuple[int, int]] | None = None) -> str:
     out, at = [], 0
-    for s, e in spans(text):
+    for s, e in spans(text) if found is None else found:
         out += (text[at:s], placeholder)
         at = e
     return "".join(out) + text[at:]
 
 
-def starts(text: str) -> list[int]:
+_BETWEEN = re.compile(r"""["'`](?:\s*\)?\s*[+.]\s*|[ \t]*\n\s*)["'`]""")
+
+
+def starts(text: str, found: list[tuple[int, int]] | None = None) -> list[int]:
     """Line numbers, from 1, where credentials start; joined literals after the first are part of it."""
-    lines, last_end = [], -1
-    for s, e in spans(text):
-        gap = text[last_end:s] if last_end >= 0 else ""
-        joined = last_end >= 0 and "\n" in gap and re.fullmatch(r"""["'`]\s*\)?\s*[+.]?\s*\n\s*(?:[+.]\s*)?["'`]""", gap)
-        if not joined:
-            lines.append(text.count("\n", 0, s) + 1)
+    out, line, counted, last_end = [], 1, 0, -1
+    for s, e in spans(text) if found is None else found:
+        line, counted = line + text.count("\n", counted, s), s
+        if not (0 <= last_end <= s and _BETWEEN.fullmatch(text, last_end, s)) and out[-1:] != [line]:
+            out.append(line)
         last_end = e
-    return sorted(set(lines))
+    return out
 
 
 def _map(df: DataFrame, key: str, column: str, fn, schema: str) -> DataFrame:
@@ -333,8 +360,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redact(t) for t in texts], pa.string()), pa.array([len(starts(t)) for t in texts], pa.int32())], ["row_key", "content", "credentials"])
+        texts = [(t, spans(t)) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redact(t, found=s) for t, s in texts], pa.string()), pa.array([len(starts(t, s)) for t, s in texts], pa.int32())], ["row_key", "content", "credentials"])
 
 
 def find(df: DataFrame, key: str, column: str = "content") -> DataFrame:
