@@ -149,6 +149,9 @@ _CLASS = re.compile(rf"\b(?:class|interface|object|trait|enum|record|struct)\s+(
 
 #: What may stand between parameters and body: a result on the same line, exceptions, qualifiers; what no definition begins with.
 _BODY = re.compile(r"\s*(?:(?:const|noexcept|override|final)\b\s*)*(?:throws\s[^{;=]*)?(?:(?::|->)[^{;=\n]*)?(?:where\s[^{=;]*)?\s*(?:\{|=(?![=>]))|\s*(?::[^;{}=\n]*|:[^;=\n]*)?=>|\s*:\s*\{[^{}]*\}[^;{}=\n]*\{")
+_ARROW = re.compile(r"\s*(?::[^={};]*(?:\{[^{}]*\})?[^={};]*?)?=>")
+#: What follows the parameters of a declaration that begins with its name.
+_PLAIN = re.compile(r"\s*(?:throws\s[^{;]*)?(?::[^{;=]*)?(?:\{|;|\Z)|\s*:\s*\{")
 _CANDIDATE = re.compile(r"(?:^|[;{}])[ \t]*+(?=[@A-Za-z_$*#<\u0080-￿][^;{}()\n]*(?:\(|=>))", re.M)
 _NO_START = frozenset("if for while switch catch return new throw else do try synchronized when super this typeof await yield case assert delete import".split())
 
@@ -231,12 +234,11 @@ def _declaration(code: str, at: int) -> tuple[str, str, int, bool] | None:
         if code[m.end() : m.end() + 1] == "(":
             tail = closing(code, m.end())
             params = code[m.end() + 1 : tail - 1]
-        after = code[tail : tail + 400]
-        arrow = bool(re.match(r"\s*(?::[^={};]*(?:\{[^{}]*\})?[^={};]*?)?=>", after)) or code[m.end() : m.end() + 1] != "("
-        body = arrow or bool(_BODY.match(after))
+        arrow = bool(_ARROW.match(code, tail)) or code[m.end() : m.end() + 1] != "("
+        body = arrow or bool(_BODY.match(code, tail))
         if n in (2, 3, 4) and not (arrow or "function" in m.group()):
             continue
-        if n == 7 and not (re.match(r"\s*(?:throws\s[^{;]*)?(?::[^{;=]*)?(?:\{|;|$)", after) or re.match(r"\s*:\s*\{", after)):
+        if n == 7 and not _PLAIN.match(code, tail):
             continue
         return m.group(1), params, tail, body
     return None

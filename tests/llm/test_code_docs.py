@@ -120,3 +120,38 @@ def test_undocumented_definitions_of_brace_languages(spark):
     got = {(r.detail_id, r.owner, r.func_name, r.doc_from) for r in D.pairs(df).collect()}
     assert got == {(1, "Store", "load", 1), (2, "Disk", "load", 1), (3, "Shelf", "load", 3), (4, "Disk", "load", 3), (5, "Rack", "load", 5), (6, "Disk", "load", 5), (7, "", "load", 7), (8, "", "load", 7)}
     assert sorted(r.detail_id for r in D.found(df).collect()) == [1, 3, 5, 7]
+
+
+def test_long_heads_hide_no_body():
+    thrown = ", ".join(f"com.example.very.long.package.Failure{k}" for k in range(60))
+    text = f"class A {{\n    /** Copies every given row into the target table. */\n    public void copy(int a)\n        throws {thrown} {{\n        run(a);\n    }}\n}}\n"
+    got = [(x[0], x[4]) for x in D.functions_of(text, "java")]
+    assert len(thrown) > 400 and got == [("copy", True)]
+    kind = "Map<String, " * 60 + "Long" + ">" * 60
+    text = f"/** Gives the table of all rows by their name. */\nfun table(a: Int): {kind} {{\n    return x\n}}\n"
+    assert [(x[0], x[4]) for x in D.functions_of(text, "kotlin")] == [("table", True)]
+
+
+def test_join_against_brute_force(spark):
+    """Headers and definitions in several rows, with overloads, supertypes and repositories that don't mix."""
+    import itertools
+    import random
+
+    rng, rows, want = random.Random(2), [], set()
+    doc = "/** Counts every open row of the given table {0} once more. */"
+    i = itertools.count(1)
+    for repo in ("a/x", "b/y"):
+        for k in range(12):
+            kinds = rng.sample(["int", "String", "long"], rng.randint(1, 2))
+            params = ", ".join(f"{t} p{n}" for n, t in enumerate(kinds))
+            told, held = next(i), next(i)
+            rows.append((told, repo, "java", f"src/I{k}.java", f"public interface I{k} {{\n    {doc.format(k)}\n    int work(int a, {params});\n    int bare(int a);\n}}\n"))
+            other = rng.random() < 0.4  # another signature: no overload of the documented one
+            rows.append((held, repo, "java", f"src/C{k}.java", f"public class C{k} implements I{k} {{\n    public int work(int a, {params}{', int z' if other else ''}) {{\n        return a;\n    }}\n    public int bare(int a) {{\n        return a;\n    }}\n}}\n"))
+            want.add((told, "work", told))
+            if not other:
+                want.add((held, "work", told))
+    df = spark.createDataFrame(rows, "detail_id long, repo string, language string, file_path string, content string")
+    got = {(r.detail_id, r.func_name, r.doc_from) for r in D.pairs(df).collect()}
+    assert got == want and len(want) > 26
+    assert {tuple(r) for r in D.found(df).collect()} == {(a, n) for a, n, b in want if a == b}
