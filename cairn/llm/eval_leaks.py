@@ -5,6 +5,10 @@ running bit sums.  A multi-index cuts fingerprints into ``radius + 1`` blocks: t
 radius agree in at least one block, so looking up every block finds them all.  Candidates are then verified exactly:
 the weighted share of equal words at equal places must reach ``similarity`` (1: the same ten words in a row).
 
+For a similarity under 1 windows are cut into parts, one more than words may differ; at least one part of two similar
+windows is then the same, so its fingerprint finds the pair whatever the radius: none is missed.  A similarity that
+would leave parts of fewer than ``LEAST_PART`` words is refused.
+
 The items are a stated query set.  Their index is broadcast in blocks of at most ``ITEM_WINDOWS`` windows, one pass over
 the corpus for each block; the corpus itself is neither shuffled nor collected, only hits leave the pass.  Runs that
 ``common`` or more items share belong to none of them; they are counted over all items before.
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 from cairn.runtime import cut, distinct_names
 
 WINDOW, COMMON, RADIUS = 10, 3, 3
-ITEM_WINDOWS = 1_000_000
+ITEM_WINDOWS = 250_000
+LEAST_PART = 3
 _WORD = re.compile(r"[^\W_]+")
 _MEMO = 1 << 18
 
@@ -111,10 +116,19 @@ def _item_windows(window: int):
     return run
 
 
+def parts_of(weights: np.ndarray, similarity: float) -> int:
+    """One more than words of a window may differ at most: its lightest ones, while the rest keeps the similarity."""
+    if not len(weights) or similarity >= 1:
+        return 1
+    light = np.cumsum(np.sort(weights, axis=1), axis=1)
+    return int((light <= (1 - similarity) * light[:, -1:] + 1e-9).sum(1).max()) + 1
+
+
 def _search(shared, window: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, items, weights = shared.value["index"], shared.value["items"], shared.value["weights"]
-        words = shared.value["words"]
+        words, parts = shared.value["words"], shared.value["parts"]
+        size = window // parts
         total = weights.sum(1)
         memo = _Hash()
         for b in batches:
@@ -128,10 +142,11 @@ def _search(shared, window: int, similarity: float):
                     continue
                 owner = np.repeat(np.arange(len(lists)), sizes)
                 docs, hits = [], []
-                for base in range(0, len(flat) - window + 1, 1 << 16):  # bounded memory, also for one very long text
-                    part = flat[base : base + (1 << 16) + window - 1]
-                    probe, entry = index.within(fingerprints(part, window))
-                    at = probe + base
+                for base in range(0, len(flat) - size + 1, 1 << 16):  # bounded memory, also for one very long text
+                    probe, entry = index.within(fingerprints(flat[base : base + (1 << 16) + size - 1], size))
+                    at, entry = probe + base - entry % parts * size, entry // parts  # where the whole window starts
+                    keep = (at >= 0) & (at + window <= len(flat))
+                    at, entry = at[keep], entry[keep]
                     keep = owner[at] == owner[at + window - 1]
                     at, entry = at[keep], entry[keep]
                     if len(at):
@@ -147,12 +162,19 @@ def _search(shared, window: int, similarity: float):
     return run
 
 
+def own_runs(items: DataFrame, window: int = WINDOW, common: int = COMMON) -> DataFrame:
+    """run, words, items (fewer than ``common``) of the runs that belong to items.  A run of very many items is counted
+    by partial sums and left out before items are gathered."""
+    q = distinct_names(items, ["item_id", "prompt"]).where("item_id is not null and prompt is not null").select(F.col("item_id").cast("long").alias("item_id"), "prompt")
+    each = cut(q.mapInArrow(_item_windows(window), "item_id long, run long, words binary").distinct(), "item-runs")
+    few = each.groupBy("run", "words").agg(F.count("*").alias("n")).where(F.col("n") < common).select("run", "words")
+    return each.join(few, ["run", "words"]).groupBy("run", "words").agg(F.collect_set("item_id").alias("items"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, common: int = COMMON, radius: int = RADIUS, similarity: float = 1.0) -> DataFrame:
-    """doc_id, item_id of texts that hold a run of an item's prompt."""
+    """doc_id, item_id of texts that hold a run of an item's prompt, or one as similar as asked."""
     spark = docs.sparkSession
-    q = distinct_names(items, ["item_id", "prompt"]).where("item_id is not null and prompt is not null").select(F.col("item_id").cast("long").alias("item_id"), "prompt")
-    runs = q.mapInArrow(_item_windows(window), "item_id long, run long, words binary").groupBy("run", "words").agg(F.collect_set("item_id").alias("items"))
-    kept = cut(runs.where(F.size("items") < common), "runs")
+    kept = cut(own_runs(items, window, common), "runs")
     n = kept.count()
     blocks = max(1, -(-n // ITEM_WINDOWS))
     corpus = distinct_names(docs, [doc_id, text]).where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -160,10 +182,14 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     for k in range(blocks):
         part: pd.DataFrame = kept.where(F.pmod("run", F.lit(blocks)) == k).select("words", "items").toPandas()  # at most about ITEM_WINDOWS rows
         words = np.frombuffer(b"".join(part["words"]), np.uint64).reshape(-1, window) if len(part) else np.zeros((0, window), np.uint64)
-        prints = np.array([fingerprints(w, window)[0] for w in words], np.uint64)
         known, counts = np.unique(words, return_counts=True)
         weights = 1.0 / np.log1p(counts[np.searchsorted(known, words)]) if len(part) else np.zeros((0, window))
-        shared = spark.sparkContext.broadcast({"index": MultiIndex(prints, radius), "items": [sorted(map(int, x)) for x in part["items"]], "words": words, "weights": weights})
+        parts = parts_of(weights, similarity)
+        size = window // parts
+        if size < LEAST_PART:
+            raise ValueError(f"similarity {similarity} of {window} words leaves parts of {size}; take longer windows or a higher similarity")
+        prints = np.array([fingerprints(w[p * size : (p + 1) * size], size)[0] for w in words for p in range(parts)], np.uint64)
+        shared = spark.sparkContext.broadcast({"index": MultiIndex(prints, radius), "items": [sorted(map(int, x)) for x in part["items"]], "words": words, "weights": weights, "parts": parts})
         found_here = corpus.mapInArrow(_search(shared, window, similarity), "doc_id long, item_id long")
         out = found_here if out is None else out.unionByName(found_here)
     return out.distinct()

@@ -136,3 +136,41 @@ def test_mix_counts_a_text_for_a_source_that_takes_part(spark):
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2), ("zero", 0.0, 3), ("nan", float("nan"), 3), ("nocap", 0.5, 0)], "source string, target_share double, max_repeats int")
     assert sorted((r.doc_id, r.source) for r in M.texts(docs, targets=targets).collect()) == [(3, "b"), (6, "a"), (7, "a"), (8, "none")]
     assert {r.doc_id for r in M.mix(docs, targets, total_tokens=12).collect()} == {3, 6, 7}
+
+
+def test_similar_windows_are_all_found(spark):
+    """Windows of 24 words with up to two of them changed, against every window by brute force."""
+    import random
+
+    import numpy as np
+    import pytest
+
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(400)]
+    prompts = [rng.choices(vocabulary, k=60) for _ in range(12)]
+    texts = []
+    for k in range(150):
+        own = list(rng.choice(prompts)[(s := rng.randint(0, 30)) : s + 26])
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        texts.append(rng.choices(vocabulary, k=rng.randint(0, 30)) + own + rng.choices(vocabulary, k=rng.randint(0, 30)))
+    items = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(prompts)], "item_id long, prompt string")
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {tuple(r) for r in E.leaks(docs, items, window=24, similarity=0.92).collect()}
+    memo = E._Hash()
+    hashed = [np.array(E.word_hashes(" ".join(p), memo), np.uint64) for p in prompts]
+    runs = {h[k : k + 24].tobytes() for h in hashed for k in range(len(h) - 23)}
+    known, counts = np.unique(np.array([np.frombuffer(r, np.uint64) for r in runs]), return_counts=True)
+    weigh = lambda w: 1.0 / np.log1p(counts[np.searchsorted(known, w)])
+    want = set()
+    for d, t in enumerate(texts):
+        w = np.array(E.word_hashes(" ".join(t), memo), np.uint64)
+        for i, h in enumerate(hashed):
+            for a in range(len(h) - 23):
+                item, weights = h[a : a + 24], weigh(h[a : a + 24])
+                if any(((w[b : b + 24] == item) * weights).sum() >= 0.92 * weights.sum() - 1e-9 for b in range(len(w) - 23)):
+                    want.add((d, i))
+    assert got == want and len(want) > 50
+    assert len(want) > len({tuple(r) for r in E.leaks(docs, items, window=24).collect()})
+    with pytest.raises(ValueError):
+        E.leaks(docs, items, similarity=0.7)
