@@ -5,8 +5,9 @@ source that would need more than ``max_repeats`` epochs is clamped there and its
 proportion, until all fit.  A source's epochs are then drawn as whole repetitions of every text and a seeded fraction.
 
 The fraction is exact without sorting a source: texts fall by a seeded hash into ``BUCKETS`` buckets, the buckets'
-token sums (a small table) tell up to which bucket texts are taken whole, and only the one bucket at the border is
-ordered.  So a source of a third of all texts is never in one task.  Texts stay where they are; ids, hashes and
+token sums (a small table) tell up to which bucket texts are taken whole, and the one bucket at the border is cut into
+buckets again (``LEVELS``); only the last border bucket, one text in 16 million of its source, is ordered.  So a source
+of a third of all texts is never in one task.  Texts stay where they are; ids, hashes and
 sizes are shuffled.
 
 Defined results: equal texts are one text, which belongs to the source of its least doc_id among the copies whose source
@@ -29,7 +30,8 @@ from cairn.runtime import cut, distinct_names
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before byte-pair encoding (the public pattern of this vocabulary).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-BUCKETS = 4096
+BITS, LEVELS = 12, 2
+BUCKETS = 1 << BITS
 SEED = 11
 
 
@@ -96,20 +98,30 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None
     return spark.createDataFrame(out, "source string, target_share double, tokens long, max_repeats int, epochs double")
 
 
+def _bucketed(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """(settled, edge) of rows with ``rest`` tokens to draw a source: those of buckets that are taken whole or not at all,
+    with ``extra``; and those of the one bucket a source at the border, with what is left for them."""
+    rows = rows.withColumn("bucket", F.pmod(F.shiftright("mark", level * BITS), F.lit(BUCKETS)))
+    sums = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(sums.withColumn("before", before), ["source", "bucket"])
+    whole = F.col("before") + F.col("size") <= F.col("rest")
+    edge = ~whole & (F.col("before") < F.col("rest"))
+    left = placed.where(edge).select("doc_id", "source", "tokens", "whole", "mark", (F.col("rest") - F.col("before")).alias("rest"))
+    return placed.where(~edge).select("doc_id", "source", "tokens", "whole", F.when(whole, 1).otherwise(0).alias("extra")), left
+
+
 def draw(sized: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, source, tokens, copies (1 or more) of the texts drawn."""
     p = planned.where("epochs is not null").select("source", F.floor("epochs").alias("whole"), ((F.col("epochs") - F.floor("epochs")) * F.col("tokens")).alias("rest"))
-    mark = F.xxhash64(F.lit(seed), "doc_id")
-    rows = sized.join(p, "source").withColumn("mark", mark).withColumn("bucket", F.pmod("mark", F.lit(BUCKETS)))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("size"))
-    before = sums.withColumn("before", F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = rows.join(before.select("source", "bucket", "size", F.coalesce("before", F.lit(0)).alias("before")), ["source", "bucket"])
-    whole_bucket = F.col("before") + F.col("size") <= F.col("rest")
-    edge = ~whole_bucket & (F.col("before") < F.col("rest"))
-    upto = F.sum("tokens").over(Window.partitionBy("source", "bucket").orderBy("mark", "doc_id")) + F.col("before")
-    at_edge = placed.where(edge).withColumn("extra", F.when(upto - F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0))
-    all_ = placed.where(~edge).withColumn("extra", F.when(whole_bucket, 1).otherwise(0)).unionByName(at_edge)
-    return all_.select("doc_id", "source", "tokens", (F.col("whole") + F.col("extra")).cast("int").alias("copies")).where("copies > 0")
+    rows = sized.join(p, "source").select("doc_id", "source", "tokens", "whole", F.xxhash64(F.lit(seed), "doc_id").alias("mark"), "rest")
+    settled = None
+    for level in range(LEVELS):
+        done, rows = _bucketed(rows, level)
+        settled = done if settled is None else settled.unionByName(done)
+    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("mark", "doc_id"))
+    last = rows.withColumn("extra", F.when(upto - F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0)).select(*settled.columns)
+    return settled.unionByName(last).select("doc_id", "source", "tokens", (F.col("whole") + F.col("extra")).cast("int").alias("copies")).where("copies > 0")
 
 
 def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total_tokens: float | None = None, seed: int = SEED) -> DataFrame:
