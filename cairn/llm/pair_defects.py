@@ -1,12 +1,15 @@
 """Broken prompt-response pairs.
 
 The response is cut into clauses (sentences, list blocks, code blocks); a conditional random field tags each as answer,
-refusal, echo, foreign or unfinished, from what the clause says, how it relates to the question and what stands
-beside it.  The coverage of the tags over the response gives the pair's defect.
+refusal, echo, foreign or unfinished.  What a clause says enters as its words, pairs of words and letter sequences, all
+hashed; how it stands to the question and to its neighbours as a few more features.  Many clauses mean nothing by
+themselves ("Is there anything else?", a short line without a language); what stands beside them decides, through the
+field's transitions.  The coverage of the tags over the response, in words, gives the pair's defect.
 
-The field is trained here, on sequences composed from the phrase lists below (``TRAINING_SEQUENCES`` of them, a fixed
-number, seeded); it sees no rows of the corpus, so its behaviour is the same at every size.  One pass over the
-rows, no shuffle; only the weights (a few hundred numbers) are shared.
+The field is trained here on ``TRAINING_SEQUENCES`` composed from parts of sentences in ten languages (seeded), and on
+at most ``WEAK_ROWS`` rows of the table, those of least hashed id and at most ``WEAK_CHARS`` characters, which the rules
+below label where they are sure.  The rules label this sample only: none of them decides about a row.  One pass over
+the rows, no shuffle of texts; only the weights are shared.
 
 Defined results: a null, blank or placeholder answer is ``empty``; rows without question (source_text and
 instruction null) are left out; a missing end tag is no defect; repeated rows each come out.
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm import pair_phrases as S
 from cairn.llm.crf import LinearChainCRF
 from cairn.llm.language import asked_for, language
 from cairn.runtime import distinct_names
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
-TRAINING_SEQUENCES = 1500
+TRAINING_SEQUENCES, WEAK_ROWS, WEAK_CHARS = 4000, 1500, 4000
+#: Numbers that words, pairs of words and letter sequences are hashed to.
+LEXICAL, LEXICAL_VALUE, RELATED_VALUE = 1 << 14, 2.0, 4.0
 _I = {t: i for i, t in enumerate(TAGS)}
+#: Shares of a response's words (of its prose, for the language) that a tag must cover.
+REFUSED, COPIED, FOREIGN = 0.6, 0.8, 0.5
 
-#: Phrases that decline, in four languages (matched outside quotation marks and code).
+#: Phrases that decline, in four languages; with the next three they label the sample for training.
 _DECLINE = re.compile(
     r"\b(?:i|we)(?:'m|’m| am|'re| are)?\s+(?:(?:really|truly|just|simply|still)\s+)?(?:can(?:no|')?t|can’t|cannot|could(?: not|n't)|won't|won’t|will not|would rather not|(?:may|must|shall|should) not|unable to|not able to|not (?:allowed|permitted|in a position|willing|going|comfortable)|(?:have|need|must) to (?:refuse|decline)|must (?:refuse|decline)|refuse to|decline to|do not feel comfortable|don't feel comfortable)"
     r"|\b(?:isn't|is not|wouldn't be|not) possible for me\b|\bnot something i(?:'m| am|’m)? (?:comfortable|able|allowed|willing)|\bgoes against (?:my|our)\b|\bagainst my (?:guidelines|policy|policies|rules|programming)|\boutside (?:of )?what i(?:'m| am|’m) (?:allowed|able|permitted)|\bbeyond what i(?:'m| am) (?:allowed|able)|\bmy (?:guidelines|policies|policy) (?:forbid|prohibit|do(?:es)? not allow|don't allow|prevent)|\bi (?:was|am|'m) not (?:designed|trained|built) to"
@@ -86,39 +95,58 @@ def clauses(answer: str) -> list[tuple[str, str]]:
     return out
 
 
-FEATURES = ["bias", "code", "open", "list", "prose", "decline", "sorry", "courtesy", "goes_on", "echo", "echo_led", "other_language", "same_language", "no_language", "ended", "not_ended", "last", "first", "only", "short", "has_code_span", "has_number", "decline_goes_on", "last_not_ended", "last_not_ended_long", "fragment_start"]
+FEATURES = [
+    "bias", "code", "open", "list", "prose", "echo", "echo_led", "overlap_most", "overlap_half", "overlap_some", "other_language", "same_language", "no_language", "ended", "not_ended", "last", "first", "only", "short", "has_code_span", "has_quote", "has_number",
+    "last_not_ended", "last_not_ended_long", "whole_code", "beside_code",
+]
 _F = {f: i for i, f in enumerate(FEATURES)}
+_RELATED = frozenset(_F[f] for f in ("echo", "other_language", "open"))
 
 
-def features(question: str, answer: str) -> tuple[list[tuple[str, str]], np.ndarray]:
-    """Clauses of the answer and their binary features."""
+class _Lexicon(dict):
+    """Feature numbers of a word (itself and its sequences of four letters) or of a pair of words; emptied when full."""
+
+    def __missing__(self, key):
+        if len(self) > 1 << 18:
+            self.clear()
+        if isinstance(key, tuple):
+            found = [" ".join(key)]
+        else:
+            found = [f"={key}", *(f" {key} "[k : k + 4] for k in range(len(key) - 1) if len(key) > 3)]
+        out = self[key] = [len(FEATURES) + zlib.crc32(x.encode()) % LEXICAL for x in found]
+        return out
+
+
+_LEXICON = _Lexicon()
+
+
+def _said(text: str) -> str:
+    return _QUOTED.sub(" ⟦q⟧ ", _CODE_SPAN.sub(" ⟦c⟧ ", text))
+
+
+def features(question: str, answer: str) -> tuple[list[tuple[str, str]], list[tuple[list[int], list[float]]]]:
+    """Clauses of the answer, and the features that each has: numbers and values (words count less the more there are)."""
     parts = clauses(answer)
     q_words = normal(question)
     q_text = " " + " ".join(q_words) + " "
+    q_pairs = set(zip(q_words, q_words[1:]))
     q_lang = language(_CODE_SPAN.sub(" ", _FENCE.sub(" ", question)))
     allowed = asked_for(question) | ({q_lang} if q_lang else set())
-    x = np.zeros((len(parts), len(FEATURES)))
+    rows = []
     for k, (kind, text) in enumerate(parts):
-        f = {"bias", kind}
+        f, lexical = {"bias", kind}, []
         if kind == "prose":
-            plain = _CODE_SPAN.sub(" ", text)
-            said = _QUOTED.sub(" ", plain)
+            said = _said(text)
             lead = _ECHO_LEAD.match(text)
             words = normal(_ECHO_LEAD.sub("", text))
             if lead and not words:
                 f.add("echo_led")
             if len(words) >= 3 and f" {' '.join(words)} " in q_text:
                 f |= {"echo", "echo_led"} if lead else {"echo"}
-            if _DECLINE.search(said):
-                f.add("decline")
-                if _GOES_ON.search(said):
-                    f.add("decline_goes_on")
-            if _SORRY.search(said):
-                f.add("sorry")
-            if _COURTESY.match(text):
-                f.add("courtesy")
-            if _GOES_ON.search(said):
-                f.add("goes_on")
+            elif len(words) >= 3:
+                share = sum(p in q_pairs for p in zip(words, words[1:])) / (len(words) - 1)
+                if share >= 0.3:
+                    f.add("overlap_most" if share >= 0.95 else "overlap_half" if share >= 0.6 else "overlap_some")
             lang = language(said)
             f.add("no_language" if lang is None or not q_lang else "same_language" if lang in allowed else "other_language")
             ended = bool(_ENDED.search(text))
@@ -127,48 +155,48 @@ def features(question: str, answer: str) -> tuple[list[tuple[str, str]], np.ndar
                 f.add("short")
             if "`" in text:
                 f.add("has_code_span")
+            if "⟦q⟧" in said:
+                f.add("has_quote")
             if re.search(r"\d", text):
                 f.add("has_number")
-            if k == len(parts) - 1 and not ended:
+            if k == len(parts) - 1 and not ended and not f & {"echo", "overlap_most"}:  # a copied end isn't broken off
                 f.add("last_not_ended")
-                plain = _CALL.sub(" ", plain)
+                plain = _CALL.sub(" ", _CODE_SPAN.sub(" ", text))
                 words, prose_words = normal(_CALL.sub(" ", text)), normal(plain)
-                if len(words) >= 4 and len(prose_words) >= 2 and "echo" not in f or k and parts[k - 1][0] != "code" and len(prose_words) >= 1 or len(parts) > 1 and len(prose_words) >= 1:
+                if len(words) >= 4 and len(prose_words) >= 2 or k and parts[k - 1][0] != "code" and len(prose_words) >= 1 or len(parts) > 1 and len(prose_words) >= 1:
                     f.add("last_not_ended_long")
+            # what repeats the question says nothing by its words
+            tokens = [] if f & {"echo", "overlap_most"} else [w if not w.isdigit() else "0" for w in normal(said)]
+            for w in tokens:
+                lexical += _LEXICON[w]
+            for pair in zip(tokens, tokens[1:]):
+                lexical += _LEXICON[pair]
+        if kind in ("code", "list") and len(parts) == 1:
+            f.add("whole_code")
+        if kind not in ("code", "open") and any(x[0] in ("code", "open") for x in (parts[k - 1 : k] if k else []) + parts[k + 1 : k + 2]):
+            f.add("beside_code")
         if k == len(parts) - 1:
             f.add("last")
         if not k:
             f.add("first")
         if len(parts) == 1:
             f.add("only")
-        for name in f:
-            if name in _F:
-                x[k, _F[name]] = 1
-    return parts, x
-
-
-#: The phrases of which training sequences are composed.
-_TRAIN = {
-    "question": {"en": ["How do I sort a list of numbers in place?", "Write a function `merge` that joins two maps.", "Explain why the parser is slow for large files."], "de": ["Wie kann ich die Datei mit dem Index abgleichen?", "Schreibe eine Funktion, die jeden Eintrag zählt."], "es": ["¿Cómo puedo ordenar una lista de números?", "Escribe una función que busque cada archivo."], "zh": ["请解释线程和进程之间的区别。", "如何实现一个带上限的缓存？"]},
-    "answer": {"en": ["Call `sort` on the list.", "The loop runs once for each of the 20 items.", "This keeps the order of equal keys.", "You can pass a limit to `merge` and it is kept.", "It helps to log the size before the call.", "A cache without a limit grows until the memory is gone."], "de": ["Der Index wird nach jeder Änderung neu geladen.", "Die Funktion liefert alle Treffer und sortiert sie.", "Bitte prüfen Sie zuerst, ob die Datei noch da ist."], "es": ["La función devuelve los resultados en orden.", "Si no existe un archivo, el programa crea otro.", "El índice se carga una vez al día."], "zh": ["线程共享内存，进程不共享。", "缓存满了以后会删除最旧的条目。", "请先检查日志的状态。"]},
-    "refusal": ["I'm sorry, but I can't help with that.", "As an AI model, I am not able to write this code.", "Unfortunately I cannot assist with this topic.", "I have to refuse to explain that.", "This goes against my guidelines.", "I won't provide an implementation.", "That is not something I'm comfortable with.", "It isn't possible for me to share this.", "Es tut mir leid, aber dabei kann ich nicht helfen.", "Das darf ich leider nicht beantworten.", "Lo siento, pero no puedo ayudar con eso.", "No me es posible responder a esta pregunta.", "抱歉，我无法回答这个问题。", "对不起，我不能提供这段代码。"],
-    "courtesy": ["Hmm.", "Thanks for asking.", "Is there anything else?", "Please consult an expert.", "Let me know if another topic helps."],
-    "excuse": ["I can't test it here, but this should work.", "Sorry, the first version was wrong:", "Unfortunately the old call is gone:", "The log says \"I cannot open this\" on start.", "`check` prints \"Sorry, I can't answer\" on purpose.", "I'm not able to run this, but here is the idea."],
-    "whole": ["Yes.", "7", "12 ms", "O(n)", "`merge`"],
-    "code": ["```python\nx = 1\n```", "```\nmake all\n```", "- `one`\n- `two`"],
-}
+        said_so, words = sorted(_F[name] for name in f), sorted(set(lexical))
+        rows.append((said_so + words, [RELATED_VALUE if x in _RELATED else 1.0 for x in said_so] + [LEXICAL_VALUE / max(1, len(words)) ** 0.5] * len(words)))
+    return parts, rows
 
 
 def _sequence(rng: random.Random) -> tuple[str, str, list[str]]:
     """Question, answer and the tags of its clauses."""
-    lang = rng.choice(["en", "en", "de", "es", "zh"])
-    q = " ".join([rng.choice(_TRAIN["question"][lang]), *(rng.choice(_TRAIN["answer"][lang]) for _ in range(rng.randint(0, 1)))])
-    kind = rng.choice(["answer", "answer", "answer", "refusal", "echo", "echo_answer", "foreign", "unfinished", "excuse", "whole", "asked"])
-    say = lambda lg: [rng.choice(_TRAIN["answer"][lg]) for _ in range(rng.randint(1, 3))]
-    code = [rng.choice(_TRAIN["code"])] if rng.random() < 0.5 else []
+    lang = rng.choice(["en", "en", "en", "de", "es", "zh", "fr", "pt"])
+    q = " ".join([rng.choice(S.QUESTIONS[lang]), *(rng.choice(S.ANSWERS[lang]) for _ in range(rng.randint(0, 1)))])
+    kind = rng.choice(["answer", "answer", "answer", "refusal", "refusal", "refusal", "echo", "echo_answer", "echo_answer", "foreign", "foreign", "unfinished", "unfinished", "excuse", "excuse", "whole", "asked"])
+    say = lambda lg: [rng.choice(S.ANSWERS[lg]) for _ in range(rng.randint(1, 3))]
+    beside = lambda share, lot=S.BESIDE: [rng.choice(lot)] if rng.random() < share else []
+    code = [rng.choice(S.CODE)] if rng.random() < 0.5 else []
     parts: list[tuple[str, str]]
     if kind == "refusal":
-        parts = [(x, "refusal") for x in [*([rng.choice(_TRAIN["courtesy"][:2])] if rng.random() < 0.3 else []), rng.choice(_TRAIN["refusal"]), *([rng.choice(_TRAIN["courtesy"][2:])] if rng.random() < 0.4 else [])]]
+        parts = [(x, "refusal") for x in [*beside(0.25), *(S.refusal(rng) for _ in range(rng.choice([1, 1, 1, 2]))), *beside(0.5), *beside(0.15)]]
     elif kind in ("echo", "echo_answer"):
         parts = [(x, "echo") for x in _SPLIT.split(q) if x.strip()]
         if rng.random() < 0.4:
@@ -176,25 +204,28 @@ def _sequence(rng: random.Random) -> tuple[str, str, list[str]]:
         if kind == "echo_answer":
             parts += [(x, "answer") for x in say(lang) + code]
     elif kind in ("foreign", "asked"):
-        other = rng.choice([x for x in ("en", "de", "es", "zh") if x != lang])
-        parts = [(x, "foreign" if kind == "foreign" else "answer") for x in say(other)] + [(x, "answer") for x in code]
+        other = rng.choice([x for x in S.ANSWERS if x != lang])
+        parts = [(x, "foreign" if kind == "foreign" else "answer") for x in say(other)]
         if kind == "asked":
-            q += {"en": " Please answer in English.", "de": " (German please)", "es": " Answer in Spanish.", "zh": " Please reply in Chinese."}[other]
+            named = {"en": " Please answer in English.", "de": " (German please)", "es": " Answer in Spanish.", "zh": " Please reply in Chinese.", "fr": " Answer in French.", "pt": " In Portuguese, please."}
+            q += named.get(other, "")
+            parts = [(x, "answer" if other in named else "foreign") for x, _ in parts]
+        parts += [(x, "answer") for x in code]
     elif kind == "unfinished":
-        parts = [(x, "answer") for x in say(lang)]
+        parts = [(x, "answer") for x in (say(lang) if rng.random() < 0.8 else [])]
         if rng.random() < 0.4:
-            parts.append(("```python\ndef f(x):\n    y = x.", "unfinished"))
+            parts.append((rng.choice(S.OPEN_CODE), "unfinished"))
         else:
-            last = rng.choice(_TRAIN["answer"][lang])
+            last = rng.choice(S.ANSWERS[lang])
             cut = rng.randint(len(last) // 3 + 1, len(last) - 2)
             parts.append((last[:cut].rstrip(" ,."), "unfinished"))
     elif kind == "excuse":
-        parts = [(rng.choice(_TRAIN["excuse"]), "answer")] + [(x, "answer") for x in say("en") + code]
-        q = rng.choice(_TRAIN["question"]["en"])
+        parts = [(x, "answer") for x in [*beside(0.2), rng.choice(S.EXCUSES), *say("en"), *code, *beside(0.3)]]
+        q = rng.choice(S.QUESTIONS["en"])
     elif kind == "whole":
-        parts = [(rng.choice(_TRAIN["whole"]), "answer")]
+        parts = [(rng.choice(S.WHOLE), "answer")]
     else:
-        parts = [(x, "answer") for x in say(lang) + code + (say(lang) if code and rng.random() < 0.5 else [])]
+        parts = [(x, "answer") for x in [*beside(0.15), *say(lang), *code, *(say(lang) if code and rng.random() < 0.5 else []), *beside(0.3)]]
     text, tags = "", []
     for x, t in parts:
         block = x.startswith(("```", "-")) or "\n" in x
@@ -203,7 +234,33 @@ def _sequence(rng: random.Random) -> tuple[str, str, list[str]]:
     return q, text.strip(), tags
 
 
-def train(sequences: int = TRAINING_SEQUENCES, seed: int = 7) -> LinearChainCRF:
+def weak_tags(parts: list[tuple[str, str]], rows: list[tuple[list[int], list[float]]]) -> list[str] | None:
+    """Tags of a response's clauses by rule, or None where the rules aren't sure."""
+    has = lambda k, name: _F[name] in rows[k][0]
+    saids = [_said(text) for _, text in parts]
+    declines = [kind == "prose" and bool(_DECLINE.search(s)) for (kind, _), s in zip(parts, saids)]
+    if any(declines):
+        beside = [d or kind == "prose" and bool(_COURTESY.match(text) or _SORRY.search(s)) for d, (kind, text), s in zip(declines, parts, saids)]
+        if all(beside) and not any(map(_GOES_ON.search, saids)):
+            return ["refusal"] * len(parts)
+        return None
+    out = []
+    for k, (kind, text) in enumerate(parts):
+        if kind == "open" or has(k, "last_not_ended_long"):
+            out.append("unfinished")
+        elif has(k, "echo"):
+            out.append("echo")
+        elif kind == "prose" and has(k, "other_language"):
+            out.append("foreign")
+        elif any(has(k, x) for x in ("overlap_most", "overlap_half")):
+            return None
+        else:
+            out.append("answer")
+    return out
+
+
+def train(sequences: int = TRAINING_SEQUENCES, seed: int = 7, rows: list[tuple[str, str]] | None = None) -> LinearChainCRF:
+    """The field, from composed sequences and (question, answer) pairs of a bounded sample."""
     rng, xs, ys = random.Random(seed), [], []
     for _ in range(sequences):
         q, a, tags = _sequence(rng)
@@ -211,7 +268,14 @@ def train(sequences: int = TRAINING_SEQUENCES, seed: int = 7) -> LinearChainCRF:
         if len(parts) == len(tags):  # a composed text that splits otherwise has no sure tags
             xs.append(x)
             ys.append(np.array([_I[t] for t in tags]))
-    return LinearChainCRF(len(FEATURES), len(TAGS)).fit(xs, ys)
+    for q, a in rows or []:
+        text = substance(a)
+        parts, x = features(q, text) if text else ([], [])
+        tags = weak_tags(parts, x) if parts else None
+        if tags:
+            xs.append(x)
+            ys.append(np.array([_I[t] for t in tags]))
+    return LinearChainCRF(len(FEATURES) + LEXICAL, len(TAGS)).fit(xs, ys, steps=120, rate=0.3, decay=1e-4)
 
 
 def last_question(source: str) -> str:
@@ -230,7 +294,7 @@ def substance(answer: str | None) -> str:
 
 
 def defect(crf: LinearChainCRF, question: str, answer: str | None) -> str | None:
-    """The pair's defect, or None.  Coverage is counted in words."""
+    """The pair's defect, or None: by the words that tags cover, and by the last tag for what breaks off."""
     text = substance(answer)
     if not text:
         return "empty"
@@ -238,37 +302,42 @@ def defect(crf: LinearChainCRF, question: str, answer: str | None) -> str | None
     if not parts:
         return "empty"
     tags = [TAGS[t] for t in crf.tags(x)]
-    cover = dict.fromkeys(TAGS, 0)
-    idle = 0
-    for (kind, clause), tag, row in zip(parts, tags, x):
+    cover, prose = dict.fromkeys(TAGS, 0), 0
+    for (kind, clause), tag in zip(parts, tags):
         size = max(1, len(normal(clause)))
-        if tag == "answer" and kind == "prose" and row[_F["courtesy"]]:
-            idle += size
-            continue
         cover[tag] += size
-    if cover["refusal"] and not cover["answer"] + cover["foreign"] + cover["echo"]:
+        prose += size * (kind == "prose")
+    total = sum(cover.values())
+    if cover["refusal"] >= REFUSED * total:
         return "refusal"
-    q, a = normal(question), normal(_ECHO_LEAD.sub("", text))
-    if cover["echo"] and not cover["answer"] + cover["foreign"] + cover["refusal"]:
+    if cover["echo"] >= COPIED * total:
         return "copied_question"
-    if a and len(a) * 2 >= len(q) and f" {' '.join(a)} " in f" {' '.join(q)} " and len(a) >= 3:
-        return "copied_question"
-    if cover["unfinished"]:
+    if tags[-1] == "unfinished":
         return "truncated"
-    prose = sum(max(1, len(normal(c))) for (k, c), t in zip(parts, tags) if k == "prose")
-    if cover["foreign"] and cover["foreign"] * 2 > prose:
+    if cover["foreign"] > FOREIGN * prose:
         return "other_language"
     return None
 
 
-def tagged(df: DataFrame) -> DataFrame:
-    """rec_id, defect (null where the pair is sound) of rows with a question."""
-    rows = distinct_names(df, ["rec_id", "source_text", "instruction", "target_text", "output", "response"]).where("source_text is not null or instruction is not null")
-    rows = rows.select(
+def _asked(rows: DataFrame) -> DataFrame:
+    """rec_id, chat, q, a of rows with a question."""
+    rows = distinct_names(rows, ["rec_id", "source_text", "instruction", "target_text", "output", "response"]).where("source_text is not null or instruction is not null")
+    return rows.select(
         "rec_id", F.col("source_text").isNotNull().alias("chat"), F.coalesce("source_text", "instruction").alias("q"),
         F.when(F.col("source_text").isNotNull(), F.col("target_text")).otherwise(F.coalesce("output", "response", "target_text")).alias("a"),
     )
-    shared = df.sparkSession.sparkContext.broadcast(train())
+
+
+def sample(rows: DataFrame, n: int = WEAK_ROWS, chars: int = WEAK_CHARS) -> list[tuple[str, str]]:
+    """(question, answer) of at most ``n`` rows of least hashed id whose texts have at most ``chars`` characters."""
+    short = rows.where(f"a is not null and length(a) <= {chars} and length(q) <= {chars}").withColumn("h", F.xxhash64("rec_id", "q"))
+    return [(last_question(r.q) if r.chat else r.q, r.a) for r in short.orderBy("h", "rec_id").limit(n).collect()]
+
+
+def tagged(df: DataFrame) -> DataFrame:
+    """rec_id, defect (null where the pair is sound) of rows with a question."""
+    rows = _asked(df)
+    shared = df.sparkSession.sparkContext.broadcast(train(rows=sample(rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value

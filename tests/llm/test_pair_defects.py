@@ -76,3 +76,53 @@ def test_table(spark):
 
 def test_long_answer():
     assert d("Call the index after each write. " * 5000) is None
+
+
+#: Written apart from the training parts; refusals were not used to change them (of the answers, three wrong ones led to
+#: more training answers of that kind).
+UNSEEN_REFUSALS = [
+    "I'm not going to be able to assist you with this matter.", "That's a subject I stay away from.", "Regretfully, such content is something I don't produce.", "My rules say no to that.", "I must turn this request down.", "We don't offer help on that.", "I have decided not to give an answer here.", "It's not my place to answer this question.",
+    "Being an assistant, I cannot be involved in that.", "Helping you with that would violate my policies.", "Sorry, no can do.", "I'd rather not say.", "Leider darf ich Ihnen das nicht sagen.", "Zu diesem Thema kann ich keine Antwort geben.", "Ich möchte dazu lieber nichts schreiben.", "Tut mir leid, diese Bitte muss ich ablehnen.",
+    "Lo siento, esa pregunta no la puedo responder.", "No tengo permiso para hablar de ello.", "Debo rechazar lo que me pides.", "抱歉，这个我帮不了您。", "对不起，我不可以回答这类问题。", "根据规定，我不能提供相关内容。", "Désolé, il ne m'est pas permis d'en discuter.", "Je ne souhaite pas répondre à cette demande.", "Mi spiace, non mi è possibile rispondere.", "Peço desculpa, mas não posso escrever isso.",
+    "Het spijt me, dat mag ik niet beantwoorden.", "Простите, я не могу об этом говорить.", "すみません、その質問にはお答えできません。", "I am sorry, but giving that explanation is not allowed for me.",
+]
+UNSEEN_ANSWERS = [
+    "The handler must not answer twice.", "I prefer two indexes here, one by day and one by user.", "This can't be done in place; copy the list first.", "We refuse the connection when the token is old.", "Sorry for the typo above; the flag is `--all`.", "You are not allowed to write there, so change the owner of the folder.", "No help text is shown because `usage` is empty.", "It goes against the sort order, so reverse it.",
+    "Der Zugriff wird abgelehnt, weil das Token fehlt.", "Das geht nicht mit einer Liste; nimm eine Menge.", "No se puede cambiar una tupla; crea otra.", "这个参数不能为空，否则会报错。", "Nothing is returned, since the filter drops every row.", "Decline the request with a 403 and log it.", "The policy allows reads only.", "I was wrong above: the limit is 20.", "Use a lock. It is not safe without one.", "Thanks for asking. Call `flush` after each write.", "The model was not trained on that column, so drop it.", "If you cannot open the port, ask for another.",
+]
+
+
+def test_unseen_wordings():
+    found = [a for a in UNSEEN_REFUSALS if d(a) == "refusal"]
+    asked = {"de": "Wie kann ich den Index mit der Datei abgleichen?", "es": "¿Cómo puedo ordenar una lista de números?", "zh": "如何用日志实现缓存？"}
+    wrong = [a for a in UNSEEN_ANSWERS if d(a, asked.get(P.language(a), Q))]
+    assert len(found) >= 0.9 * len(UNSEEN_REFUSALS), sorted(set(UNSEEN_REFUSALS) - set(found))
+    assert len(wrong) <= 0.1 * len(UNSEEN_ANSWERS), wrong
+
+
+def test_transitions_matter():
+    import copy
+    import random
+
+    rng, rows = random.Random(41), []
+    while len(rows) < 500:
+        q, a, tags = P._sequence(rng)
+        parts, x = P.features(q, a)
+        if len(parts) == len(tags) > 1:
+            rows.append((x, tags))
+    flat = copy.deepcopy(CRF)
+    flat.move[:] = 0
+    wrong = lambda m: sum(P.TAGS[t] != y for x, tags in rows for t, y in zip(m.tags(x), tags))
+    assert wrong(flat) > 3 * wrong(CRF) and wrong(flat) > 40
+
+
+def test_other_languages_than_the_sample():
+    assert d("A função devolve os resultados em ordem e grava tudo no fim. Depois disso o programa fecha o arquivo.") == "other_language"
+    assert d("Il servizio legge i dati una volta al giorno e poi li scrive nella tabella.") == "other_language"
+    assert d("Сервис читает данные один раз в день и записывает их в таблицу.") == "other_language"
+
+
+def test_the_sample_is_bounded(spark):
+    rows = [(k, None, Q, None, "Fine, call it." if k else "x" * 5000, None) for k in range(60)]
+    df = P._asked(spark.createDataFrame(rows, "rec_id long, source_text string, instruction string, target_text string, output string, response string"))
+    assert len(P.sample(df, n=20)) == 20 and len(P.sample(df)) == 59
