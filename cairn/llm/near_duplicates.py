@@ -305,12 +305,17 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether ids may be among those of the filter; those that are, surely."""
+    at = _bucket(ids)
+    return (bits[at >> 3] >> (7 - (at & 7))) & 1 == 1
+
+
 def _picked(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for b in batches:
-            at = _bucket(b.column(0).to_numpy(zero_copy_only=False))
-            keep = b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+            keep = b.filter(pa.array(in_filter(bits, b.column(0).to_numpy(zero_copy_only=False))))
             if keep.num_rows:
                 hashes = pa.array([content_hash(x) for x in keep.column(1).to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([keep.column(0), hashes, keep.column(1)], ["id", "content_hash", "text"])

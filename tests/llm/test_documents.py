@@ -174,3 +174,55 @@ def test_similar_windows_are_all_found(spark):
     assert len(want) > len({tuple(r) for r in E.leaks(docs, items, window=24).collect()})
     with pytest.raises(ValueError):
         E.leaks(docs, items, similarity=0.7)
+
+
+#: Messages in wordings that no phrase rule was made from; each is a text of its own.
+UNLISTED = {
+    "placeholder": ["<<COMPANY_NAME>> welcomes you to the new season.", "Signed on behalf of [CLIENT NAME] this spring.", "Call XXX-XXX-XXXX between nine and five.", "((Product title)) is now in stock.", "Please send the form to ::OFFICE:: by Friday."],
+    "filler": ["TKTK intro to be supplied", "Body copy to be written by the team.", "Faux texte à remplacer plus tard.", "Testo di esempio per la sezione.", "Texto provisório desta página."],
+    "error_page": ["La page demandée est introuvable.", "La pagina richiesta non esiste.", "A página solicitada não existe ou mudou.", "De opgevraagde pagina bestaat niet meer.", "Запрошенная страница не найдена.", "お探しのページは見つかりません。", "L'accès à ce site vous est interdit.", "La tua sessione è scaduta.", "Toegang tot deze dienst is geweigerd.", "This resource is no longer with us."],
+    "script_notice": ["JavaScript est désactivé dans votre navigateur.", "Per vedere il sito attiva JavaScript.", "Ative os cookies para ler o artigo.", "JavaScript moet ingeschakeld zijn.", "Включите JavaScript в браузере.", "JavaScriptを有効にしてください。", "Les cookies sont requis pour lire la suite."],
+}
+SPEAKS = [
+    "Si la page est introuvable, `load` renvoie une erreur et le cache est vidé.", "Wenn die Seite nicht gefunden wird, wird sie neu gebaut. Danach läuft der Dienst weiter wie zuvor.", "The reader keeps the page in memory. A file that is not found is skipped, and the next one is read.", "Use `<<` to shift bits and [[1, 2], [3, 4]] for a matrix of two rows.",
+    "Our client retries when the server does not respond, up to five times, and then writes the time to the log.", "Der Browser führt Skripte aus. Das Modul benötigt dafür einen Faden je Kern und einen Puffer.",
+]
+
+
+def test_unlisted_messages(spark):
+    rows, want, k = [], {}, 0
+    for kind, texts in UNLISTED.items():
+        for t in texts:
+            k += 1
+            rows.append((k, "s", t))
+            want[k] = kind
+    rows += [(500 + n, "s", "The cache is cleared every night.\n\n" + t + "\n\nThe index is kept as it is, and the log is read once a day.") for n, t in enumerate(SPEAKS)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.residue_kind for r in R.found(docs).collect()}
+    wrong = [(rows[i - 1][2], got.get(i)) for i in want if got.get(i) != want[i]]
+    assert len(wrong) <= 0.1 * len(want), wrong
+    assert {i for i in got if i >= 500} == set()
+
+
+def test_recurrence_decides(spark):
+    """The same message with other names, in long texts: content where it stands once, residue where sources share it."""
+    names = ["Acme", "Borel", "Cidra", "Dunlo"]
+    filled = lambda k, n: "\n\n".join([*(f"Row {j} of table {k} is kept in order and read by worker {j * k}." for j in range(12)), f"Access to the archive of {n} is interdit."])
+    many = [(k, "a" if k % 2 else "b", filled(k, n)) for k, n in enumerate(names)]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r.doc_id: r.residue_kind for r in R.found(df(many)).collect()} == dict.fromkeys(range(4), "error_page")
+    assert R.found(df(many[:1])).count() == 0 and R.found(df([(i, "a", t) for i, _, t in many])).count() == 0
+
+
+def test_pages_of_any_length(spark):
+    page = "Home | Help | About\n\nAll quiet at this place.\n\nStatus | Acme 2020"
+    rows = [(1, "s", page), (2, "s", page + "\n" * 6000), (3, "s", "\n".join(f"Entry {k} | Help | About" for k in range(400)) + "\n\nAll quiet at this place.")]
+    got = {r.doc_id: r.residue_kind for r in R.found(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got == {1: "error_page", 2: "error_page", 3: "error_page"}
+
+
+def test_kept_rows_and_columns(spark):
+    rows = [(k, "s", "404 Not Found" if k % 3 == 0 else "The index is kept.", k) for k in range(60)] + [(None, "s", "404 Not Found", 1), (7, "s", "The index is kept.", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, hash long")
+    out = R.kept(docs)
+    assert out.columns == docs.columns and out.count() == 42 and out.where("doc_id = 7").count() == 2 and out.where("doc_id is null").count() == 1
