@@ -1,8 +1,10 @@
 """Schemas that drift between the files of a feed.
 
-Every file gets a versioned fingerprint (its field paths and types).  The difference between one version and the
-next is a list of explicit migration steps (renamed, retyped, added, removed).  Chaining the rename steps back to
-the first version gives each file the rules (source field, cast) by which its records are routed into one table.
+Every file gets a versioned fingerprint (a hash of its field paths and types, and the first file of the feed that had
+the same).  The difference between one version and the next is a list of explicit migration steps (renamed, retyped,
+added, removed).  Chaining the rename steps back to the first version, by pointers that double their reach each round,
+gives each file the rules (source field, cast) by which its records are routed into one table; fields without a column
+of their own go along under their first name, and what no rule can cast is recorded.
 
 All parsing is done by Spark's variant functions inside whole-stage codegen; nothing is collected.  Records are parsed
 once into a table of fields, of which each step reads the columns it needs.  Field counts are aggregated map-side to
@@ -103,6 +105,19 @@ def fingerprints(top: DataFrame, values: DataFrame, lines: DataFrame, share: flo
     return versions, fields
 
 
+def schema_versions(lines: DataFrame, share: float = PRESENT_SHARE) -> DataFrame:
+    """One row per file: feed, file_name, version, records, fields, fingerprint (of its fields' paths and types; null
+    for a file without fields), first_version (the feed's first version with the same fingerprint)."""
+    top = top_fields(records(lines))
+    versions, fields = fingerprints(top, field_values(top), lines, share)
+    term = F.xxhash64("path", "kind")
+    print_ = F.xxhash64(F.sum(F.shiftright(term, 32)), F.sum(term.bitwiseAND(F.lit(0xFFFFFFFF))), F.count("*"))
+    hashed = fields.groupBy("file_name").agg(F.count("*").alias("fields"), print_.alias("fingerprint"))
+    known = cut(versions.join(hashed, "file_name", "left"), "prints")
+    first = known.where("fingerprint is not null").groupBy("feed", "fingerprint").agg(F.min("version").alias("first_version"))
+    return known.join(first, ["feed", "fingerprint"], "left").select("feed", "file_name", "version", F.col("n").alias("records"), F.coalesce("fields", F.lit(0)).alias("fields"), "fingerprint", "first_version")
+
+
 def changes(lines: DataFrame, share: float = PRESENT_SHARE) -> DataFrame:
     """Migration steps: feed, version, file_name, path, change_kind, new_value (see the module's head)."""
     return _changes(lines, top_fields(records(lines)), share)[0]
@@ -148,100 +163,94 @@ def _changes(lines: DataFrame, top: DataFrame, share: float) -> tuple[DataFrame,
     return steps, versions, fields
 
 
-#: Columns of the merged table and the paths below them that its casts need.
+#: Columns of the merged table, and the fields below them that casts need.
 TARGETS = ["source_text", "messages", "conversations", "instruction"]
-
-
-def _chain(pdf):
-    """Rules of one feed: follow every field through its rename steps.  Input rows are schema metadata
-    (files x fields of the feed), never records."""
-    import pandas as pd
-
-    file_of: dict[int, str] = {}
-    fields: dict[int, set[str]] = {}
-    renamed: dict[int, dict[str, str]] = {}
-    for what, v, file, path, kind, new in zip(*[pdf[c].tolist() for c in ("what", "version", "file_name", "path", "change_kind", "new_value")]):
-        if what == "version":
-            file_of[v] = file
-        elif what == "field":
-            fields.setdefault(v, set()).add(path)
-        elif kind == "renamed":
-            renamed.setdefault(v, {})[path] = new
-    lineages: list[tuple[set[str], dict[int, str]]] = []  # names a field has had, and its path in each version
-    live: dict[str, tuple[set[str], dict[int, str]]] = {}
-    for v in sorted(file_of):
-        here, moved = fields.get(v, set()), renamed.get(v, {})
-        after = {}
-        for path, line in live.items():
-            head, dot, tail = path.partition("[]." if "[]." in path else ".")
-            to = moved.get(path) or (moved[head] + dot + tail if head in moved and dot else path)
-            if to in here:
-                after[to] = line
-        for path in here - set(after):
-            line = (set(), {})
-            lineages.append(line)
-            after[path] = line
-        for path, (names, at) in after.items():
-            names.add(path)
-            at[v] = path
-        live = after
-    out = []
-    tops = [(n, a) for n, a in lineages if not any("." in x for x in n)]
-    for target in ["source_text", "messages", "conversations", "instruction"]:
-        for names, at in tops:
-            if target in names:
-                for v, path in at.items():
-                    out.append((file_of[v], target, path))
-    subs = {"messages": ("role", "content"), "conversations": ("from", "value")}
-    for target, keys in subs.items():
-        for key in keys:
-            for names, at_top in tops:
-                if target not in names:
-                    continue
-                wanted = {f"{n}[].{key}" for n in names}
-                at = {v: path for own, where in lineages if own & wanted for v, path in where.items()}
-                name = key
-                for v in sorted(at_top):  # where the array is wrapped in an object its keys aren't listed; they stay as they were
-                    name = at[v].partition("[].")[2] if v in at else name
-                    out.append((file_of[v], f"{target}.{key}", name))
-    return pd.DataFrame(sorted(set(out)), columns=["file_name", "target", "source"]).drop_duplicates(["file_name", "target"])
+PARTS = {"messages": ("role", "content"), "conversations": ("from", "value")}
+
+
+def lineages(versions: DataFrame, fields: DataFrame, steps: DataFrame) -> DataFrame:
+    """Every field of every file with the field it descends from: feed, version, path, parent, v0, path0.
+
+    A field comes from that of the version before that a step renames to it, that lies below a renamed field, or that
+    has its name.  Ancestors are found by pointers: each round a field takes over the pointer of the field it points
+    to, so rounds grow with the logarithm of the number of versions."""
+    node = fields.select("feed", "version", "path", "parent")
+    moved = steps.where("change_kind = 'renamed'").select("feed", "version", F.col("path").alias("was"), F.col("new_value").alias("now"))
+    old = fields.select("feed", (F.col("version") + 1).alias("version"), F.col("path").alias("was"), "parent")
+    by_name = old.join(moved, ["feed", "version", "was"], "left")
+    above = moved.select("feed", "version", F.col("was").alias("parent"), F.col("now").alias("parent_now"))
+    to = by_name.join(above, ["feed", "version", "parent"], "left").select(
+        "feed", "version", "was", F.when(F.col("now").isNotNull(), F.col("now")).when(F.col("parent_now").isNotNull(), F.concat("parent_now", F.expr("substring(was, length(parent) + 1)"))).otherwise(F.col("was")).alias("path"),
+        F.when(F.col("now").isNotNull(), 0).when(F.col("parent_now").isNotNull(), 1).otherwise(2).alias("how"),
+    )
+    from_ = to.groupBy("feed", "version", "path").agg(F.min(F.struct("how", "was"))["was"].alias("was"))
+    own = F.col("was").isNull()
+    at = cut(node.join(from_, ["feed", "version", "path"], "left").select("feed", "version", "path", "parent", F.when(own, F.col("version")).otherwise(F.col("version") - 1).alias("v0"), F.coalesce("was", "path").alias("path0")), "lineage")
+    reach, longest = 1, versions.agg(F.max("version")).first()[0] or 0
+    while reach < longest:
+        far = at.select("feed", F.col("version").alias("v0"), F.col("path").alias("path0"), F.col("v0").alias("v1"), F.col("path0").alias("path1"))
+        at = cut(at.join(far, ["feed", "v0", "path0"]).select("feed", "version", "path", "parent", F.col("v1").alias("v0"), F.col("path1").alias("path0")), "lineage")
+        reach *= 2
+    return at
+
+
+def rules(versions: DataFrame, fields: DataFrame, steps: DataFrame) -> DataFrame:
+    """One row per file: file_name, version, rule (map from a column, or a column's part, to the field of the file it
+    comes from), names (map from other top-level fields to their first names)."""
+    key = ["feed", "v0", "path0"]
+    line = cut(lineages(versions, fields, steps), "lineages")
+    tops = line.where("parent is null")
+    wanted = tops.where(F.col("path").isin(TARGETS)).select(*key, F.col("path").alias("target")).distinct()
+    whole = tops.join(wanted, key).select("feed", "version", "target", "path")
+    # parts: fields below any name that the column's field has had
+    asked = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(k).alias("key")) for t, ks in PARTS.items() for k in ks])).alias("a")
+    parts = whole.where(F.col("target").isin(list(PARTS))).select("feed", "target", "path").distinct().select("feed", F.col("target").alias("t"), "path", asked).where("a.target = t").select("feed", "t", "a.key", F.concat("path", F.lit("[]."), "a.key").alias("path"))
+    part_lines = line.where("parent is not null").join(parts, ["feed", "path"]).select(*key, "t", "key").distinct()
+    part_at = line.join(part_lines, key).groupBy("feed", "version", "t", "key").agg(F.min(F.expr("substring_index(path, '[].', -1)")).alias("name"))
+    # where the array is wrapped in an object its fields aren't listed; they stay as they were
+    here = whole.select("feed", "version", F.col("target").alias("t")).distinct().select("feed", "version", "t", asked).where("a.target = t").select("feed", "version", "t", "a.key")
+    upto = Window.partitionBy("feed", "t", "key").orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
+    part_rules = here.join(part_at, ["feed", "version", "t", "key"], "left").select("feed", "version", F.concat("t", F.lit("."), "key").alias("target"), F.coalesce(F.last("name", ignorenulls=True).over(upto), "key").alias("path"))
+    each = whole.groupBy("feed", "version", "target").agg(F.min("path").alias("path")).unionByName(part_rules)
+    rule = each.groupBy("feed", "version").agg(F.map_from_entries(F.collect_list(F.struct("target", "path"))).alias("rule"))
+    names = tops.groupBy("feed", "version").agg(F.map_from_entries(F.collect_list(F.struct("path", "path0"))).alias("names"))
+    return versions.join(rule, ["feed", "version"], "left").join(names, ["feed", "version"], "left").select("file_name", "version", "rule", "names")
 
 
 def merged(lines: DataFrame, share: float = PRESENT_SHARE) -> DataFrame:
     """Every record of every file in one table: feed, file_name, version, line_no, id, source_text, messages,
-    conversations (JSON array of {from, value}), instruction.
+    conversations (JSON array of {from, value}), instruction, others (every other top-level field: the first name of its
+    lineage, its name in the file, its value, JSON where it is no string), lost (columns whose value no rule could
+    cast, with that value).
 
     Each file's records take the file's rules: the rename chain gives the source field, a cast rule brings its
     value to the column's type (string from array: its first element; string from object: its ``text``; array
-    from object: its ``items``), a missing field becomes null.  Values no rule can cast become null.
+    from object: its ``items``), a missing field becomes null, and so does a value that no rule can cast.
     """
     recs = cut(records(lines).drop("rec"), "records")
     steps, versions, fields = _changes(lines, top_fields(recs.withColumn("rec", F.try_parse_json("line"))), share)
-    meta = (
-        versions.select("feed", "version", "file_name", F.lit("version").alias("what"), F.lit("").alias("path"), F.lit("").alias("change_kind"), F.lit("").alias("new_value"))
-        .unionByName(fields.select("feed", "version", "file_name", F.lit("field").alias("what"), "path", F.lit("").alias("change_kind"), F.lit("").alias("new_value")))
-        .unionByName(steps.select("feed", "version", "file_name", F.lit("step").alias("what"), "path", "change_kind", "new_value"))
-    )
-    rules = meta.groupBy("feed").applyInPandas(_chain, "file_name string, target string, source string")
-    by_file = versions.join(rules.groupBy("file_name").agg(F.map_from_entries(F.collect_list(F.struct("target", "source"))).alias("rule")), "file_name", "left").select("file_name", "version", "rule")
-    df = recs.join(by_file, "file_name", "left")
-    raw = lambda t: F.call_function("get_json_object", F.col("line"), F.concat(F.lit("$['"), F.col("rule")[t], F.lit("']")))
+    df = recs.join(rules(versions, fields, cut(steps, "steps")), "file_name", "left").withColumn("m", F.from_json("line", "map<string,string>"))
+    raw = lambda t: F.col("m")[F.col("rule")[t]]
 
     def text(t: str):
         x = raw(t)
         return F.when(x.startswith("["), F.coalesce(F.get_json_object(x, "$[0]"), x)).when(x.startswith("{"), F.coalesce(F.get_json_object(x, "$.text"), x)).otherwise(x)
 
-    def turns(t: str, a: str, b: str):
+    def turns(t: str):
         x = raw(t)
         x = F.when(x.startswith("{"), F.get_json_object(x, "$.items")).otherwise(x)
         name = lambda k: F.coalesce(F.col("rule")[f"{t}.{k}"], F.lit(k))
-        return F.transform(F.from_json(x, "array<map<string,string>>"), lambda m: F.struct(m[name(a)].alias(a), m[name(b)].alias(b)))
-
-    return df.select(
-        "feed", "file_name", "version", "line_no", F.get_json_object("line", "$.id").alias("id"),
-        text("source_text").alias("source_text"), turns("messages", "role", "content").alias("messages"),
-        F.to_json(turns("conversations", "from", "value")).alias("conversations"), text("instruction").alias("instruction"),
+        return F.transform(F.from_json(x, "array<map<string,string>>"), lambda m: F.struct(*[m[name(k)].alias(k) for k in PARTS[t]]))
+
+    empty = lambda t: F.col(t).isNull() | F.exists(t, lambda m: m[PARTS[t][0]].isNull() & m[PARTS[t][1]].isNull())
+    lost = F.filter(F.array(*[F.when(raw(t).isNotNull() & empty(t), F.struct(F.lit(t).alias("field"), raw(t).alias("value"))) for t in PARTS]), lambda x: x.isNotNull())
+    used = F.transform(F.array(*[F.lit(t) for t in TARGETS]), lambda t: F.col("rule")[t])
+    others = F.transform(
+        F.filter(F.array_sort(F.map_entries("m")), lambda e: (e["key"] != "id") & e["value"].isNotNull() & ~F.coalesce(F.array_contains(used, e["key"]), F.lit(False))),
+        lambda e: F.struct(F.coalesce(F.col("names")[e["key"]], e["key"]).alias("field"), e["key"].alias("was"), e["value"].alias("value")),
     )
+    cast = df.withColumns({"id": F.get_json_object("line", "$.id"), "source_text": text("source_text"), "messages": turns("messages"), "conversations": turns("conversations"), "instruction": text("instruction"), "others": others})
+    return cast.withColumn("lost", lost).select("feed", "file_name", "version", "line_no", "id", "source_text", "messages", F.to_json("conversations").alias("conversations"), "instruction", "others", "lost")
 
 
 def found(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from cairn.runtime import table
 
 QUERIES = {
     "p1_found": lambda s, d: schema_drift.found(table(s, d, "distill_lines")),
+    "p1_versions": lambda s, d: schema_drift.schema_versions(table(s, d, "distill_lines")),
     "p1_merged": lambda s, d: schema_drift.merged(table(s, d, "distill_lines")),
 }
 SQL: dict[str, str] = {}

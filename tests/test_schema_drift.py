@@ -144,3 +144,43 @@ def test_merged_table(spark):
     assert {r.instruction for r in S.merged(first).collect()} == {f"do {i}" for i in range(5)}
     m = S.merged(df).collect()
     assert len(m) == 20 and all(json.loads(r.conversations) == [{"from": "human", "value": "h"}] for r in m)
+
+
+def test_long_chains_of_renames(spark):
+    """Eleven versions, a new name in each; fields that come, go and come again; values no rule can cast."""
+    import datetime as dt
+    import json
+
+    rows, n = [], 0
+    for v in range(11):
+        for k in range(12):
+            n += 1
+            rec = {"id": k, f"text{v}" if v else "source_text": f"say {k}", "instruction": f"do {k}", f"turns{v // 4}" if v >= 4 else "messages": [{f"who{v // 3}" if v >= 3 else "role": "user", "content": f"c{k}"}]}
+            if v % 4 != 3:
+                rec["note"] = k + 0.5
+            if v == 10 and k == 3:
+                rec[f"turns{v // 4}"] = "not turns"
+            if k == 0 and v == 2:
+                rec["stray"] = {"a": 1}
+            rows.append((n, "f", f"f-{(v * 7) % 11}.jsonl", dt.datetime(2024, 1, 1 + v), k, json.dumps(rec), dt.datetime(2024, 2, 1)))
+    df = spark.createDataFrame(rows, "line_id long, feed string, file_name string, written_on timestamp, line_no int, line string, loaded_at timestamp")
+    got = S.merged(df).collect()
+    assert len(got) == 132 and all(r.source_text == f"say {r.id}" and r.instruction == f"do {r.id}" for r in got)
+    bad = [r for r in got if r.lost]
+    assert [(r.version, r.id, [tuple(x) for x in r.lost]) for r in bad] == [(10, "3", [("messages", "not turns")])]
+    assert all([tuple(m) for m in r.messages] == [("user", f"c{r.id}")] for r in got if not r.lost)
+    others = {(r.version, r.id): [tuple(x) for x in r.others] for r in got}
+    assert others[2, "0"] == [("note", "note", "0.5"), ("stray", "stray", '{"a":1}')] and others[3, "5"] == [] and others[10, "7"] == [("note", "note", "7.5")]
+    prints = {r.version: r for r in S.schema_versions(df).collect()}
+    assert len({r.fingerprint for r in prints.values()}) == 11 and all(r.first_version == v for v, r in prints.items())
+
+
+def test_versions_reuse_fingerprints(spark):
+    import datetime as dt
+    import json
+
+    shapes = [{"id": 1, "a": "x"}, {"id": 1, "a": "x", "b": 2}, {"id": 1, "a": "y"}]
+    rows = [(k, "f", f"{k}.jsonl", dt.datetime(2024, 1, 1 + k), 0, json.dumps(r), dt.datetime(2024, 2, 1)) for k, r in enumerate(shapes)] + [(9, "f", "9.jsonl", dt.datetime(2024, 1, 9), 0, "no json", dt.datetime(2024, 2, 1))]
+    df = spark.createDataFrame(rows, "line_id long, feed string, file_name string, written_on timestamp, line_no int, line string, loaded_at timestamp")
+    got = {r.version: (r.first_version, r.fields, r.records) for r in S.schema_versions(df).collect()}
+    assert got == {0: (0, 1, 1), 1: (1, 2, 1), 2: (0, 1, 1), 3: (None, 0, 0)}
