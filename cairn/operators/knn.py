@@ -1,9 +1,12 @@
 """Vector search: exact top-k of many queries over a whole corpus, filters, level fallback, scope, and an index.
 
 Queries are a stated set, broadcast in blocks of at most ``QUERY_BLOCK`` rows; the corpus is scanned once a block and
-never shuffled.  Each partition keeps k rows a query, so what is shuffled is k x partitions x queries rows.  Ties go
-to the smaller id.  Defined results: null, empty, zero or other-length vectors match nothing; repeated ids are
-separate rows of the corpus; an empty side gives no rows.
+never shuffled.  Each partition keeps k rows a query, so what is shuffled is k x partitions x queries rows.  Where the
+queries grow with the corpus, the index takes the place of the scan: its cells grow with the square root of the rows,
+and its probes are set by the recall measured when it is fitted.  Ties go to the smaller id.
+
+Defined results: null, empty, zero or other-length vectors match nothing; repeated ids are separate rows of the corpus;
+an empty side gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ QUERY_BLOCK = 4096
 _HITS = "query_id long, id long, similarity double"
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, unit vectors) of usable rows."""
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int, unit: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, vectors, of unit length if asked) of usable rows."""
     lists = column.to_pylist() if column.null_count else None
     if lists is None and len(column) and len(set(np.diff(column.offsets.to_numpy()))) == 1 and not column.flatten().null_count:
         rows, m = np.arange(len(column)), column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
@@ -34,16 +37,16 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, n
         m = np.array([lists[k] for k in rows], np.float64).reshape(len(rows), dim)
     size = np.sqrt((m * m).sum(1))
     good = size > 0
-    return rows[good], m[good] / size[good, None]
+    return rows[good], m[good] / size[good, None] if unit else m[good]
 
 
-def _search(shared, k: int, groups: bool):
+def _search(shared, k: int, groups: bool, unit: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
         names = ["query_id", "id", "similarity"] + (["grp"] if groups else [])
         best: dict = {}
         for b in batches:
-            rows, m = _matrix(b.column(1), q.shape[1])
+            rows, m = _matrix(b.column(1), q.shape[1], unit)
             if not len(rows):
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)[rows]
@@ -66,9 +69,9 @@ def _search(shared, k: int, groups: bool):
     return run
 
 
-def query_blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The stated query set in blocks of at most QUERY_BLOCK rows: ids and unit vectors."""
-    q = queries.select(F.col(query_id).cast("long").alias("i"), F.col(vector).alias("v")).where("i is not null and v is not null")
+def query_blocks(queries: DataFrame, query_id: str, vector: str, unit: bool = True, label: str | None = None) -> Iterator[tuple]:
+    """The stated query set in blocks of at most QUERY_BLOCK rows: ids, vectors (of unit length if asked), labels."""
+    q = queries.select(F.col(query_id).cast("long").alias("i"), F.col(vector).alias("v"), (F.col(label).cast("string") if label else F.lit(None).cast("string")).alias("l")).where("i is not null and v is not null")
     n = q.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     for b in range(blocks):
@@ -79,27 +82,82 @@ def query_blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tup
             m = np.array([r.v for r in rows], np.float64)
             size = np.sqrt((m * m).sum(1))
             if (size > 0).any():
-                yield np.array([r.i for r in rows], np.int64)[size > 0], m[size > 0] / size[size > 0, None]
+                yield np.array([r.i for r in rows], np.int64)[size > 0], m[size > 0] / (size[size > 0, None] if unit else 1.0), np.array([r.l for r in rows], object)[size > 0]
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_id: str | None = None, query_vector: str | None = None, group: str | None = None) -> DataFrame:
-    """query_id, id, similarity, distance, rank (from 1) [, grp]: the k nearest by cosine of each query [and group]."""
-    spark = corpus.sparkSession
+def _ranked(hits: DataFrame, k: int, by: list[str]) -> DataFrame:
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+    return ranked.withColumn("distance", 1.0 - F.col("similarity"))
+
+
+def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_id: str | None = None, query_vector: str | None = None, group: str | None = None, metric: str = "cosine") -> DataFrame:
+    """query_id, id, similarity, distance, rank (from 1) [, grp]: the k nearest of each query [and group], by cosine or,
+    with metric ``dot``, by the product of the vectors as they are."""
+    spark, unit = corpus.sparkSession, metric == "cosine"
+    if metric not in ("cosine", "dot"):
+        raise ValueError(f"metric {metric!r}: cosine or dot")
     rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), *([F.col(group).cast("string").alias("grp")] if group else [])).where("id is not null and v is not null")
     out = None
-    for block in query_blocks(queries, query_id or id_col, query_vector or vector):
-        hits = rows.mapInArrow(_search(spark.sparkContext.broadcast(block), k, bool(group)), _HITS + (", grp string" if group else ""))
+    for qids, q, _ in query_blocks(queries, query_id or id_col, query_vector or vector, unit):
+        hits = rows.mapInArrow(_search(spark.sparkContext.broadcast((qids, q)), k, bool(group), unit), _HITS + (", grp string" if group else ""))
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         out = spark.createDataFrame([], _HITS + (", grp string" if group else ""))
-    by = ["query_id", "grp"] if group else ["query_id"]
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
-    return ranked.withColumn("distance", 1.0 - F.col("similarity"))
+    return _ranked(out, k, ["query_id", "grp"] if group else ["query_id"])
+
+
+def _search_labels(shared, k: int):
+    """As ``_search``, where a row (id, v, label) is only compared with the queries that ask for its label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q, asking = shared.value
+        best_sim, best_id = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+        for b in batches:
+            rows, m = _matrix(b.column(1), q.shape[1])
+            if not len(rows):
+                continue
+            ids, labels = b.column(0).to_numpy(zero_copy_only=False)[rows], np.array(b.column(2).to_pylist(), object)[rows]
+            for label in set(labels.tolist()):
+                asks = asking.get(label)
+                if asks is None:
+                    continue
+                pick = labels == label
+                sims = np.concatenate([best_sim[asks], q[asks] @ m[pick].T], axis=1)
+                cand = np.concatenate([best_id[asks], np.broadcast_to(ids[pick], (len(asks), int(pick.sum())))], axis=1)
+                order = np.lexsort((cand, -sims), axis=1)[:, :k]
+                best_sim[asks], best_id[asks] = np.take_along_axis(sims, order, 1), np.take_along_axis(cand, order, 1)
+        at, place = np.nonzero(np.isfinite(best_sim))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(best_id[at, place]), pa.array(best_sim[at, place])], ["query_id", "id", "similarity"])
+
+    return run
+
+
+def knn_scoped(corpus: DataFrame, queries: DataFrame, k: int, scope: str, id_col: str = "vec_id", vector: str = "embedding", query_id: str | None = None) -> DataFrame:
+    """As ``knn``, among the rows whose ``scope`` is the query's own; queries without a scope get no rows."""
+    spark = corpus.sparkSession
+    rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), F.col(scope).cast("string").alias("label")).where("id is not null and v is not null and label is not null")
+    out = None
+    for qids, q, labels in query_blocks(queries.where(F.col(scope).isNotNull()), query_id or id_col, vector, label=scope):
+        asking: dict = {}
+        for n, label in enumerate(labels.tolist()):
+            asking.setdefault(label, []).append(n)
+        hits = rows.mapInArrow(_search_labels(spark.sparkContext.broadcast((qids, q, {x: np.array(v) for x, v in asking.items()})), k), _HITS)
+        out = hits if out is None else out.unionByName(hits)
+    return _ranked(spark.createDataFrame([], _HITS) if out is None else out, k, ["query_id"])
+
+
+def search_levels(first: DataFrame, second: DataFrame, queries: DataFrame, k: int, threshold: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Hits of the first level, and of the second for those queries only whose farthest hit is beyond the threshold (or
+    that have none): they alone are searched there.  Adds level: chunks or details."""
+    hits = cut(knn(first, queries, k, id_col, vector), "first-level")
+    near = hits.groupBy(F.col("query_id").alias(id_col)).agg(F.max("distance").alias("d")).where(F.col("d") <= threshold).select(id_col)
+    more = knn(second, queries.join(near, id_col, "left_anti"), k, id_col, vector)
+    return hits.withColumn("level", F.lit("chunks")).unionByName(more.withColumn("level", F.lit("details")))
 
 
 def with_fallback(hits: DataFrame, details: DataFrame, threshold: float) -> DataFrame:
-    """Hits of the first level, and for queries whose farthest hit is beyond the threshold also those of the details
-    level.  Both sides: query_id, id, similarity, distance, rank; adds level."""
+    """As ``search_levels``, where both searches were made already.  Both sides: query_id, id, similarity, distance, rank."""
     low = hits.groupBy("query_id").agg(F.max("distance").alias("d")).where(F.col("d") > threshold).select("query_id")
     return hits.withColumn("level", F.lit("chunks")).unionByName(details.join(low, "query_id", "left_semi").withColumn("level", F.lit("details")))
 
@@ -111,25 +169,48 @@ def first_scope(hits: DataFrame, scope: str) -> DataFrame:
 
 # ---- index -----------------------------------------------------------------------------------------------------
 
-#: Rows the centres are fitted on at most, and their number.
-SAMPLE, CELLS, PROBES, SALTS = 20_000, 64, 44, 8
+#: Rows the index is fitted on at most, bounds of its cells, the recall its probes are set for, files a cell is spread over.
+SAMPLE, LEAST_CELLS, MOST_CELLS, RECALL, SALTS = 20_000, 16, 8192, 0.95, 8
 
 
-def fit_centres(corpus: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cells: int = CELLS, sample: int = SAMPLE, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means on at most ``sample`` rows, those of least hashed id."""
-    got = corpus.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample).select(vector).collect()
+def _sampled(rows: DataFrame, id_col: str, vector: str, sample: int) -> np.ndarray:
+    """Unit vectors of at most ``sample`` rows, those of least hashed id."""
+    got = rows.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample).select(vector).collect()
     m = np.array([r[0] for r in got if r[0] and None not in r[0]], np.float64)
+    return m / np.maximum(np.sqrt((m * m).sum(1)), 1e-12)[:, None] if len(m) else m
+
+
+def _probes(m: np.ndarray, c: np.ndarray, k: int, target: float) -> int:
+    asked = m[:: max(1, len(m) // 200)][:200]
+    near = np.argsort(-(asked @ m.T), axis=1)[:, : k + 1]  # each row finds itself too
+    order = np.argsort(np.argsort(-(asked @ c.T), axis=1), axis=1)  # rank of every cell for every asking row
+    rank = np.take_along_axis(order, (m @ c.T).argmax(1)[near], 1)
+    held = [(rank < p).mean() for p in range(1, len(c) + 1)]
+    return next((p for p, share in enumerate(held, 1) if share >= target), len(c))
+
+
+def fit_centres(corpus: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cells: int | None = None, sample: int = SAMPLE, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means on at most ``sample`` rows, those of least hashed id; by default the square root of the number
+    of rows as cells, within bounds."""
+    return fit_index(corpus, id_col, vector, cells, sample, rounds)[0]
+
+
+def fit_index(corpus: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cells: int | None = None, sample: int = SAMPLE, rounds: int = 12, k: int = 10, target: float = RECALL) -> tuple[np.ndarray, int]:
+    """(centres, probes).  Probes are the fewest cells that hold the share ``target`` of the k nearest rows of 200 rows of
+    the sample, by brute force over the sample."""
+    whole = corpus.where(F.col(vector).isNotNull())
+    cells = cells or int(min(MOST_CELLS, max(LEAST_CELLS, whole.count() ** 0.5)))
+    m = _sampled(whole, id_col, vector, sample)
     if not len(m):
-        return np.zeros((0, 0))
-    m = m / np.maximum(np.sqrt((m * m).sum(1)), 1e-12)[:, None]
+        return np.zeros((0, 0)), 1
     c = m[:: max(1, len(m) // cells)][:cells].copy()
     for _ in range(rounds):
         own = (m @ c.T).argmax(1)
-        for k in range(len(c)):
-            if (own == k).any():
-                v = m[own == k].sum(0)
-                c[k] = v / max(np.linalg.norm(v), 1e-12)
-    return c
+        for n in range(len(c)):
+            if (own == n).any():
+                v = m[own == n].sum(0)
+                c[n] = v / max(np.linalg.norm(v), 1e-12)
+    return c, _probes(m, c, k, target)
 
 
 def build_index(corpus: DataFrame, centres: np.ndarray, path: str, id_col: str = "vec_id", vector: str = "embedding") -> None:
@@ -149,35 +230,23 @@ def build_index(corpus: DataFrame, centres: np.ndarray, path: str, id_col: str =
     rows.mapInArrow(run, "id long, v array<float>, cell int").where("cell >= 0").repartition("cell", F.pmod("id", F.lit(SALTS))).write.partitionBy("cell").parquet(path)
 
 
-def search_index(path: str, centres: np.ndarray, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", probes: int = PROBES) -> DataFrame:
-    """As ``knn``, over the cells of the ``probes`` nearest centres of each query.  Recall is that of the probed cells."""
+def search_index(path: str, centres: np.ndarray, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", probes: int | None = None) -> DataFrame:
+    """As ``knn``, over the cells of the ``probes`` nearest centres of each query; only the files of those cells are read,
+    and each task keeps k rows a query.  Recall is that of the probed cells (see ``fit_index``, whose probes are found
+    again on a sample of the index where none are given)."""
     spark = queries.sparkSession
     index = spark.read.parquet(path)
+    if probes is None:
+        m = _sampled(index, "id", "v", SAMPLE)
+        probes = _probes(m, centres, 2 * k, RECALL) if len(m) else 1
     out = None
-    for qids, q in query_blocks(queries, id_col, vector):
+    for qids, q, _ in query_blocks(queries, id_col, vector):
         near = np.argsort(-(q @ centres.T), axis=1)[:, :probes]
-        shared = spark.sparkContext.broadcast((qids, q, near))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, q, near = shared.value
-            for b in batches:
-                rows, m = _matrix(b.column(1), q.shape[1])
-                ids, cell = b.column(0).to_numpy()[rows], b.column(2).to_numpy()[rows]
-                for c in np.unique(cell):
-                    asks = np.flatnonzero((near == c).any(1))
-                    pick = cell == c
-                    if not len(asks):
-                        continue
-                    sims = q[asks] @ m[pick].T
-                    order = np.lexsort((np.broadcast_to(ids[pick], sims.shape), -sims), axis=1)[:, :k]
-                    n = order.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[asks], n)), pa.array(ids[pick][order].reshape(-1)), pa.array(np.take_along_axis(sims, order, 1).reshape(-1))], ["query_id", "id", "similarity"])
-
-        hits = index.where(F.col("cell").isin(np.unique(near).tolist())).select("id", "v", "cell").mapInArrow(run, _HITS)
+        asking = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
+        shared = spark.sparkContext.broadcast((qids, q, asking))
+        hits = index.where(F.col("cell").isin(list(asking))).select("id", "v", "cell").mapInArrow(_search_labels(shared, k), _HITS)
         out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        out = spark.createDataFrame([], _HITS)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k).withColumn("distance", 1.0 - F.col("similarity"))
+    return _ranked(spark.createDataFrame([], _HITS) if out is None else out, k, ["query_id"])
 
 
 def recall(exact: DataFrame, found: DataFrame) -> float:

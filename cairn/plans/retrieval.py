@@ -33,8 +33,7 @@ def _hits(df: DataFrame) -> DataFrame:
 
 
 def knn_topk(s, d):
-    e = _emb(s, d)
-    return _hits(K.knn(e, e.where("vec_id = 0"), 10))
+    return _hits(K.knn(_emb(s, d), _queries(s, d), 10))
 
 
 def knn_multi_query(s, d):
@@ -56,21 +55,37 @@ def knn_per_collection(s, d):
     return K.knn(e, _queries(s, d), 3, group="collection").select("query_id", F.col("grp").alias("collection"), "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("int").alias("rank"))
 
 
+def _scaled(s, d):
+    """Vectors of several lengths."""
+    return _emb(s, d).select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 3 + 1)).alias("embedding"))
+
+
 def knn_dot(s, d):
-    """Dot product over unit vectors is the cosine; the whole corpus is searched."""
-    return _hits(K.knn(_emb(s, d), _emb(s, d).where("vec_id = 7"), 10)).withColumn("distance", F.round(1.0 - F.col("similarity"), 5))
+    """Brute force by the product of vectors as they are; the whole corpus is searched, not its first rows."""
+    e = _scaled(s, d)
+    return _hits(K.knn(e, e.where(F.col("vec_id") % EVERY == 0), 10, metric="dot")).withColumn("distance", F.round(1.0 - F.col("similarity"), 5))
 
 
-def knn_index(s, d):
-    """The index over all rows, searched; tests measure its recall."""
+def _indexed(s, d, k):
     import uuid
 
     e = _emb(s, d)
-    c = K.fit_centres(e)
+    c, probes = K.fit_index(e)
     at = f"{shared_dir(s)}/cairn-index-{uuid.uuid4().hex}"
     K.build_index(e, c, at)
     forget_on_exit(s, at)
-    return _hits(K.search_index(at, c, _queries(s, d), TOP))
+    return K.search_index(at, c, _queries(s, d), k, probes=probes)
+
+
+def knn_index(s, d):
+    """The index over all rows, searched for the whole query set."""
+    return _hits(_indexed(s, d, TOP))
+
+
+def knn_index_recall(s, d):
+    """Recall of the index against brute force, and whether it reaches 0.9."""
+    r = K.recall(K.knn(_emb(s, d), _queries(s, d), TOP), _indexed(s, d, TOP))
+    return s.createDataFrame([(TOP, r >= 0.9)], "k int, reached boolean")
 
 
 def _levels(s, d):
@@ -80,17 +95,17 @@ def _levels(s, d):
 
 def hierarchical_fallback(s, d):
     chunks, details = _levels(s, d)
-    q = _queries(s, d)
-    both = K.with_fallback(K.knn(chunks, q, TOP), K.knn(details, q, TOP), 0.65)
+    both = K.search_levels(chunks, details, _queries(s, d), TOP, 0.65)
     return both.select("query_id", "level", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("int").alias("rank"))
 
 
 def hierarchical_scope(s, d):
-    """The first repository among a query's hits scopes what is kept of the next level."""
-    repo = table(s, d, "details").select(F.col("detail_id").alias("id"), "repo")
-    hits = K.knn(_emb(s, d), _queries(s, d), TOP).join(repo, "id", "left")
-    scope = K.first_scope(hits, "repo")
-    return table(s, d, "chunks").where("level = 3").join(scope, "repo").groupBy("query_id", "repo").agg(F.count("*").alias("files"))
+    """The first repository among a query's summary hits scopes the search of the next level."""
+    repo = table(s, d, "details").select(F.col("detail_id").alias("vec_id"), "repo")
+    summaries, lower = (e.join(repo, "vec_id") for e in _levels(s, d))
+    hits = K.knn(summaries, _queries(s, d), TOP).join(repo.withColumnRenamed("vec_id", "id"), "id")
+    scope = K.first_scope(hits, "repo").withColumnRenamed("query_id", "vec_id")
+    return K.knn_scoped(lower, _queries(s, d).join(scope, "vec_id"), TOP, "repo").select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("int").alias("rank"))
 
 
 def _records(s, d):
@@ -185,7 +200,7 @@ def retrieve_lifecycle(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_topk, knn_multi_query, knn_filtered_language, knn_filtered_repo, knn_per_collection, knn_dot, knn_index, hierarchical_fallback, hierarchical_scope, access_records, forgetting_score, forgetting_rerank, retrieval_stats,
+        knn_topk, knn_multi_query, knn_filtered_language, knn_filtered_repo, knn_per_collection, knn_dot, knn_index, knn_index_recall, hierarchical_fallback, hierarchical_scope, access_records, forgetting_score, forgetting_rerank, retrieval_stats,
         context_format, rag_context, memory_weight, lifecycle_state, lifecycle_counts, ablation_weights, mmr_rerank, diversity, retrieve_lifecycle,
     )
 }
@@ -228,19 +243,24 @@ def _pick(n: int) -> str:
 
 
 SQL = {
-    "knn_topk": _out(_knn_sql(10, "q.vec_id = 0")),
+    "knn_topk": _out(_knn_sql(10)),
     "knn_multi_query": _out(_knn_sql(5)),
     "knn_filtered_language": _out(_knn_sql(5, corpus=_PY)),
     "knn_filtered_repo": _out(_knn_sql(5, corpus=_IO)),
     "knn_per_collection": "SELECT query_id, collection, id, round(s, 6) AS similarity, rank::INTEGER AS rank FROM ("
     + _knn_sql(3, corpus="(SELECT *, CASE vec_id % 3 WHEN 0 THEN 'summary' WHEN 1 THEN 'chunks' ELSE 'details' END AS collection FROM embeddings)", part="q.vec_id, e.collection", extra=", e.collection")
     + ")",
-    "knn_dot": "SELECT *, round(1 - similarity, 5) AS distance FROM (" + _out(_knn_sql(10, "q.vec_id = 7")) + ")",
+    "knn_dot": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 3 + 1)) AS v FROM embeddings),
+h AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_dot_product(q.v, e.v) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, e.v) DESC, e.vec_id) AS rank FROM e q, e WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10)
+SELECT query_id, id, round(s, 6) AS similarity, rank::INTEGER AS rank, round(1 - round(s, 6), 5) AS distance FROM h""",
+    "knn_index_recall": "SELECT 5::INTEGER AS k, true AS reached",
     "hierarchical_fallback": f"""WITH a AS ({_knn_sql(5, corpus="(SELECT * FROM embeddings WHERE vec_id % 3 <> 2)")}), b AS ({_knn_sql(5, corpus="(SELECT * FROM embeddings WHERE vec_id % 3 = 2)")}),
 low AS (SELECT query_id FROM a GROUP BY query_id HAVING max(1 - s) > 0.65)
 SELECT query_id, 'chunks' AS level, id, round(s, 6) AS similarity, rank::INTEGER AS rank FROM a UNION ALL SELECT query_id, 'details', id, round(s, 6), rank::INTEGER FROM b SEMI JOIN low USING (query_id)""",
-    "hierarchical_scope": f"""WITH h AS (SELECT k.query_id, k.rank, d.repo FROM ({_knn_sql(5)}) k JOIN details d ON d.detail_id = k.id WHERE d.repo <> ''), sc AS (SELECT query_id, arg_min(repo, rank) AS repo FROM h GROUP BY query_id)
-SELECT query_id, repo, count(*) AS files FROM chunks JOIN sc USING (repo) WHERE level = 3 GROUP BY ALL""",
+    "hierarchical_scope": f"""WITH er AS (SELECT e.*, d.repo FROM embeddings e JOIN details d ON d.detail_id = e.vec_id),
+h AS (SELECT k.query_id, k.rank, d.repo FROM ({_knn_sql(5, corpus="(SELECT * FROM er WHERE vec_id % 3 <> 2)")}) k JOIN details d ON d.detail_id = k.id WHERE d.repo <> ''), sc AS (SELECT query_id, arg_min(repo, rank) AS repo FROM h GROUP BY query_id),
+n AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_SIM} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, e.vec_id) AS rank FROM embeddings q JOIN sc ON sc.query_id = q.vec_id JOIN (SELECT * FROM er WHERE vec_id % 3 = 2) e ON e.repo = sc.repo QUALIFY rank <= 5)
+{_out("SELECT * FROM n")}""",
     "access_records": f"WITH {_REC} SELECT doc_id, round(last_access_time, 3) AS last_access_time, access_count, correct_count, total_use_count FROM rec",
     "forgetting_score": f"WITH {_REC} SELECT doc_id, round({_F}, 6) AS forgetting_score FROM rec",
     "forgetting_rerank": f"{_FORGET} SELECT query_id, doc_id, final_score, final_rank::INTEGER AS final_rank FROM top",

@@ -108,3 +108,30 @@ def test_embedder(spark):
     assert abs(n[0] - 1) < 1e-5 and n[1] == n[2] == 0
     pair = df.select(V.cosine_similarity(F.col("embedding"), F.col("embedding")).alias("c")).collect()
     assert abs(pair[0].c - 1) < 1e-6 and pair[1].c is None
+
+
+def test_dot_takes_vectors_as_they_are(spark):
+    c = corpus(spark, [(1, [1.0, 0.0]), (2, [3.0, 3.0]), (3, [0.0, 2.0])])
+    q = c.where("vec_id = 1")
+    assert [(r.id, r.similarity) for r in K.knn(c, q, 3, metric="dot").orderBy("rank").collect()] == [(2, 3.0), (1, 1.0), (3, 0.0)]
+    assert [r.id for r in K.knn(c, q, 3).orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_scoped_and_leveled_search(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(240, 6)).astype(np.float32)
+    c = corpus(spark, [(i, v.tolist()) for i, v in enumerate(m)]).withColumn("repo", F.when(F.col("vec_id") % 7 > 0, F.concat(F.lit("r"), (F.col("vec_id") % 3).cast("string"))))
+    q = c.where("vec_id % 40 = 1")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    got = {}
+    for r in K.knn_scoped(c.repartition(4), q, 3, "repo").orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    for i in range(1, 240, 40):
+        same = [j for j in range(240) if j % 7 and j % 3 == i % 3] if i % 7 else []
+        assert got.get(i, []) == sorted(same, key=lambda j: (-(u[i] @ u[j]), j))[:3]
+    first, second = c.where("vec_id % 2 = 0"), c.where("vec_id % 2 = 1")
+    one = K.with_fallback(K.knn(first, q, 3), K.knn(second, q, 3), 0.4)
+    two = K.search_levels(first, second, q, 3, 0.4)
+    keys = ["query_id", "id", "level", "rank"]
+    assert sorted(map(tuple, one.select(*keys).collect())) == sorted(map(tuple, two.select(*keys).collect()))
+    assert K.search_levels(first.where("false"), second, q, 3, 0.4).where("level = 'details'").count() == 18
