@@ -140,9 +140,13 @@ def run_tests(df: DataFrame, code: str, tests: str, allow: bool = False, seconds
     return df.withColumn("exec_pass", share(F.col(code), F.col(tests)))
 
 
-def generate(df: DataFrame, prompt: str, make=None) -> DataFrame:
+_HOLDS_CODE = re.compile(r"def |class ")
+
+
+def generate(df: DataFrame, prompt: str, make=None, simpler: str = "Write Python code only. No explanation.\n") -> DataFrame:
     """Model hook: add ``completion``.  ``make`` builds a function from prompts to texts once per worker; the default is
-    a deterministic stub that returns a function with the prompt as its comment."""
+    a deterministic stub that returns a function with the prompt as its comment.  Where a text holds no code, the prompt is
+    asked once more with ``simpler`` before it."""
 
     def stub():
         return lambda prompts: [f"```python\ndef solve(*args):\n    # {(p or '').splitlines()[0][:60] if p else ''}\n    return args\n```" for p in prompts]
@@ -153,6 +157,11 @@ def generate(df: DataFrame, prompt: str, make=None) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = build()
         for s in batches:
-            yield pd.Series(model(s.tolist()), dtype=object)
+            asked = s.tolist()
+            texts = list(model(asked))
+            again = [k for k, t in enumerate(texts) if not _HOLDS_CODE.search(t or "")]
+            for k, t in zip(again, model([simpler + (asked[k] or "") for k in again]) if again else []):
+                texts[k] = t
+            yield pd.Series(texts, dtype=object)
 
     return df.withColumn("completion", run(F.col(prompt)))

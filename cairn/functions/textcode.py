@@ -150,6 +150,39 @@ def rag_context(texts: Column) -> Column:
     return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("// Retrieved "), (i + 1).cast("string"), F.lit(":\n"), F.left(t, F.lit(800)))), "\n\n")
 
 
+#: The least query and what a shorter one gives; headings of result sections.
+LEAST_QUERY, TOO_SHORT = 3, "Query too short (min 3 chars)"
+HEADINGS = {"summary": "── Repo/Module ──", "chunks": "── File ──", "details": "── Function/Class ──"}
+
+
+def checked_query(query: Column) -> Column:
+    """Struct: query (trimmed of blanks of any kind), error (null where it is long enough)."""
+    q = strip(F.coalesce(query, F.lit("")))
+    return F.struct(q.alias("query"), F.when(F.length(q) < LEAST_QUERY, TOO_SHORT).alias("error"))
+
+
+def cache_key(query: Column, k: Column, threshold: Column, language: Column, repo: Column) -> Column:
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return F.md5(F.concat_ws("|", query, k.cast("string"), threshold.cast("string"), blank(language), blank(repo)))
+
+
+def preview(text: Column, chars: int = 200) -> Column:
+    """The beginning of a text on one line."""
+    return F.translate(F.left(text, F.lit(chars)), "\n", " ")
+
+
+def result_lines(level: Column, distance: Column, repo: Column, name: Column, path: Column, text: Column, content: bool = True) -> Column:
+    """How a hit is shown: its distance and place and, below, a snippet on one line (not for summaries)."""
+    known = lambda c: F.coalesce(c, F.lit("?"))
+    snippet = lambda n: F.concat(F.lit("\n    "), F.replace(F.left(F.coalesce(text, F.lit("")), F.lit(n)), F.lit("\n"), F.lit("\\n"))) if content else F.lit("")
+    score = F.format_string("  [%.3f] ", distance)
+    return (
+        F.when(level == "summary", F.concat(score, known(repo), F.lit(" | "), F.left(F.coalesce(name, F.lit("")), F.lit(60))))
+        .when(level == "chunks", F.concat(score, known(repo), F.lit(":"), F.coalesce(path, F.lit("")), snippet(120)))
+        .otherwise(F.concat(score, known(repo), F.lit("::"), known(name), snippet(150)))
+    )
+
+
 def rag_query(prompt: Column, entry_point: Column) -> Column:
     return F.left(F.concat(F.coalesce(prompt, F.lit("")), F.lit(" "), F.coalesce(entry_point, F.lit(""))), F.lit(500))
 

@@ -64,7 +64,8 @@ def languages(chunks: DataFrame) -> DataFrame:
 
 
 def repo_counts(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy(F.coalesce(F.nullif("repo", F.lit("")), F.lit("unknown")).alias("repo")).agg(F.count("*").alias("files")).orderBy(F.desc("files"), "repo")
+    """repo, files (file chunks), chunks, most first; rows without repository count as unknown."""
+    return chunks.groupBy(F.coalesce(F.nullif("repo", F.lit("")), F.lit("unknown")).alias("repo")).agg(F.count_if(F.col("level") == 3).alias("files"), F.count("*").alias("chunks")).orderBy(F.desc("files"), "repo")
 
 
 def expansion_plan(wanted: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -79,6 +80,29 @@ def chunk_uid(ordinal: Column, repo: Column, path: Column, name: Column, content
     return F.left(F.translate(raw, ":|", "__"), F.lit(200))
 
 
+def file_uid(repo: Column, path: Column) -> Column:
+    key = F.concat(repo, F.lit("|"), path)
+    return F.left(F.translate(F.concat(F.lit("file_"), repo, F.lit("_"), F.translate(path, "/", "_"), F.lit("_"), F.left(F.md5(key), F.lit(8))), ":|", "__"), F.lit(150))
+
+
+def repo_uid(repo: Column) -> Column:
+    return F.concat(F.lit("repo_v2_"), F.left(F.md5(repo), F.lit(12)))
+
+
+def expansion(new: DataFrame, stored: DataFrame, order: str) -> DataFrame:
+    """What an incremental run adds to the store: collection, level, type, uid, repo, language, file_path, name, text.
+
+    Rows whose content hash is stored are left out; of the rest, every chunk is a row of the details, every file one of
+    the chunks (its first declarations), every repository one of the summary."""
+    fresh = unseen(new, stored).where("repo is not null and file_path is not null")
+    cols = lambda level, kind, uid, path, name, text: [F.lit(level).alias("level"), kind.alias("type"), uid.alias("uid"), F.col("repo"), (F.col("language") if level > 1 else F.lit(None).cast("string")).alias("language"), path.alias("file_path"), name.alias("name"), text.alias("text")]
+    null = F.lit(None).cast("string")
+    chunks = ordinals(fresh, order).select(*cols(4, F.col("type"), chunk_uid(F.col("ordinal"), F.col("repo"), F.col("file_path"), F.col("name"), F.col("content")), F.col("file_path"), F.col("name"), F.col("content")))
+    files = file_rollup(fresh, order).select(*cols(3, F.lit("file"), file_uid(F.col("repo"), F.col("file_path")), F.col("file_path"), null, F.col("summary")))
+    repos = repo_rollup(fresh).select(*cols(1, F.lit("repo"), repo_uid(F.col("repo")), null, F.col("repo"), F.col("summary")))
+    return chunks.unionByName(files).unionByName(repos).withColumn("collection", collection(F.col("level")))
+
+
 def ordinals(df: DataFrame, *order: str) -> DataFrame:
     """Add ``ordinal`` from 0 in total order, without gathering the table: range partitions, their counts, offsets."""
     spark = df.sparkSession

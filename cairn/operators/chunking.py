@@ -1,7 +1,7 @@
 """Source files to chunks: language map, path filters, modules, function and class extraction, summaries.
 
-Extraction runs in Python over Arrow batches (no JVM regex: some patterns exhaust its stack); texts over ``LONGEST``
-characters are cut at declaration starts for the patterns that back-track, so every character is still scanned.
+Extraction runs in Python over Arrow batches (no JVM regex: some patterns exhaust its stack), over whole texts of any
+length.  The second version has no JavaScript.
 Defined results: null text gives nothing; Python that doesn't parse gives nothing from the parser.
 """
 
@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -24,7 +26,6 @@ LANGUAGES_V2 = {".py": "python", ".java": "java", ".kt": "kotlin", ".kts": "kotl
 PRUNED_V1, PRUNED_V2 = ("node_modules", "__pycache__", "venv", "env", ".git"), ("node_modules", "__pycache__", "venv", "env", ".git", "target", "build", "dist")
 NO_MODULES = ("__pycache__", "node_modules", "test", "tests", "venv", "env")
 LEAST_CHARS = 30
-LONGEST = 200_000
 #: Patterns of functions by name ending, first version (name: what follows fn, func or function).
 PATTERNS_V1 = {
     ".go": [r"func\s+(?:\([^)]*\)\s+)?\w+[^{]*\{[^}]*\}"],
@@ -87,27 +88,59 @@ def python_items(source: str) -> list[tuple]:
     return out
 
 
+#: What a pattern of leading words begins with: its runs of words are extended to the left, not tried from each word.
+_WORDS_FIRST = r"(?:\w+\s+)+"
+
+
+@cache
+def _compiled(pattern: str) -> re.Pattern:
+    """A pattern that begins with a word is tried at the beginnings of words only; within one it fails as it did there."""
+    return re.compile((r"(?<!\w)" if re.match(r"(?:\(\?:|\()*\\w", pattern) else "") + pattern, re.S)
+
+
+def _after_words(tail: re.Pattern, text: str) -> Iterator[tuple[int, int, re.Match]]:
+    """Matches of one or more words with blanks after them, and then ``tail``, from left to right.  Each word is looked at
+    a few times, however long its run is."""
+    end = at = 0
+    while m := tail.search(text, at):
+        start = m.start()
+        while True:
+            k = start
+            while k > end and text[k - 1].isspace():
+                k -= 1
+            w = k
+            while w > end and (text[w - 1].isalnum() or text[w - 1] == "_"):
+                w -= 1
+            if k == start or w == k:
+                break
+            start = w
+        if start < m.start():
+            yield start, m.end(), m
+            end = at = m.end()
+        else:
+            at = re.compile(r"\w+").match(text, m.start()).end()
+
+
+def _hits(pattern: str, text: str) -> Iterator[tuple[int, int, re.Match]]:
+    if pattern.startswith(_WORDS_FIRST):
+        return _after_words(_compiled(pattern[len(_WORDS_FIRST) :]), text)
+    return ((m.start(), m.end(), m) for m in _compiled(pattern).finditer(text))
+
+
+_FUNCTION_NAME = re.compile(r"(?:fn|func|function)\s+(\w+)")
+
+
 def pattern_items(source: str, ext: str, patterns: dict[str, list[str]]) -> list[tuple]:
     """The same by patterns; hits of several patterns all come out; names of the second version are group 1."""
-    out, named = [], patterns is PATTERNS_V2
-    pieces = [(0, source)]
-    if len(source) > LONGEST:  # cut at lines that start at the margin
-        cuts = [0, *(m.start() for m in re.finditer(r"(?m)^(?=\S)", source)), len(source)]
-        pieces, begin = [], 0
-        for a, b in zip(cuts, cuts[1:]):
-            if b - begin > LONGEST and a > begin:
-                pieces.append((begin, source[begin:a]))
-                begin = a
-        pieces.append((begin, source[begin:]))
-    for p in patterns.get(ext, []):
-        for base, piece in pieces:
-            for m in re.finditer(p, piece, re.S):
-                text = m.group().strip()
-                if len(text) < LEAST_CHARS:
-                    continue
-                got = m.group(1) if named and m.lastindex else (lambda x: x and x.group(1))(None if named else re.search(r"(?:fn|func|function)\s+(\w+)", text))
-                name = got or f"{'m' if named else 'match'}_{len(out)}"
-                out.append(("function", name, text, source.count("\n", 0, base + m.start()) + 1, source.count("\n", 0, base + m.end()) + 1))
+    out, second = [], patterns is PATTERNS_V2
+    line = lambda at: bisect_left(breaks, at) + 1
+    breaks = [m.start() for m in re.finditer("\n", source)]
+    for pattern in patterns.get(ext, []):
+        for start, end, m in _hits(pattern, source):
+            text = source[start:end].strip()
+            if len(text) >= LEAST_CHARS:
+                named = (m if m.lastindex else None) if second else _FUNCTION_NAME.search(text)
+                out.append(("function", named.group(1) if named else f"{'m' if second else 'match'}_{len(out)}", text, line(start), line(end)))
     return out
 
 
@@ -118,6 +151,8 @@ def _extract(version: int):
             rows = []
             for key, path, text in zip(*[b.column(k).to_pylist() for k in range(3)]):
                 ext = "." + path.rsplit("/", 1)[-1].rpartition(".")[2].lower() if path and "." in path else ""
+                if version == 2 and ext == ".js":
+                    continue  # rows of that language are dropped
                 items = python_items(text) if ext == ".py" else pattern_items(text, ext, patterns)
                 rows += [(key, k, *x) for k, x in enumerate(items)]
             if rows:

@@ -134,6 +134,28 @@ def ordered_by(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.where(F.col(key).isin(order)).withColumn("place", place[F.col(key)])
 
 
+def chosen(groups: DataFrame, key: str, prefixes: list[str]) -> DataFrame:
+    """Rows whose key begins with one of the prefixes; all rows where none is given or none is met."""
+    if not prefixes:
+        return groups
+    hit = groups.where(F.greatest(*[F.col(key).startswith(p) for p in prefixes], F.lit(False)))
+    none = hit.limit(1).agg((F.count("*") == 0).alias("none"))
+    return hit.unionByName(groups.join(F.broadcast(none.where("none")), how="left_semi", on=F.lit(True)))
+
+
+def first_in_order(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """A stated limit, after ordering; 0 or less is no limit."""
+    return rows.orderBy(order).limit(n) if n > 0 else rows.orderBy(order)
+
+
+def report_table(runs: DataFrame, results: DataFrame, datasets: list[str]) -> DataFrame:
+    """The report's rows: runs (place, model, mode) in their order for each dataset, with the labelled mode and the
+    metrics of ``results``; runs without a result are left out.  Adds row, from 1 in each dataset."""
+    rows = results.join(runs, ["model", "mode"])
+    labelled = label_modes(ordered_by(rows.withColumnRenamed("place", "run"), "dataset", datasets))
+    return labelled.withColumn("row", F.row_number().over(Window.partitionBy("dataset").orderBy("run", "model", "mode")))  # a few runs a dataset
+
+
 def label_modes(rows: DataFrame) -> DataFrame:
     labels = F.create_map(*[v for k, name in MODE_LABELS.items() for v in (F.lit(k), F.lit(name))])
     return rows.withColumn("mode_label", F.coalesce(labels[F.col("mode")], "mode"))

@@ -37,7 +37,7 @@ def length_filter(s, d):
 
 def token_stats(s, d):
     total = F.col("source_len") + F.col("target_len")
-    kept = total <= 200
+    kept = total <= C.MAX_PAIR_TOKENS
     g = _pairs(s, d).agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("too_long"), F.coalesce(F.sum(F.when(kept, total)), F.lit(0)).alias("t"))
     return g.select("kept", "too_long", F.expr("t div greatest(kept, 1)").alias("avg_tokens"))
 
@@ -68,6 +68,9 @@ SQL = {
     "chat_template": f"WITH {_CONV} SELECT rec_id, md5({_TEXT}) AS text_md5, length({_TEXT})::INTEGER AS chars FROM m WHERE msgs IS NOT NULL",
     "chat_shapes": """SELECT CASE WHEN source_text IS NOT NULL THEN 'pair' WHEN messages IS NOT NULL THEN 'messages' WHEN conversations IS NOT NULL THEN 'conversations' WHEN instruction IS NOT NULL AND output IS NOT NULL THEN 'instruction_output'
 WHEN instruction IS NOT NULL AND response IS NOT NULL THEN 'instruction_response' ELSE 'none' END AS shape, count(*) AS n FROM merged_distillation GROUP BY 1""",
+    "loss_mask": f"""WITH {_CONV}, t AS (SELECT rec_id, regexp_extract_all({_TEXT}, '(<\\|im_start\\|>|<\\|im_end\\|>|\\w+|[^\\w\\s])') AS w FROM m WHERE msgs IS NOT NULL),
+p AS (SELECT rec_id, unnest(generate_series(1, len(w))) AS i, w FROM t WHERE len(w) > 10 AND len(w) <= 2048), s AS (SELECT rec_id, i, w, max(CASE WHEN w[i] = '<|im_start|>' THEN i END) OVER (PARTITION BY rec_id ORDER BY i) AS st FROM p)
+SELECT rec_id, count(*)::INTEGER AS tokens, (count(*) FILTER (st IS NOT NULL AND w[st + 1] = 'assistant' AND i >= st + 2))::INTEGER AS trained FROM s GROUP BY rec_id""",
     "length_filter": f"WITH {_LEN} SELECT * FROM p WHERE source_len + target_len <= 4096",
-    "token_stats": f"WITH {_LEN} SELECT count(*) FILTER (t <= 200) AS kept, count(*) FILTER (t > 200) AS too_long, coalesce(sum(t) FILTER (t <= 200), 0)::BIGINT // greatest(count(*) FILTER (t <= 200), 1) AS avg_tokens FROM (SELECT source_len + target_len AS t FROM p)",
+    "token_stats": f"WITH {_LEN} SELECT count(*) FILTER (t <= 4096) AS kept, count(*) FILTER (t > 4096) AS too_long, coalesce(sum(t) FILTER (t <= 4096), 0)::BIGINT // greatest(count(*) FILTER (t <= 4096), 1) AS avg_tokens FROM (SELECT source_len + target_len AS t FROM p)",
 }

@@ -38,8 +38,9 @@ def pass_counts(s, d):
 
 
 def pass_rate(s, d):
-    g = table(s, d, "access_records").where("doc_id is not null").groupBy("doc_id").agg(F.count_if(F.col("correct_count") > 0).alias("ok"), F.count("*").alias("n"))
-    return g.select("doc_id", F.round(F.col("ok") / F.greatest("n", F.lit(1)), 6).alias("pass_rate"))
+    """Share of a record's messages that hold code or a number, as cases that pass."""
+    m = table(s, d, "merged_distillation").where("messages is not null")
+    return m.select("rec_id", F.round(E.pass_rate(F.transform("messages", lambda x: F.coalesce(x["content"], F.lit("")).rlike("[0-9]|return"))), 6).alias("pass_rate"))
 
 
 def _runs(s, d):
@@ -58,7 +59,15 @@ def gap_recovery(s, d):
 
 
 def mode_table(s, d):
-    return E.label_modes(_runs(s, d)).select("model", "dataset", "mode_label", "base_pct")
+    """The report: runs in their stated order for each dataset, joined to what results there are."""
+    runs = s.createDataFrame([(k, m, mode) for k, (m, mode) in enumerate([(m, mode) for m in ("m2", "m0", "m9") for mode in ("rag", "no-rag")])], "place int, model string, mode string")
+    return E.report_table(runs, _runs(s, d), ["d1", "d0"]).select("dataset", F.col("row").cast("int").alias("row"), "model", "mode_label", "base_pct", "plus_pct")
+
+
+def config_filter(s, d):
+    """Items whose task begins with a stated prefix, the first ten in order of task (a stated limit)."""
+    items = table(s, d, "benchmark_items").where("task_id is not null").withColumn("key", F.concat_ws("#", "task_id", F.lpad(F.col("item_id").cast("string"), 9, "0")))
+    return E.first_in_order(E.chosen(items, "task_id", ["T", "b", "k"]), "key", 10).select("item_id", "task_id")
 
 
 def _cases(s, d):
@@ -117,8 +126,10 @@ def resume_anti(s, d):
 
 
 def version_compare(s, d):
-    r = _results(s, d).withColumn("k", F.col("rec_id") % 500)
-    return E.versions_compared(r.where("experiment = 'alpaca'"), r.where("experiment = 'dolly'"), "k", "latency").select("k", F.round("base", 4).alias("base"), F.round("other", 4).alias("other"), "improvement")
+    """Every record's score in one version (length of its answer) and in the other (of its question)."""
+    m = table(s, d, "merged_distillation")
+    one = lambda *c: m.select("rec_id", (F.length(F.coalesce(*c)) / 100.0).alias("score")).where("score is not null")
+    return E.versions_compared(one("target_text", "output", "response"), one("source_text", "instruction"), "rec_id", "score").select("rec_id", F.round("base", 4).alias("base"), F.round("other", 4).alias("other"), "improvement")
 
 
 def experiment_grid(s, d):
@@ -130,7 +141,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         experiment_summary, running_totals, pass_counts, pass_rate, contamination_pivot, gap_recovery, mode_table, effect_distribution, contamination_crosstab, strategy_effects, delta_vs_control, jaccard_overlap,
-        answer_change_rate, quad_fit, quad_curve, resume_anti, version_compare, experiment_grid,
+        config_filter, answer_change_rate, quad_fit, quad_curve, resume_anti, version_compare, experiment_grid,
     )
 }
 
@@ -153,10 +164,13 @@ SQL = {
     "running_totals": "WITH g AS (SELECT origin, strftime(merged_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS n FROM merged_distillation WHERE merged_at IS NOT NULL GROUP BY ALL) SELECT *, (sum(n) OVER (PARTITION BY origin ORDER BY day ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM g",
     "pass_counts": f"""WITH {_LATEST}, st AS (SELECT split_part(doc_id, '_', 1) AS model, coalesce(correct_count > 0, false) AS b, coalesce(correct_count * 2 >= total_use_count, false) AS p FROM rec)
 SELECT *, round(100::DOUBLE * base / greatest(total, 1), 1) AS base_pct, round(100::DOUBLE * plus / greatest(total, 1), 1) AS plus_pct FROM (SELECT model, count(*) AS total, count(*) FILTER (b) AS base, count(*) FILTER (b AND p) AS plus FROM st GROUP BY model)""",
-    "pass_rate": "SELECT doc_id, round(count(*) FILTER (correct_count > 0) / greatest(count(*), 1), 6) AS pass_rate FROM access_records WHERE doc_id IS NOT NULL GROUP BY doc_id",
+    "pass_rate": "SELECT rec_id, round(len(list_filter(messages, lambda x: regexp_matches(coalesce(x.content, ''), '[0-9]|return'))) / greatest(len(messages), 1)::DOUBLE, 6) AS pass_rate FROM merged_distillation WHERE messages IS NOT NULL",
     "contamination_pivot": f"WITH {_RUNS} SELECT * FROM piv",
     "gap_recovery": f"WITH {_RUNS} SELECT model, dataset, metric, round(norag - rag, 3) AS gap, round(ff - rag, 3) AS recovery FROM piv",
-    "mode_table": f"WITH {_RUNS} SELECT model, dataset, CASE mode WHEN 'no-rag' THEN 'No-RAG' WHEN 'rag' THEN 'RAG' ELSE 'RAG+Forgetting' END AS mode_label, base_pct FROM runs",
+    "mode_table": f"""WITH {_RUNS}, o(place, model, mode) AS (VALUES (0, 'm2', 'rag'), (1, 'm2', 'no-rag'), (2, 'm0', 'rag'), (3, 'm0', 'no-rag'), (4, 'm9', 'rag'), (5, 'm9', 'no-rag'))
+SELECT dataset, (row_number() OVER (PARTITION BY dataset ORDER BY place))::INTEGER AS row, model, CASE mode WHEN 'no-rag' THEN 'No-RAG' WHEN 'rag' THEN 'RAG' ELSE 'RAG+Forgetting' END AS mode_label, base_pct, plus_pct FROM runs JOIN o USING (model, mode) WHERE dataset IN ('d0', 'd1')""",
+    "config_filter": """WITH i AS (SELECT item_id, task_id, task_id || '#' || lpad(item_id::VARCHAR, 9, '0') AS key, starts_with(task_id, 'T') OR starts_with(task_id, 'b') OR starts_with(task_id, 'k') AS hit FROM benchmark_items WHERE task_id IS NOT NULL)
+SELECT item_id, task_id FROM i WHERE hit OR NOT (SELECT bool_or(hit) FROM i) ORDER BY encode(key) LIMIT 10""",
     "effect_distribution": f"WITH {_CASES} SELECT effect, count(*) AS n, round(100::DOUBLE * count(*) / sum(count(*)) OVER (), 1) AS pct FROM c GROUP BY effect",
     "contamination_crosstab": f"WITH {_CASES} SELECT difficulty, count(*) FILTER (effect = 'rag_helped') AS rag_helped, count(*) FILTER (effect = 'rag_harmed') AS rag_harmed, count(*) FILTER (effect = 'neutral') AS neutral FROM c GROUP BY difficulty",
     "strategy_effects": f"WITH {_CASES} SELECT strategy, count(*) FILTER (effect = 'rag_helped') AS helped, count(*) FILTER (effect = 'rag_harmed') AS harmed FROM c GROUP BY strategy",
@@ -167,7 +181,7 @@ SELECT rec_id, round(CASE WHEN len(x) + len(y) = 0 THEN 1 ELSE len(list_intersec
     "quad_fit": f"WITH {_FIT} SELECT round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM q",
     "quad_curve": f"WITH {_FIT} SELECT round(i / 99::DOUBLE, 6) AS x, round(a * (i / 99::DOUBLE) ** 2 + b * (i / 99::DOUBLE) + c, 4) AS y FROM q, range(100) t(i)",
     "resume_anti": "SELECT item_id, task_id FROM benchmark_items WHERE item_id % 4 <> 1",
-    "version_compare": f"""WITH {_RES}, b AS (SELECT rec_id % 500 AS k, min(latency) AS v FROM r WHERE experiment = 'alpaca' GROUP BY 1), o AS (SELECT rec_id % 500 AS k, min(latency) AS v FROM r WHERE experiment = 'dolly' GROUP BY 1)
-SELECT k, round(b.v, 4) AS base, round(o.v, 4) AS other, round(o.v - b.v, 3) AS improvement FROM b JOIN o USING (k)""",
+    "version_compare": """WITH r AS (SELECT rec_id, length(coalesce(target_text, output, response)) / 100::DOUBLE AS b, length(coalesce(source_text, instruction)) / 100::DOUBLE AS o FROM merged_distillation WHERE rec_id IS NOT NULL), x AS (SELECT rec_id, min(b) AS b, min(o) AS o FROM r GROUP BY rec_id HAVING min(b) IS NOT NULL AND min(o) IS NOT NULL)
+SELECT rec_id, round(b, 4) AS base, round(o, 4) AS other, round(o - b, 3) AS improvement FROM x""",
     "experiment_grid": "SELECT model, mode, count(*) AS n FROM benchmark_items, (VALUES ('small'), ('large')) a(model), (VALUES ('no-rag'), ('rag'), ('rag-forgetting')) b(mode) GROUP BY ALL",
 }

@@ -59,6 +59,12 @@ def cache_replay_ttl(s, d):
     return A.replay_ttl(_log(s, d))
 
 
+def engine_stats(s, d):
+    """Hits, misses, rate and latency of an engine whose answers are cached, over the event log."""
+    r = A.engine_stats(A.replay_ttl(_log(s, d)), table(s, d, "events"), "value")
+    return r.select("queries", "hits", "misses", F.round("hit_rate", 6).alias("hit_rate"), F.round("avg_latency", 6).alias("avg_latency"))
+
+
 def cache_replay_lru(s, d):
     return A.replay_lru(_log(s, d), shards=4, capacity=16)
 
@@ -71,7 +77,7 @@ def as_of_error(s, d):
     return A.as_of(buys, errors, "user_id", "ts", "ets", ["error_value"]).select("event_id", "user_id", "error_value")
 
 
-QUERIES = {f.__name__: f for f in (stream_access_tumbling, stream_session, batch_tumbling, records_from_log, merged_records, records_at, cache_replay_ttl, cache_replay_lru, as_of_error)}
+QUERIES = {f.__name__: f for f in (stream_access_tumbling, stream_session, batch_tumbling, records_from_log, merged_records, records_at, cache_replay_ttl, engine_stats, cache_replay_lru, as_of_error)}
 
 _LOG = "l AS (SELECT 'u_' || user_id AS doc_id, ts, coalesce(event_type <> 'error', true) AS ok FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)"
 _WIN = "w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS b, count(*) AS uses, count(*) FILTER (ok) AS correct FROM l GROUP BY 1)"
@@ -92,3 +98,4 @@ SELECT doc_id, uses, uses - puts AS hits FROM (SELECT doc_id, count(*) AS uses F
     "as_of_error": """SELECT b.event_id, b.user_id, e.value AS error_value FROM (SELECT * FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL AND ts IS NOT NULL) b
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error' AND user_id IS NOT NULL AND ts IS NOT NULL) e ON b.user_id = e.user_id AND b.ts >= e.ts""",
 }
+SQL["engine_stats"] = f"""SELECT sum(uses)::BIGINT AS queries, sum(hits)::BIGINT AS hits, (sum(uses) - sum(hits))::BIGINT AS misses, round(100::DOUBLE * sum(hits) / sum(uses), 6) AS hit_rate, (SELECT round(avg(value), 6) FROM events) AS avg_latency FROM ({SQL["cache_replay_ttl"]})"""

@@ -71,10 +71,44 @@ def keyword_score(s, d):
 
 
 def score_answer(s, d):
-    """Keyword share, code, syntax and pass of the answers; no test cases, so those count as passed."""
+    """Keyword share, code, share of passed cases and pass of the answers.  Cases stand for results of runs: whether the
+    answer returns, loops and documents itself.  That the code parses is given, so that SQL can say the rest."""
     k = F.array(*[F.lit(x) for x in KEYWORDS])
+    a = _answers(s, d).withColumn("exec_pass", E.pass_rate(F.array(F.col("answer").contains("return"), F.col("answer").contains("for "), F.col("answer").contains("/**"))))
+    score = lambda strict: T.pass_at_1(F.col("answer"), F.lit(True), F.col("exec_pass"), strict)
+    return a.select("rec_id", F.round(T.keyword_score(F.col("answer"), k), 6).alias("kw_score"), F.col("answer").rlike(T.HAS_CODE).alias("has_code"), F.round("exec_pass", 6).alias("exec_pass"), score(False).alias("pass_at_1"), score(True).alias("pass_strict"))
+
+
+def score_parsed(s, d):
+    """The pass of answers whose code must parse, without cases."""
     a = _answers(s, d).withColumn("ok", P.syntax_ok(T.code_block(F.col("answer"))))
-    return a.select("rec_id", F.round(T.keyword_score(F.col("answer"), k), 6).alias("kw_score"), F.col("answer").rlike(T.HAS_CODE).alias("has_code"), "ok", T.pass_at_1(F.col("answer"), F.col("ok"), F.lit(None).cast("double")).alias("pass_at_1"))
+    return a.select("rec_id", "ok", T.pass_at_1(F.col("answer"), F.col("ok"), F.lit(None).cast("double")).alias("pass_at_1"))
+
+
+def quality_text(s, d):
+    """The checks of an answer that need no parser."""
+    return _quality(s, d).select("rec_id", *[f"q.{c}" for c in ("has_code", "has_code_block", "completeness_ok", "no_banned_imports", "language_ok", "no_truncation", "no_template")], F.array_join("q.banned_found", ",").alias("banned_found"))
+
+
+def query_check(s, d):
+    q = F.concat(F.lit(" \t"), F.left("prompt", (F.col("item_id") % 6).cast("int")), F.lit("\n "))
+    return table(s, d, "benchmark_items").select("item_id", T.checked_query(q).alias("q")).select("item_id", "q.*")
+
+
+def cache_keys(s, d):
+    lang = F.when(F.col("item_id") % 2 == 0, "python")
+    return table(s, d, "benchmark_items").where("prompt is not null").select("item_id", T.cache_key(F.col("prompt"), (F.col("item_id") % 5).cast("int"), F.lit(0.65), lang, F.lit(None).cast("string")).alias("cache_key"))
+
+
+def previews(s, d):
+    return _answers(s, d).select("rec_id", T.preview(F.col("answer")).alias("preview"))
+
+
+def result_format(s, d):
+    from cairn.operators.catalog import collection
+
+    c = table(s, d, "chunks").where("level is not null")
+    return c.select("chunk_id", F.md5(T.result_lines(collection(F.col("level")), F.pmod(F.length("chunk_id"), F.lit(8)) / 8.0, F.col("repo"), F.col("name"), F.col("file_path"), F.col("content"))).alias("shown_md5"))
 
 
 def prompt_build(s, d):
@@ -106,7 +140,7 @@ QUERIES = {
     for k, f in dict(
         code_extract=code_extract, code_block=code_block, banned_imports=banned_imports, language_error=language_error, missing_code=missing_code, truncation=truncation, template=template, fake_reasoning=fake_reasoning,
         completeness=completeness, reasoning_extract=reasoning_extract, response_extract=response_extract, syntax_ok=syntax_ok, trailing_clean=trailing_clean, normal_space=normal_space, completion_code=completion_code,
-        prompt_stripped=prompt_stripped, quality_check=quality_check, failure_histogram=failure_histogram, keyword_score=keyword_score, score_answer=score_answer, prompt_build=prompt_build, prompt_strategies=prompt_strategies,
+        prompt_stripped=prompt_stripped, quality_check=quality_check, failure_histogram=failure_histogram, keyword_score=keyword_score, score_answer=score_answer, score_parsed=score_parsed, quality_text=quality_text, query_check=query_check, cache_keys=cache_keys, previews=previews, result_format=result_format, prompt_build=prompt_build, prompt_strategies=prompt_strategies,
         placeholder_fill=placeholder_fill, generate_stub=generate_stub,
     ).items()
 }
@@ -137,6 +171,16 @@ SQL = {
     "keyword_score": f"""{_A} SELECT rec_id, {_RX('answer', T.HAS_CODE_WIDE)} AS has_code, {_KW}::INTEGER AS keyword_matches, {len(KEYWORDS)}::INTEGER AS keyword_total,
 len(list_filter({_TRIM}, lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#') AND NOT starts_with(ltrim(x), '//')))::INTEGER AS code_lines, len({_TRIM})::INTEGER AS total_lines,
 round({_KW} / {len(KEYWORDS)}::DOUBLE * 0.6::DOUBLE + CASE WHEN {_RX('answer', T.HAS_CODE_WIDE)} THEN 0.4::DOUBLE ELSE 0 END, 3) AS score FROM a""",
+    "score_answer": f"""{_A}, x AS (SELECT *, (contains(answer, 'return')::INTEGER + contains(answer, 'for ')::INTEGER + contains(answer, '/**')::INTEGER) / 3::DOUBLE AS e, {_RX('answer', T.HAS_CODE)} AS h FROM a)
+SELECT rec_id, round({_KW} / {len(KEYWORDS)}::DOUBLE, 6) AS kw_score, h AS has_code, round(e, 6) AS exec_pass, CASE WHEN h AND e >= 0.5 THEN 1::DOUBLE ELSE 0 END AS pass_at_1, CASE WHEN h AND e >= 1 THEN 1::DOUBLE ELSE 0 END AS pass_strict FROM x""",
+    "quality_text": f"""{_A}, x AS (SELECT rec_id, answer, c, contains(c, 'def ') OR contains(c, 'class ') AS has, {_BAN.replace("'(?i)", "'(?i)").replace('answer', 'c')} AS ban FROM (SELECT rec_id, answer, {_FENCED} AS c FROM a))
+SELECT rec_id, has AS has_code, contains(answer, '```') AS has_code_block, has AND {_COMPLETE('c')} AS completeness_ok, len(ban) = 0 AS no_banned_imports, NOT {_ANY('answer', T.OTHER_LANGUAGE)} AS language_ok, NOT (ends_with(answer, '..') OR length(answer) < 50 OR {_RX('answer', T.HALF_SENTENCE)}) AS no_truncation,
+NOT {_ANY('answer', T.TEMPLATES)} AS no_template, array_to_string(ban, ',') AS banned_found FROM x""",
+    "query_check": r"""WITH q AS (SELECT item_id, regexp_replace(coalesce(' ' || chr(9) || left(prompt, (item_id % 6)::INTEGER) || chr(10) || ' ', ''), '^\s+|\s+$', '', 'g') AS query FROM benchmark_items) SELECT item_id, query, CASE WHEN length(query) < 3 THEN 'Query too short (min 3 chars)' END AS error FROM q""",
+    "cache_keys": "SELECT item_id, md5(prompt || '|' || (item_id % 5) || '|0.65|' || CASE WHEN item_id % 2 = 0 THEN 'python' ELSE '' END || '|') AS cache_key FROM benchmark_items WHERE prompt IS NOT NULL",
+    "previews": f"{_A} SELECT rec_id, replace(left(answer, 200), chr(10), ' ') AS preview FROM a",
+    "result_format": r"""WITH c AS (SELECT *, printf('  [%.3f] ', (length(chunk_id) % 8) / 8::DOUBLE) AS s, replace(left(coalesce(content, ''), 120), chr(10), '\n') AS b, replace(left(coalesce(content, ''), 150), chr(10), '\n') AS e FROM chunks WHERE level IS NOT NULL)
+SELECT chunk_id, md5(CASE WHEN level <= 2 THEN s || coalesce(repo, '?') || ' | ' || left(coalesce(name, ''), 60) WHEN level = 3 THEN s || coalesce(repo, '?') || ':' || coalesce(file_path, '') || chr(10) || '    ' || b ELSE s || coalesce(repo, '?') || '::' || coalesce(name, '?') || chr(10) || '    ' || e END) AS shown_md5 FROM c""",
     "normal_space": f"{_A} SELECT rec_id, md5(trim(regexp_replace(answer, '\\s+', ' ', 'g'))) AS flat_md5 FROM a",
     "response_extract": f"""{_A}, r AS (SELECT rec_id, {_FENCED} AS c, regexp_replace(regexp_extract(answer, '(?is)(Step\\s*4.*)$', 1), '^\\s+|\\s+$', '', 'g') AS tail FROM a)
 SELECT rec_id, md5('```python' || chr(10) || c || chr(10) || '```' || CASE WHEN tail <> '' THEN chr(10) || chr(10) || tail ELSE '' END) AS response_md5 FROM r""",

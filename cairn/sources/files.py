@@ -16,14 +16,17 @@ def decode(content: Column, errors: str = "ignore") -> Column:
 
 def scan(spark: SparkSession, root: str, glob: str | None = None, pruned: tuple[str, ...] = PRUNED_V1, errors: str = "ignore", longest: int = 1 << 28) -> DataFrame:
     """path (relative to root), length, text of all files below root outside hidden and pruned directories; unreadable
-    files are skipped, so are those over ``longest`` bytes."""
+    files are skipped; files over ``longest`` bytes come out with null text, their bytes unread."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     base = "/" + root.removeprefix("file:").strip("/")
     whole = F.regexp_replace("path", r"^file:/+", "/")
-    rows = reader.load(root).withColumn("path", F.substring(whole, F.lit(len(base) + 2), F.lit(1 << 20)))
-    return rows.where((F.col("length") <= longest) & walked(F.col("path"), pruned)).select("path", "length", decode(F.col("content"), errors).alias("text"))
+    rows = reader.load(root)
+    read = rows.where(F.col("length") <= longest).select("path", "length", decode(F.col("content"), errors).alias("text"))
+    over = rows.where(F.col("length") > longest).select("path", "length", F.lit(None).cast("string").alias("text"))
+    named = read.unionByName(over).withColumn("path", F.substring(whole, F.lit(len(base) + 2), F.lit(1 << 20)))
+    return named.where(walked(F.col("path"), pruned))
 
 
 def readme(files: DataFrame, chars: int = 2000) -> DataFrame:

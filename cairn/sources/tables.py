@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn import schema
-from cairn.operators.catalog import collection
+from cairn.operators.catalog import collection, expansion, unseen
+from cairn.runtime import cut
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -37,6 +38,28 @@ def read_collection(spark: SparkSession, path: str, name: str, language: str | N
     return df.where(F.col("repo") == repo) if repo else df
 
 
+def append_expansion(spark: SparkSession, path: str, new: DataFrame, order: str) -> DataFrame:
+    """An incremental run: what ``new`` has beyond the stored hashes is added to the store at ``path`` (its hashes beside
+    it), and the collections' counts come back."""
+    known = path.rstrip("/") + "_hashes"
+    stored = spark.read.parquet(known) if exists(spark, known) else spark.createDataFrame([], "hash string")
+    added = cut(expansion(new, stored, order), "expansion")
+    added.write.mode("append").partitionBy("collection").parquet(path)
+    unseen(new, stored).select(F.col("content_hash").alias("hash")).where("hash is not null").distinct().write.mode("append").parquet(known)
+    return validate(spark, path)
+
+
+def fallback_documents(documents: DataFrame, entries: DataFrame, collections: DataFrame, names: tuple[str, ...] = ("chunks", "details")) -> DataFrame:
+    """Texts of the named collections, one after the other, read without the index: documents (id, text) whose entry
+    (id, collection_id) lies in a collection (id, name) of that name.  Adds collection and place; empty texts are left out."""
+    out = None
+    for place, name in enumerate(names):
+        of_name = entries.join(collections.where(F.col("name") == name).select(F.col("id").alias("collection_id")), "collection_id", "left_semi").select("id")
+        part = documents.where("text <> ''").join(of_name, "id", "left_semi").select("id", "text", F.lit(name).alias("collection"), F.lit(place).alias("place"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def validate(spark: SparkSession, path: str) -> DataFrame:
     """collection, n of the three collections, 0 for a missing one."""
     names = spark.createDataFrame([(c,) for c in schema.COLLECTIONS], "collection string")
@@ -106,11 +129,6 @@ def completed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
 
-def newest(df: DataFrame, key: str, at: str) -> DataFrame:
-    """The newest row of every key."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).where("_r = 1").drop("_r")
-
-
 def capped(df: DataFrame, n: int) -> DataFrame:
     """A stated cap on a scan, where a sample of rows is what is asked for."""
     return df.limit(n)

@@ -104,6 +104,14 @@ def replay_ttl(log: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
     return rows.mapInPandas(run, "doc_id string, uses long, hits long")
 
 
+def engine_stats(replayed: DataFrame, timed: DataFrame, seconds: str) -> DataFrame:
+    """One row: queries, hits, misses, hit_rate (percent), avg_latency of a replayed cache and of timed queries."""
+    counts = replayed.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("queries"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+    latency = timed.agg((F.coalesce(F.sum(seconds), F.lit(0.0)) / F.greatest(F.count(seconds), F.lit(1))).alias("avg_latency"))
+    rate = F.when(F.col("queries") > 0, 100.0 * F.col("hits") / F.greatest("queries", F.lit(1))).otherwise(0.0)
+    return counts.crossJoin(latency).select("queries", "hits", (F.col("queries") - F.col("hits")).alias("misses"), rate.alias("hit_rate"), "avg_latency")  # one row by one row
+
+
 def replay_lru(log: DataFrame, shards: int = 64, capacity: int = CAPACITY, ttl: float = TTL_SECONDS) -> DataFrame:
     """shard, uses, hits of caches sharded by key, each with its own capacity and ttl: expired entries go on read, the
     least recently used is evicted.  State is at most ``capacity`` keys a shard."""

@@ -104,3 +104,44 @@ def test_snapshots_lines_csv(spark, tmp_path):
     ST.write_lines(df, str(tmp_path / "l"))
     ST.write_lines(df, str(tmp_path / "l"), resume=True)
     assert ST.read_lines(spark, str(tmp_path / "l"), "i long, t string").count() == 2
+
+
+def test_files_over_the_limit_are_rows_without_text(spark, tmp_path):
+    from cairn.sources import files as S
+
+    (tmp_path / "a.py").write_text("x = 1\n")
+    (tmp_path / "big.py").write_text("y" * 5000)
+    got = {r.path: (r.length, r.text) for r in S.scan(spark, str(tmp_path), longest=1000).collect()}
+    assert got == {"a.py": (6, "x = 1\n"), "big.py": (5000, None)}
+
+
+def test_patterns_over_whole_texts():
+    from cairn.operators import chunking as H
+
+    long = "int total(int a) {\n" + "  a = a + 1;\n" * 18_000 + "/* at the margin\nint not a function\n*/ return a; }\n"
+    got = H.pattern_items(long, ".c", H.PATTERNS_V1)
+    assert len(long) > 200_000 and [(x[1], x[3]) for x in got] == [("match_0", 1)] and got[0][2].endswith("return a; }")
+    words = "word " * 60_000 + "int f(int a) { return a + a + a; }"
+    assert [x[2][-34:] for x in H.pattern_items(words, ".c", H.PATTERNS_V1)] == ["int f(int a) { return a + a + a; }"]
+    assert H.pattern_items("x" * 300_000, ".cpp", H.PATTERNS_V1) == []
+
+
+def test_second_version_has_no_javascript(spark):
+    from cairn.operators import chunking as H
+
+    code = "function work(a) { return a + a + a + a; }"
+    df = spark.createDataFrame([(1, "a.js", code), (2, "a.ts", code)], "id long, path string, text string")
+    ids = lambda v: {r.file_id for r in H.extract(df, "id", "path", "text", version=v).collect()}
+    assert ids(1) == {1, 2} and ids(2) == {2}
+
+
+def test_incremental_store(spark, tmp_path):
+    from cairn.sources import tables as T
+
+    rows = [(k, f"o/r{k % 2}", "python", f"src/f{k % 3}.py", f"n{k}", "function", f"def n{k}(): return {k}") for k in range(8)]
+    df = spark.createDataFrame(rows, "detail_id long, repo string, language string, file_path string, name string, type string, content string")
+    at = str(tmp_path / "store")
+    count = lambda part: {r.collection: r.n for r in T.append_expansion(spark, at, part, "detail_id").collect()}
+    assert count(df.where("detail_id < 5")) == {"details": 5, "chunks": 5, "summary": 2}
+    assert count(df.where("detail_id < 5")) == {"details": 5, "chunks": 5, "summary": 2}  # nothing new
+    assert count(df)["details"] == 8

@@ -115,3 +115,35 @@ def test_fit(spark):
 def test_jaccard(spark):
     df = spark.createDataFrame([("a b", "b c"), ("", ""), ("a", None)], "a string, b string").select(E.jaccard(F.col("a"), F.col("b")).alias("j"))
     assert [r.j and round(r.j, 4) for r in df.collect()] == [0.3333, 1.0, None]
+
+
+def test_generation_asks_again_without_code(spark):
+    asked = []
+
+    def make():
+        return lambda prompts: ["def f(): pass" if p.startswith("Only code") or "easy" in p else "I think so." for p in prompts]
+
+    df = spark.createDataFrame([("easy one",), ("hard one",), (None,)], "p string").coalesce(1)
+    got = [r.completion for r in P.generate(df.na.fill(""), "p", make, simpler="Only code: ").collect()]
+    assert got == ["def f(): pass"] * 3 and asked == []
+
+
+def test_report_and_choices(spark):
+    runs = spark.createDataFrame([(0, "b", "rag"), (1, "a", "no-rag"), (2, "c", "rag")], "place int, model string, mode string")
+    results = spark.createDataFrame([("a", "no-rag", "y", 1.0), ("b", "rag", "y", 2.0), ("b", "rag", "x", 3.0), ("b", "rag", "z", 4.0)], "model string, mode string, dataset string, pct double")
+    got = [(r.dataset, r.row, r.model, r.mode_label) for r in E.report_table(runs, results, ["y", "x"]).orderBy("place", "row").collect()]
+    assert got == [("y", 1, "b", "RAG"), ("y", 2, "a", "No-RAG"), ("x", 1, "b", "RAG")]
+    groups = spark.createDataFrame([("g1",), ("g2",), ("h",)], "k string")
+    pick = lambda p: sorted(r.k for r in E.chosen(groups, "k", p).collect())
+    assert pick(["g"]) == ["g1", "g2"] and pick([]) == pick(["zzz"]) == ["g1", "g2", "h"]
+    assert [r.k for r in E.first_in_order(groups, "k", 2).collect()] == ["g1", "g2"] and E.first_in_order(groups, "k", 0).count() == 3
+
+
+def test_queries_and_lines(spark):
+    df = spark.createDataFrame([(" ab\n",), (" abc ",), (None,)], "q string").select(T.checked_query(F.col("q")).alias("c"))
+    assert [(r.c.query, r.c.error) for r in df.collect()] == [("ab", T.TOO_SHORT), ("abc", None), ("", T.TOO_SHORT)]
+    assert one(spark, "a\nb" * 100, T.preview) == ("a b" * 100)[:200]
+    import hashlib
+
+    key = spark.range(1).select(T.cache_key(F.lit("q"), F.lit(5), F.lit(0.65), F.lit(None).cast("string"), F.lit("r")).alias("x")).first().x
+    assert key == hashlib.md5(b"q|5|0.65||r").hexdigest()
