@@ -292,7 +292,8 @@ def messages(found_blocks: DataFrame) -> DataFrame:
     shuffle, and the rules, which cost most, run on as many tasks as there are partitions."""
     m = found_blocks.groupBy("hash").agg(F.min("masked").alias("masked"), F.max("page").alias("page"))
     parts = int(found_blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = cut(m.repartition(parts, "hash"), "distinct-messages")  # else the rules are pushed into the few tasks before
+    # by another key than the groups', or it is dropped; written, or the rules are pushed into the few tasks before
+    spread = cut(m.repartition(parts, F.xxhash64("hash")), "distinct-messages")
     return spread.withColumn("residue_kind", kind_of(F.col("masked"), F.col("page"))).select("hash", "residue_kind")
 
 
