@@ -319,8 +319,7 @@ def kept(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf(BooleanType())
     def doubted(i: pd.Series) -> pd.Series:
-        known = i.notna()
-        return known & in_filter(shared.value, i.fillna(0).to_numpy(np.int64))
+        return pd.Series(in_filter(shared.value, i.to_numpy(np.int64)))
 
-    marked = docs.withColumn("_doubted", doubted(F.col("doc_id").cast("long")))
+    marked = docs.withColumn("_doubted", doubted(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))) & F.col("doc_id").isNotNull())
     return marked.where("not _doubted").drop("_doubted").unionByName(marked.where("_doubted").drop("_doubted").join(ids, "doc_id", "left_anti"))

@@ -155,3 +155,24 @@ def test_join_against_brute_force(spark):
     got = {(r.detail_id, r.func_name, r.doc_from) for r in D.pairs(df).collect()}
     assert got == want and len(want) > 26
     assert {tuple(r) for r in D.found(df).collect()} == {(a, n) for a, n, b in want if a == b}
+
+
+def test_python_functions_of_the_tables_against_a_parser(spark):
+    """Every Python content of the given table that parses: the same documented functions as a syntax tree holds."""
+    import ast
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/details.parquet").where("content is not null").select("detail_id", "language", "file_path", "content").collect()
+    seen = 0
+    for r in rows:
+        if language_of(r.language, r.file_path) != "python":
+            continue
+        try:
+            tree = ast.parse(r.content)
+        except (SyntaxError, ValueError):
+            continue
+        kinds = (ast.FunctionDef, ast.AsyncFunctionDef)
+        documented = {n.name for n in ast.walk(tree) if isinstance(n, kinds) and (d := ast.get_docstring(n, clean=False)) and D.says_something(D.describe(d), n.name)}
+        assert {f[0] for f in D.functions_of(r.content, "python") if f[5] is not None and D.says_something(D.describe(f[5]), f[0])} == documented, r.detail_id
+        assert {f[0] for f in D.functions_of(r.content, "python")} == {n.name for n in ast.walk(tree) if isinstance(n, kinds)}, r.detail_id
+        seen += 1
+    assert seen > 300

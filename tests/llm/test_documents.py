@@ -226,3 +226,10 @@ def test_kept_rows_and_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, hash long")
     out = R.kept(docs)
     assert out.columns == docs.columns and out.count() == 42 and out.where("doc_id = 7").count() == 2 and out.where("doc_id is null").count() == 1
+
+
+def test_kept_tells_large_ids_apart_beside_nulls(spark):
+    big = 2**60
+    rows = [(big + k, "s", "404 Not Found" if k % 2 else "The index is kept.") for k in range(40)] + [(None, "s", "The index is kept.")]
+    out = R.kept(spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1))
+    assert sorted(r.doc_id for r in out.collect() if r.doc_id) == [big + k for k in range(0, 40, 2)] and out.count() == 21
