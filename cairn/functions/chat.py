@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,23 @@ def word_ids(text: Column) -> Column:
     return F.transform(tokens, lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(1 << 30)).cast("int"))
 
 
+def tokenized(df: DataFrame, text: str, make, out: str = "ids") -> DataFrame:
+    """Tokenizer hook: add ids of a text column.  ``make`` builds a function from a list of texts to lists of ids, once a
+    worker; null stays null."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = make()
+        for s in batches:
+            known = s.notna()
+            ids = pd.Series([None] * len(s), index=s.index, dtype=object)
+            for k, x in zip(s.index[known], encode(s[known].tolist()) if known.any() else []):
+                ids[k] = [int(v) for v in x]
+            yield ids
+
+    return df.withColumn(out, run(F.col(text)))
+
+
 def mask(ids: list[int], tag: list[int], sep: list[int], ignored: int = IGNORED) -> list[int]:
     """Labels: ignored but for what follows an assistant tag up to the next start tag."""
     out, at, n = [ignored] * len(ids), 0, len(tag)

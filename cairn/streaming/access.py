@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TTL_SECONDS, CAPACITY = 3600.0, 256
+#: Times the ttl that a slice of a key's accesses spans.
+SLICE_TTLS = 24
 
 
 def accesses(events: DataFrame) -> DataFrame:
@@ -76,20 +78,36 @@ def ttl_hits(times: list[float], ttl: float = TTL_SECONDS) -> list[bool]:
     return out
 
 
+def segments(log: DataFrame, ttl: float) -> DataFrame:
+    """doc_id, t, seg of every access; seg is the time of the last access that came more than ``ttl`` after the one before.
+    Whatever a cache held of a key is dead by then, so segments are replayed apart.
+
+    A key's accesses are looked at by time slice; between slices only their first and last times are carried."""
+    rows = log.select("doc_id", (F.unix_micros("ts") / 1e6).alias("t")).withColumn("s", F.floor(F.col("t") / (SLICE_TTLS * ttl)))
+    by_slice, so_far = Window.partitionBy("doc_id").orderBy("s"), Window.partitionBy("doc_id", "s").orderBy("t")
+    ends = rows.groupBy("doc_id", "s").agg(F.max("t").alias("end")).select("doc_id", "s", F.lag("end").over(by_slice).alias("before"))
+    gap = rows.join(ends, ["doc_id", "s"]).withColumn("prev", F.coalesce(F.lag("t").over(so_far), "before"))
+    marked = gap.select("doc_id", "s", "t", F.when(F.col("prev").isNull() | (F.col("t") - F.col("prev") > ttl), F.col("t")).alias("start"))
+    starts = marked.groupBy("doc_id", "s").agg(F.max("start").alias("start"))
+    carried = starts.select("doc_id", "s", F.last("start", ignorenulls=True).over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    own = F.max("start").over(so_far.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return marked.withColumn("own", own).join(carried, ["doc_id", "s"]).select("doc_id", "t", F.coalesce("own", "carried").alias("seg"))
+
+
 def replay_ttl(log: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
     """doc_id, uses, hits of a cache without capacity limit.
 
-    Per key the times are streamed in order by partition; only the time of the live entry is held."""
+    Each segment's times (see ``segments``) are streamed in order; only the time of the live entry is held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, put, uses, hits = None, None, 0, 0
         for b in batches:
             done = []
-            for d, t in zip(b["doc_id"], b["t"]):
-                if d != key:
+            for d, seg, t in zip(b["doc_id"], b["seg"], b["t"]):
+                if (d, seg) != key:
                     if key is not None:
-                        done.append((key, uses, hits))
-                    key, put, uses, hits = d, None, 0, 0
+                        done.append((key[0], uses, hits))
+                    key, put, uses, hits = (d, seg), None, 0, 0
                 uses += 1
                 if put is not None and t - put <= ttl:
                     hits += 1
@@ -98,10 +116,10 @@ def replay_ttl(log: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
             if done:
                 yield pd.DataFrame(done, columns=["doc_id", "uses", "hits"])
         if key is not None:
-            yield pd.DataFrame([(key, uses, hits)], columns=["doc_id", "uses", "hits"])
+            yield pd.DataFrame([(key[0], uses, hits)], columns=["doc_id", "uses", "hits"])
 
-    rows = log.select("doc_id", (F.unix_micros("ts") / 1e6).alias("t")).repartition("doc_id").sortWithinPartitions("doc_id", "t")
-    return rows.mapInPandas(run, "doc_id string, uses long, hits long")
+    rows = segments(log, ttl).repartition("doc_id", "seg").sortWithinPartitions("doc_id", "seg", "t")
+    return rows.mapInPandas(run, "doc_id string, uses long, hits long").groupBy("doc_id").agg(F.sum("uses").alias("uses"), F.sum("hits").alias("hits"))
 
 
 def engine_stats(replayed: DataFrame, timed: DataFrame, seconds: str) -> DataFrame:

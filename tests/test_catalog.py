@@ -145,3 +145,13 @@ def test_incremental_store(spark, tmp_path):
     assert count(df.where("detail_id < 5")) == {"details": 5, "chunks": 5, "summary": 2}
     assert count(df.where("detail_id < 5")) == {"details": 5, "chunks": 5, "summary": 2}  # nothing new
     assert count(df)["details"] == 8
+
+
+def test_tasks_and_stated_caps(spark, tmp_path):
+    import json
+
+    from cairn.sources import tables as T
+
+    (tmp_path / "t.jsonl").write_text("\n".join(json.dumps({"task_id": f"T/{k}", "prompt": "p", "entry_point": None}) for k in (3, 1, 2)))
+    tasks = T.read_tasks(spark, str(tmp_path / "t.jsonl"))
+    assert [r.task_id for r in tasks.collect()] == ["T/1", "T/2", "T/3"] and T.capped(tasks, 2).count() == 2

@@ -47,3 +47,28 @@ def test_as_of(spark):
     right = spark.createDataFrame([("k", 10, 1.0), ("k", 100, 2.0), ("k", 95_000, 3.0)], "k string, t long, v double").withColumn("t", F.timestamp_seconds("t"))
     got = {r.i: r.v for r in A.as_of(left, right, "k", "t", "t", ["v"]).collect()}
     assert got == {1: 2.0, 2: 2.0, 3: None, 4: None, 5: None}
+
+
+def test_ttl_replay_by_segments(spark):
+    """Segments of hot and cold keys over many slices, against one pass over each key."""
+    import datetime as dt
+    import random
+
+    from cairn.streaming import access as A
+
+    rng, rows = random.Random(3), []
+    for key, n, mean in (("hot", 900, 700), ("cold", 40, 90_000), ("even", 60, 3600), ("once", 1, 1)):
+        t = 1_700_000_000.0
+        for _ in range(n):
+            t += mean if key == "even" else rng.expovariate(1 / mean)
+            rows.append((key, dt.datetime.fromtimestamp(round(t, 3), dt.timezone.utc), True))
+    rows += rows[:5]
+    log = spark.createDataFrame(rows, "doc_id string, ts timestamp, correct boolean").repartition(3)
+    got = {r.doc_id: (r.uses, r.hits) for r in A.replay_ttl(log).collect()}
+    want = {}
+    for key in ("hot", "cold", "even", "once"):
+        times = sorted(r[1].timestamp() for r in rows if r[0] == key)
+        want[key] = (len(times), sum(A.ttl_hits(times)))
+    assert got == want and 0 < want["hot"][1] < 905
+    assert A.segments(log, 3600.0).where("doc_id = 'hot'").select("seg").distinct().count() > 1
+    assert A.replay_ttl(log.where("false")).count() == 0

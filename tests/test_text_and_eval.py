@@ -147,3 +147,9 @@ def test_queries_and_lines(spark):
 
     key = spark.range(1).select(T.cache_key(F.lit("q"), F.lit(5), F.lit(0.65), F.lit(None).cast("string"), F.lit("r")).alias("x")).first().x
     assert key == hashlib.md5(b"q|5|0.65||r").hexdigest()
+
+
+def test_tokenizer_hook(spark):
+    df = spark.createDataFrame([("a bb",), (None,), ("",)], "t string").coalesce(1)
+    got = [r.ids for r in C.tokenized(df, "t", lambda: lambda texts: [[len(w) for w in t.split()] for t in texts]).collect()]
+    assert got[0] == [1, 2] and got[1] is None and list(got[2]) == []
