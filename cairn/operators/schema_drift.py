@@ -13,7 +13,8 @@ be a rename are shuffled, keyed by record id.
 
 Defined results: lines that aren't a JSON object (null, empty, cut off, trailing text) are no records; a leading
 byte-order mark is dropped; a line loaded more than once counts once (the earliest load); a file without any record
-has no fields; an empty table gives no rows; columns other than those named are ignored.
+has no fields; a file without feed has no file before it; an empty table gives no rows; columns other than those
+named are ignored.
 """
 
 from __future__ import annotations

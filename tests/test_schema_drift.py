@@ -184,3 +184,8 @@ def test_versions_reuse_fingerprints(spark):
     df = spark.createDataFrame(rows, "line_id long, feed string, file_name string, written_on timestamp, line_no int, line string, loaded_at timestamp")
     got = {r.version: (r.first_version, r.fields, r.records) for r in S.schema_versions(df).collect()}
     assert got == {0: (0, 1, 1), 1: (1, 2, 1), 2: (0, 1, 1), 3: (None, 0, 0)}
+
+
+def test_merged_and_versions_of_nothing(spark):
+    df = spark.createDataFrame([], "line_id long, feed string, file_name string, written_on timestamp, line_no int, line string, loaded_at timestamp, m string, rule string, names string")
+    assert S.merged(df).count() == 0 and S.schema_versions(df).count() == 0
